@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,22 +20,25 @@ def feature_means(df: DataFrame, names: Sequence[str]) -> list[float]:
     return [row[n] or 0.0 for n in names]
 
 
-def model_weights(model) -> tuple[list[list[float]], str]:
+def model_weights(model) -> tuple[list[list[float]] | None, str]:
     """Weights per class (one list when they are shared) and the kind of explanation."""
-    if hasattr(model, "coefficientMatrix"):
+    if isinstance(model, LogisticRegressionModel):
         return model.coefficientMatrix.toArray().tolist(), "exact_linear"
-    if hasattr(model, "coefficients"):
+    if isinstance(model, LinearRegressionModel):
         return [model.coefficients.toArray().tolist()], "exact_linear"
-    importances = [float(v) for v in model.featureImportances.toArray()]
-    return [importances], "approximate_importance_weighted"
-
-
-def importances(model, signed: bool) -> list[float]:
-    """Tree importances, or coefficients (mean absolute over classes unless signed)."""
-    weights, _ = model_weights(model)
-    if signed or not hasattr(model, "coefficientMatrix"):
-        return weights[0]
-    return [sum(abs(w[i]) for w in weights) / len(weights) for i in range(len(weights[0]))]
+    if hasattr(model, "featureImportances"):
+        importances = [float(v) for v in model.featureImportances.toArray()]
+        return [importances], "approximate_importance_weighted"
+    return None, "unavailable"
+
+
+def overall_weights(weights: Sequence[Sequence[float]], signed: bool) -> list[float]:
+    """One weight per feature: as it is when signed, else the mean size over classes."""
+    if signed:
+        return list(weights[0])
+    return [
+        sum(abs(w[i]) for w in weights) / len(weights) for i in range(len(weights[0]))
+    ]
 
 
 def importance_table(

@@ -28,9 +28,9 @@ from tablewright.ml.explain import (
     GLOBAL_FEATURES,
     feature_means,
     importance_table,
-    importances,
     local_contributions,
     model_weights,
+    overall_weights,
 )
 from tablewright.ml.features import (
     MIN_ROWS,
@@ -248,15 +248,12 @@ def run_classification(
 
 
 def _explained(spark, model, table, scored, names, features, signed, class_column):
-    if not hasattr(model, "featureImportances") and not hasattr(model, "coefficients") and not (
-        hasattr(model, "coefficientMatrix")
-    ):
-        empty = importance_table(spark, [], [])
-        return empty, scored, "unavailable"
     weights, kind = model_weights(model)
+    if weights is None:
+        return importance_table(spark, [], []), scored, kind
     means = feature_means(table, names)
     local = local_contributions(scored, names, features, weights, means, class_column)
-    top = importance_table(spark, features, importances(model, signed), GLOBAL_FEATURES)
+    top = importance_table(spark, features, overall_weights(weights, signed), GLOBAL_FEATURES)
     return top, local, kind
 
 

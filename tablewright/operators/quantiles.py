@@ -139,7 +139,9 @@ def group_quantiles(
             for i in targets
         ]
     )
-    return join_null_safe(wide, sizes, keys)
+    return join_null_safe(wide, sizes, keys).select(
+        *by, "rows", *[f"q{i}" for i in targets]
+    )
 
 
 @dataclass
