@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.functions.coerce import number, ref, require_columns, timestamp
+from tablewright.functions.coerce import day_of, number, ref, require_columns, timestamp
 from tablewright.functions.joins import join_null_safe
 
 MIN_OBSERVATIONS = 5
@@ -61,7 +61,7 @@ def slot_means(
 ) -> DataFrame:
     """keys, slot, ts, value, rows: the mean of each time slot of each series."""
     seconds = GRAIN_SECONDS[grain]
-    ts = F.date_trunc(grain, F.col("_ts")).cast("timestamp_ntz")
+    ts = _slot_start(F.col("_ts"), grain)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     rows = df.select(
         *[ref(k) for k in keys],
@@ -81,6 +81,15 @@ def slot_means(
     )
 
 
+def _slot_start(ts: Column, grain: str) -> Column:
+    """Start of the time slot, by interval arithmetic that knows no time zone."""
+    day = day_of(ts)
+    if grain == "day":
+        return day
+    minute = F.minute(ts) if grain == "minute" else F.lit(0)
+    return day + F.make_dt_interval(F.lit(0), F.hour(ts), minute)
+
+
 def frequencies(slots: DataFrame, keys: Sequence[str], grain: str = "day") -> DataFrame:
     """Per series: first slot, unit (slot or month), stride and number of steps.
 
@@ -208,7 +217,8 @@ def prepare(
     check_input(df, date_column, metric_column)
     by = list(keys) or [ALL]
     source = df if keys else df.withColumn(ALL, F.lit(0))
-    slots = slot_means(source, date_column, metric_column, by, grain)
+    # The only pass over the rows; what follows has one row per slot.
+    slots = written(slot_means(source, date_column, metric_column, by, grain))
     info = written(frequencies(slots, by, grain))
     size = info.agg(F.max("steps"), F.max("rows")).first()
     if not keys and (size[1] or 0) < MIN_OBSERVATIONS:

@@ -18,21 +18,20 @@ MISSING_LABEL = "Missing"
 # Text accepted as a number. Plain casts also take Java suffixes such as "1d".
 _NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
-# Text date layouts tried in this order after ISO 8601.
-DATE_FORMATS = (
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
-    "M-d-yyyy",
-    "d.M.yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyyMMdd",
-)
+# Shapes of text dates and the layouts tried on each, after ISO 8601.
+# The shape keeps the parser away from text that cannot be a date.
+DATE_FORMATS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": ("M/d/yyyy",),
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": ("M/d/yyyy H:mm",),
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": ("M/d/yyyy H:mm:ss",),
+    r"^\d{4}/\d{1,2}/\d{1,2}$": ("yyyy/M/d",),
+    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": ("yyyy/M/d H:mm:ss",),
+    r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy",),
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ("d.M.yyyy",),
+    r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$": ("MMM d, yyyy", "MMMM d, yyyy"),
+    r"^\d{1,2} [A-Za-z]{3,9} \d{4}$": ("d MMM yyyy", "d MMMM yyyy"),
+    r"^\d{8}$": ("yyyyMMdd",),
+}
 _LONGEST_DATE_TEXT = 40
 _ISO_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?\s*$"
 
@@ -98,14 +97,16 @@ def timestamp(df: DataFrame, name: str) -> Column:
     if is_temporal(dtype):
         return col.cast("timestamp_ntz")
     if is_text(dtype):
-        iso = F.when(col.rlike(_ISO_TEXT), F.trim(col).try_cast("timestamp_ntz"))
-        others = [
-            F.try_to_timestamp(F.trim(col), F.lit(fmt)).cast("timestamp_ntz")
-            for fmt in DATE_FORMATS
-        ]
-        # Longer text is never a date; this skips the parsers on prose.
-        plausible = (F.length(col) <= _LONGEST_DATE_TEXT) & col.rlike(r"\d")
-        return F.coalesce(iso, F.when(plausible, F.coalesce(*others)))
+        trimmed = F.trim(col)
+        parsed = F.when(trimmed.rlike(_ISO_TEXT), trimmed.try_cast("timestamp_ntz"))
+        for shape, layouts in DATE_FORMATS.items():
+            tried = [
+                F.try_to_timestamp(trimmed, F.lit(layout)).cast("timestamp_ntz")
+                for layout in layouts
+            ]
+            parsed = parsed.when(trimmed.rlike(shape), F.coalesce(*tried))
+        # Longer text is never a date; this skips the patterns on prose.
+        return F.when(F.length(col) <= _LONGEST_DATE_TEXT, parsed)
     if is_numeric(dtype):  # nanoseconds since the epoch
         micros = F.floor(number(df, name) / F.lit(1000.0))
         return F.timestamp_micros(micros).cast("timestamp_ntz")

@@ -15,7 +15,7 @@ def join_null_safe(
 ) -> DataFrame:
     """Equi join on ``keys`` with NULL = NULL; keeps the left key columns."""
     if not keys:
-        return left.crossJoin(right)  # right: one row, a whole-table aggregate
+        raise ValueError("a join needs at least one key")
     renamed = {k: f"_right_{i}" for i, k in enumerate(keys)}
     other = right.select(*[ref(c).alias(renamed.get(c, c)) for c in right.columns])
     condition = F.lit(True)

@@ -70,9 +70,8 @@ def next_start(start: dt.date, period: str) -> dt.date:
 def timestamp_text(ts: Column) -> Column:
     """Date only at midnight, else ISO 8601 with the time of day."""
     midnight = ts.cast("date").cast("timestamp_ntz")
-    whole_second = F.date_trunc("second", ts).cast("timestamp_ntz")
     return (
         F.when(ts == midnight, F.date_format(ts, "yyyy-MM-dd"))
-        .when(ts == whole_second, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -18,6 +19,7 @@ from tablewright.ml.density import dbscan
 from tablewright.ml.features import SEED, assemble, encode_features
 
 RESTARTS = 10
+PARALLEL_FITS = 4
 POINTS = 2000
 
 
@@ -84,6 +86,21 @@ def projection(df: DataFrame, names: Sequence[str], points: int = POINTS) -> Dat
     return placed.orderBy(draw).limit(points).select("x", "y", "cluster")
 
 
+def _best_kmeans(table: DataFrame, k: int, restarts: int):
+    """Lowest training cost of ``restarts`` seeds; a few seeds train side by side."""
+
+    def fit(seed: int):
+        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(table)
+
+    table.cache()
+    try:
+        with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+            fits = list(pool.map(fit, range(SEED, SEED + restarts)))
+    finally:
+        table.unpersist()
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
 def run_clustering(
     df: DataFrame,
     feature_columns: Sequence[str],
@@ -102,13 +119,7 @@ def run_clustering(
         labelled = dbscan(table, names, eps, min_points)
     else:
         algorithm = "kmeans"
-        fits = [
-            KMeans(k=n_clusters, seed=SEED + i, featuresCol="features", predictionCol="cluster").fit(
-                table
-            )
-            for i in range(restarts)
-        ]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        best = _best_kmeans(table, n_clusters, restarts)
         labelled = best.transform(table)
     labelled = written(labelled)
     sizes = cluster_sizes(labelled)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tablewright.operators.profile import Profile, profile
-from tablewright.operators.stats import describe, iqr_outliers, strongest_pairs
+from tablewright.operators.stats import iqr_outliers, skewness, strongest_pairs
 
 # Thresholds of the rules.
 MISSING_PCT = 5
@@ -66,7 +66,7 @@ def _skewed(df: DataFrame, columns: list[str]) -> list[tuple[str, str, str]]:
             f"'{r['column']}' is skewed",
             f"{'right' if r['skew'] > 0 else 'left'}-skewed (skew={round(r['skew'], 2)})",
         )
-        for r in _in_order(describe(df, columns).select("column", "skew"), columns)
+        for r in _in_order(skewness(df, columns), columns)
         if r["skew"] and abs(r["skew"]) > SKEW
     ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.durable import written
 from tablewright.functions.coerce import (
     is_numeric,
     is_temporal,
@@ -30,6 +31,8 @@ CATEGORY_DISTINCT = 20
 CATEGORY_SHARE = 0.05
 CATEGORY_LENGTH = 50
 SAMPLE_VALUES = 5
+# Repeated row hashes up to this number are broadcast (8 bytes each).
+BROADCAST_HASHES = 500_000
 
 
 @dataclass(frozen=True)
@@ -156,21 +159,27 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
     The first shuffle carries one 8-byte hash per distinct row. Whole rows are
     grouped only where the hash repeats, so the count is exact and a table
-    without duplicates never shuffles its rows.
+    without duplicates never shuffles its rows. Copies collapse on the map
+    side in either shuffle.
     """
-    cells = [text(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    rows = df.select(*cells)
+    spark = df.sparkSession
+    schema = "duplicate_rows long, total_rows long"
+    rows = df.select(*[text(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
     hashes = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = hashes.where("_n > 1").select("_hash")
-    copies = (
-        hashed.join(repeated, "_hash", "left_semi")
-        .groupBy("_hash", *rows.columns)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
+    repeated = written(hashes.where("_n > 1"))
+    facts = repeated.agg(F.count(F.lit(1)).alias("hashes")).first()
+    total = df.count()
+    if not facts["hashes"]:
+        return spark.createDataFrame([(0, total)], schema)
+    suspects = hashed
+    if facts["hashes"] <= BROADCAST_HASHES:
+        suspects = hashed.join(F.broadcast(repeated.select("_hash")), "_hash", "left_semi")
+    copies = suspects.groupBy("_hash", *rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return copies.agg(
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.lit(total).cast("long").alias("total_rows"),
     )
-    total = hashes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"))
-    return copies.crossJoin(total)  # one row each
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -244,26 +253,40 @@ def _types(
 def inferred_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Semantic type per column.
 
-    Distinct values are counted only for columns whose type depends on them.
+    Distinct values are counted exactly only where an approximate count is
+    within a factor of two of the threshold that decides the type.
     """
     require_columns(df, columns)
     facts = _column_facts(df, columns)
     undecided = [
         c
         for c in columns
-        if not isinstance(
-            df.schema[c].dataType, (T.BooleanType, T.FractionalType)
-        )
+        if not isinstance(df.schema[c].dataType, (T.BooleanType, T.FractionalType))
         and not is_temporal(df.schema[c].dataType)
     ]
-    unique = {}
+    unique: dict[str, int] = {}
     if undecided:
-        unique = {
-            r["column"]: r["unique_count"] for r in distinct_counts(df, undecided).collect()
-        }
+        about = df.agg(
+            *[F.approx_count_distinct(ref(c)).alias(f"u{i}") for i, c in enumerate(undecided)]
+        ).first()
+        unique = {c: about[f"u{i}"] for i, c in enumerate(undecided)}
+        close = [c for c in undecided if _near_threshold(df, c, unique[c], facts["rows"])]
+        if close:
+            exact = {
+                r["column"]: r["unique_count"] for r in distinct_counts(df, close).collect()
+            }
+            unique.update({c: exact.get(c, 0) for c in close})
     return _types(df, columns, facts, unique)
 
 
+def _near_threshold(df: DataFrame, column: str, about: int, rows: int) -> bool:
+    if is_numeric(df.schema[column].dataType):
+        limits = (CODE_DISTINCT, CODE_SHARE * rows)
+    else:
+        limits = (max(CATEGORY_DISTINCT, CATEGORY_SHARE * rows),)
+    return any(limit / 2 <= about <= limit * 2 for limit in limits)
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> Profile:
     """Counts and semantic type of every column; only scalars reach the driver."""
     names = list(columns or df.columns)
@@ -307,7 +330,8 @@ def dataset_summary(df: DataFrame) -> DataFrame:
             F.collect_list(F.when(F.col("missing_count") > 0, F.struct("column", "missing_count")))
         ).alias("missing_by_column"),
     )
-    return gaps.crossJoin(duplicate_count(df).select("duplicate_rows")).select(
+    duplicates = duplicate_count(df).first()["duplicate_rows"]
+    return gaps.select(
         "row_count",
         F.lit(len(fields)).alias("column_count"),
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
@@ -315,7 +339,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.array(*[F.lit(c) for c in categorical])
         .cast("array<string>")
         .alias("categorical_columns"),
-        "duplicate_rows",
+        F.lit(duplicates).cast("long").alias("duplicate_rows"),
         "missing_cells",
         "missing_by_column",
     )

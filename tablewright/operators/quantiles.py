@@ -19,10 +19,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.durable import written
 from tablewright.functions.coerce import number, ref, require_columns
 from tablewright.functions.joins import join_null_safe
 
-IN_MEMORY_ROWS = 2_000_000
+# Rows up to which a quantile is left to ``percentile``: for each column, and
+# for all groups of a grouped one together.
+IN_MEMORY_ROWS = 100_000
+IN_MEMORY_GROUP_ROWS = 1_000_000
+# Group tables up to this size are broadcast; hot groups of larger ones are.
+BROADCAST_GROUPS = 50_000
+HOT_GROUPS = 10_000
+# Groups up to this size need no sketch: their bracket is all of their values.
+SMALL_GROUP_ROWS = 100_000
+COLUMNS_PER_PASS = 16
 SKETCH_ACCURACY = 10_000
 _MARGIN = 3.0 / SKETCH_ACCURACY
 
@@ -63,18 +73,40 @@ def _pick(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _beside_group(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int, limit: int
+) -> DataFrame:
+    """Every row with its group's row of ``groups`` (which has the size as ``_n``).
+
+    A group table of checked size is broadcast, so rows stay where they are.
+    Beyond it only the hot groups are, of which there are at most
+    ``HOT_GROUPS``, and the rows left to shuffle have no hot key.
+    """
+    if groups.count() <= limit:
+        return join_null_safe(rows, F.broadcast(groups), keys)
+    is_hot = F.col("_n") > F.lit(total / HOT_GROUPS)
+    hot, cold = groups.where(is_hot), groups.where(~is_hot)
+    hot_keys = F.broadcast(hot.select(*[ref(k) for k in keys]))
+    others = join_null_safe(rows, hot_keys, keys, "left_anti")
+    return join_null_safe(rows, F.broadcast(hot), keys).unionByName(
+        join_null_safe(others, cold, keys)
+    )
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_rows: int = IN_MEMORY_GROUP_ROWS,
+    broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
     """Per group: keys, ``rows`` and ``q0..qk`` over non-NULL ``value`` (DOUBLE)."""
     require_columns(df, [*keys, value])
     by = [ref(k) for k in keys]
     rows = df.select(*by, number(df, value).alias("_value")).na.drop(subset=["_value"])
-    if rows.count() <= in_memory_rows:
+    total = rows.count()
+    if total <= in_memory_rows:
         return rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("rows"),
             *[
@@ -84,16 +116,21 @@ def group_quantiles(
         )
 
     bounds = [_clip(p + s) for p in probabilities for s in (-_MARGIN, _MARGIN)]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(
-            "_value", F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)
-        ).alias("_bounds"),
+    sketch = written(
+        rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.percentile_approx(
+                "_value", F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)
+            ).alias("_bounds"),
+            F.min("_value").alias("_min"),
+            F.max("_value").alias("_max"),
+        )
     )
-    with_bounds = join_null_safe(rows, sketch, keys)
+    with_bounds = _beside_group(rows, sketch, keys, total, broadcast_groups)
     targets = range(len(probabilities))
-    low = [F.col("_bounds")[2 * i] for i in targets]
-    high = [F.col("_bounds")[2 * i + 1] for i in targets]
+    small = F.col("_n") <= SMALL_GROUP_ROWS
+    low = [F.when(small, F.col("_min")).otherwise(F.col("_bounds")[2 * i]) for i in targets]
+    high = [F.when(small, F.col("_max")).otherwise(F.col("_bounds")[2 * i + 1]) for i in targets]
     below = with_bounds.groupBy(*by).agg(
         F.max("_n").alias("_n"),
         *[F.count_if(F.col("_value") < low[i]).alias(f"_below{i}") for i in targets],
@@ -174,6 +211,12 @@ def column_quantiles(
     a bracket to about 1/1700 of its rows.
     """
     require_columns(df, columns)
+    if len(columns) > COLUMNS_PER_PASS:
+        out: dict[str, list[float] | None] = {}
+        for at in range(0, len(columns), COLUMNS_PER_PASS):
+            chunk = columns[at : at + COLUMNS_PER_PASS]
+            out.update(column_quantiles(df, chunk, probabilities, in_memory_rows))
+        return out
     values = df.select(*[number(df, c).alias(c) for c in columns])
     if df.count() <= in_memory_rows:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -200,7 +243,7 @@ def column_quantiles(
         if not wide or not _narrow(values, wide):
             break
     found = _select_ranks(values, targets)
-    out: dict[str, list[float] | None] = {c: None for c in columns}
+    out = {c: None for c in columns}
     for i, t in enumerate(targets):
         if out[t.column] is None:
             out[t.column] = []
@@ -213,29 +256,41 @@ def _bracketed(t: _Target) -> Column:
 
 
 def _narrow(values: DataFrame, targets: list[_Target]) -> bool:
-    """Shrink every bracket; False when no bracket got smaller."""
+    """Shrink every bracket; False when no bracket got smaller.
+
+    Targets that still share a bracket share one sketch of it.
+    """
+    shared: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
     sketched = values.agg(
         *[
             F.percentile_approx(
-                _bracketed(t),
+                _bracketed(group[0]),
                 F.array(
                     *[
                         F.lit(_clip((t.rank - t.below) / max(t.inside - 1, 1) + s))
+                        for t in group
                         for s in (-_MARGIN, _MARGIN)
                     ]
                 ),
                 F.lit(SKETCH_ACCURACY),
             ).alias(f"b{i}")
-            for i, t in enumerate(targets)
+            for i, group in enumerate(shared.values())
         ]
     ).first()
+    bounds = {
+        id(t): sketched[f"b{i}"][2 * j : 2 * j + 2]
+        for i, group in enumerate(shared.values())
+        for j, t in enumerate(group)
+    }
     counts = values.agg(
         *[
             expr.alias(f"{name}{i}")
             for i, t in enumerate(targets)
             for name, expr in (
-                ("below", F.count_if(ref(t.column) < F.lit(sketched[f"b{i}"][0]))),
-                ("inside", F.count_if(ref(t.column).between(*map(F.lit, sketched[f"b{i}"])))),
+                ("below", F.count_if(ref(t.column) < F.lit(bounds[id(t)][0]))),
+                ("inside", F.count_if(ref(t.column).between(*map(F.lit, bounds[id(t)])))),
             )
         ]
     ).first()
@@ -243,7 +298,7 @@ def _narrow(values: DataFrame, targets: list[_Target]) -> bool:
     for i, t in enumerate(targets):
         below, inside = counts[f"below{i}"], counts[f"inside{i}"]
         if t.holds(below, inside) and inside < t.inside:
-            (t.low, t.high), t.below, t.inside = sketched[f"b{i}"], below, inside
+            (t.low, t.high), t.below, t.inside = bounds[id(t)], below, inside
             shrunk = True
     return shrunk
 

@@ -21,6 +21,7 @@ from tablewright.functions.periods import (
     period_start,
 )
 from tablewright.operators.quantiles import (
+    IN_MEMORY_GROUP_ROWS,
     IN_MEMORY_ROWS,
     column_quantiles,
     group_quantiles,
@@ -89,7 +90,7 @@ def group_by(
     dimension_column: str,
     aggregation: str = "sum",
     limit: int = 20,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_rows: int = IN_MEMORY_GROUP_ROWS,
 ) -> DataFrame:
     """Groups by size of the aggregated value; NULL is a group of its own."""
     require_columns(df, [metric_column, dimension_column])
@@ -125,7 +126,7 @@ def trend(
     metric_column: str,
     period: str = "M",
     aggregation: str = "sum",
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_rows: int = IN_MEMORY_GROUP_ROWS,
 ) -> DataFrame:
     """Metric per calendar period, ascending; empty periods do not appear."""
     check_period(period)

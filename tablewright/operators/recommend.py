@@ -100,12 +100,9 @@ def anomaly_findings(df: DataFrame, metric_column: str) -> DataFrame:
     flagged = values.select("x", z.alias("z")).where(
         (F.col("z") >= ANOMALY_Z) & F.lit(usable)
     )
-    samples = (
-        flagged.orderBy(F.col("z").desc(), "x")
-        .limit(5)
-        .agg(F.collect_list(F.round("x", 2)).alias("samples"))
-    )
-    found = flagged.agg(F.count("x").alias("count"), F.max("z").alias("max_z")).crossJoin(samples)
+    largest = flagged.orderBy(F.col("z").desc(), "x").limit(5).select(F.round("x", 2))
+    samples = [F.lit(r[0]) for r in largest.collect()]
+    found = flagged.agg(F.count("x").alias("count"), F.max("z").alias("max_z"))
     return _finding(
         found.where("count > 0"),
         3,
@@ -118,7 +115,7 @@ def anomaly_findings(df: DataFrame, metric_column: str) -> DataFrame:
         affected_rows=F.col("count"),
         total_rows=F.lit(facts["n"]),
         max_abs_z=F.round("max_z", 2),
-        sample_values=F.col("samples"),
+        sample_values=F.array(*samples).cast("array<double>"),
     )
 
 

@@ -47,6 +47,16 @@ def sample_skewness(value: Column) -> Column:
     return F.when((n >= 3) & (F.stddev_pop(value) == 0), F.lit(0.0)).when(n >= 3, corrected)
 
 
+def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column and bias-corrected skew, in one pass."""
+    values = _numbers(df, columns)
+    return _per_column(
+        values.agg(*[sample_skewness(ref(c)).alias(f"skew{i}") for i, c in enumerate(columns)]),
+        columns,
+        ["skew"],
+    )
+
+
 def sample_kurtosis(value: Column) -> Column:
     """Bias-corrected excess kurtosis; 0 for a constant, NULL below 4 values."""
     n = F.count(value).cast("double")

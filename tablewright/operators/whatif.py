@@ -126,6 +126,6 @@ def run_scenarios(
         .groupBy("dimension_column", "segment_value")
         .agg(F.sum("metric").alias("baseline_segment"))
     )
-    total = df.agg(F.sum(metric).alias("baseline_total"))
-    totals = table.join(segments, ["dimension_column", "segment_value"], "left").crossJoin(total)
-    return _segment_impact(totals)
+    total = df.agg(F.sum(metric).alias("total")).scalar()
+    totals = table.join(segments, ["dimension_column", "segment_value"], "left")
+    return _segment_impact(totals.withColumn("baseline_total", total))

@@ -1,6 +1,6 @@
 import pytest
 
-from tablewright.operators import query as ask
+from tablewright.operators import quantiles, query as ask
 from tablewright.operators.ordering import forward_fill, with_row_number
 from tablewright.operators.quantiles import column_quantiles, group_quantiles
 from tablewright.plans.registry import run_operator
@@ -79,9 +79,15 @@ def test_bracketed_column_quantiles_are_exact(heavy):
     assert column_quantiles(heavy, ["x"], PROBS, in_memory_rows=50)["x"] == pytest.approx(expected)
 
 
-def test_bracketed_group_quantiles_are_exact(heavy):
+@pytest.mark.parametrize("small_group, broadcast_groups", [(100_000, 100), (200, 100), (200, 2)])
+def test_bracketed_group_quantiles_are_exact(heavy, monkeypatch, small_group, broadcast_groups):
+    monkeypatch.setattr(quantiles, "SMALL_GROUP_ROWS", small_group)
+    monkeypatch.setattr(quantiles, "HOT_GROUPS", 5)
+    monkeypatch.setattr(quantiles, "_MARGIN", 0.01)
     small = group_quantiles(heavy, ["k"], "x", PROBS)
-    big = group_quantiles(heavy, ["k"], "x", PROBS, in_memory_rows=0)
+    big = group_quantiles(
+        heavy, ["k"], "x", PROBS, in_memory_rows=0, broadcast_groups=broadcast_groups
+    )
     expected = {r["k"]: tuple(r)[1:] for r in small.collect()}
     got = {r["k"]: tuple(r)[1:] for r in big.collect()}
     assert got.keys() == expected.keys()
