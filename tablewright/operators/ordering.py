@@ -17,29 +17,20 @@ from tablewright.durable import written
 from tablewright.functions.coerce import ref, require_columns
 from tablewright.functions.joins import join_null_safe
 
-SLICE_BYTES = 256 * 1024 * 1024
-MAX_SLICES = 100_000
 SLICE = "_slice"
 TIE = "_tie"
 
 
-def _slice_count(df: DataFrame) -> int:
-    """Enough slices for the input's estimated size, never fewer than configured."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = df._jdf.queryExecution().optimizedPlan()
-    estimate = int(plan.stats().sizeInBytes().toString()) // SLICE_BYTES
-    return max(configured, min(estimate, MAX_SLICES))
-
-
 def ordered_slices(
     df: DataFrame, order: Sequence[Column], slices: int | None = None
 ) -> DataFrame:
     """Rows plus ``_slice``, ascending in ``order``, and ``_tie``, a row hash.
 
+    There are ``spark.sql.shuffle.partitions`` slices unless ``slices`` is given.
     Equal rows fall next to each other; their last sort key is the input
     position, so a large group of copies is spread over several slices.
     """
-    n = slices or _slice_count(df)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tied = df.withColumn(TIE, F.xxhash64(*[ref(c) for c in df.columns]))
     ranged = tied.repartitionByRange(
         n, *order, F.col(TIE), F.monotonically_increasing_id()
