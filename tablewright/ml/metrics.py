@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.coerce import ref
@@ -72,16 +72,18 @@ def classification_scores(counts: DataFrame) -> DataFrame:
     )
 
 
+def r2_score(label: str, prediction: str) -> Column:
+    """Share of the label's variance that the prediction explains, as an aggregate."""
+    error = ref(label) - ref(prediction)
+    spread = F.var_pop(ref(label)) * F.count(ref(label))
+    return F.lit(1.0) - F.try_divide(F.sum(error * error), spread)
+
+
 def regression_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """r2_score, mae and rmse."""
     error = ref(label) - ref(prediction)
     return df.agg(
-        (
-            F.lit(1.0)
-            - F.try_divide(
-                F.sum(error * error), F.var_pop(ref(label)) * F.count(ref(label))
-            )
-        ).alias("r2_score"),
+        r2_score(label, prediction).alias("r2_score"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
     )

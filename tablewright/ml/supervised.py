@@ -20,7 +20,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.coerce import number, text
@@ -47,6 +47,7 @@ from tablewright.ml.metrics import (
     classification_scores,
     confusion_counts,
     confusion_matrix,
+    r2_score,
     regression_scores,
 )
 
@@ -117,13 +118,14 @@ def _chosen(available: dict[str, Callable], algorithm: str | None, optional: set
 
 
 def _cross_validated(
-    table: DataFrame, make: Callable, folds: int, score: Callable[[DataFrame], float]
+    table: DataFrame, make: Callable, folds: int, score: Callable[[], Column]
 ) -> list[float]:
     """Score of each fold by a model fitted on the others; folds train side by side."""
 
     def one(fold: int) -> float:
         model = make().fit(table.where(F.col("fold") != fold))
-        return score(model.transform(table.where(F.col("fold") == fold)))
+        scored = model.transform(table.where(F.col("fold") == fold))
+        return scored.agg(score()).first()[0]
 
     with ThreadPoolExecutor(max_workers=folds) as pool:
         return list(pool.map(one, range(folds)))
@@ -134,7 +136,7 @@ def _fit_all(
     makers: dict[str, Callable],
     folds: int,
     score_table: Callable[[DataFrame], DataFrame],
-    main: str,
+    fold_score: Callable[[], Column],
     cv_name: str,
 ) -> tuple[dict, dict]:
     """Test scores per model, with the mean and spread over the folds."""
@@ -145,9 +147,7 @@ def _fit_all(
         scores[name] = score_table(models[name].transform(test)).first().asDict()
         scores[name].update({f"{cv_name}_mean": None, f"{cv_name}_std": None, "cv_folds": None})
         if folds >= 2:
-            values = _cross_validated(
-                table, make, folds, lambda scored: score_table(scored).first()[main]
-            )
+            values = _cross_validated(table, make, folds, fold_score)
             scores[name].update(
                 {
                     f"{cv_name}_mean": statistics.fmean(values),
@@ -206,8 +206,8 @@ def run_classification(
         inputCol="_class", outputCol="label", stringOrderType="alphabetAsc"
     ).fit(labelled)
     classes = list(indexer.labels)
-    ready = assemble(indexer.transform(labelled), names).select("label", "features", *names)
-    table = with_split(ready, folds, "label" if stratified else None)
+    ready = indexer.transform(labelled).select("label", *names)
+    table = assemble(with_split(ready, folds, "label" if stratified else None), names)
     # The label's metadata tells tree learners how many classes there are.
     table = table.withColumn(
         "label", F.col("label").alias("label", metadata=ready.schema["label"].metadata)
@@ -219,7 +219,7 @@ def run_classification(
         makers,
         folds,
         lambda scored: classification_scores(confusion_counts(scored, "label", "prediction")),
-        "accuracy",
+        lambda: F.avg((F.col("label") == F.col("prediction")).cast("double")),
         "cv_accuracy",
     )
     best = _best(scores, "accuracy")
@@ -282,14 +282,14 @@ def run_regression(
         )
     folds = min(FOLDS, facts["rows"] // 5) if facts["rows"] >= 25 and cross_validate else 0
     encoded, names = encode_features(known, features)
-    table = with_split(assemble(encoded, names).select("label", "features", *names), folds)
+    table = assemble(with_split(encoded.select("label", *names), folds), names)
     makers = _chosen(regressors(), algorithm, set())
     models, scores = _fit_all(
         table,
         makers,
         folds,
         lambda scored: regression_scores(scored, "label", "prediction"),
-        "r2_score",
+        lambda: r2_score("label", "prediction"),
         "cv_r2",
     )
     best = _best(scores, "r2_score")
@@ -317,3 +317,18 @@ def run_regression(
         classes=[],
         actual_vs_predicted=shown,
     )
+
+
+def explain_model(
+    df: DataFrame,
+    target: str,
+    feature_columns: Sequence[str],
+    task: str = "classification",
+    algorithm: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Importances of the best model, and its test rows with their contributions."""
+    runs = {"classification": run_classification, "regression": run_regression}
+    if task not in runs:
+        raise ValueError(f"Unknown task '{task}'")
+    found = runs[task](df, target, feature_columns, algorithm, cross_validate=False)
+    return found.importances, found.scored

@@ -16,6 +16,8 @@ from tablewright.functions.coerce import (
     timestamp,
 )
 from tablewright.operators.ordering import with_row_number
+from tablewright.operators.profile import Profile
+from tablewright.operators.stats import box_summary
 
 CHART_COLUMNS = 8
 HISTOGRAM_BINS = 20
@@ -165,3 +167,19 @@ def thinned_line(
     ranked = with_row_number(rows, [F.col("x"), *ties])
     step = F.when(F.col("rank_total") > points, F.floor(F.col("rank_total") / points)).otherwise(1)
     return ranked.where(F.pmod(F.col("rank") - 1, step) == 0).select("x", "y").orderBy("x")
+
+
+def chart_tables(df: DataFrame, profiled: Profile) -> dict[str, DataFrame]:
+    """Every chart the columns of a table allow, by name."""
+    numbers, categories = profiled.numerical_columns, profiled.categorical_columns
+    tables = {}
+    if numbers:
+        tables["histograms"] = histograms(df, numbers)
+        tables["box"] = box_summary(df, numbers[:CHART_COLUMNS])
+    if categories:
+        tables["bar"] = category_counts(df, categories)
+    if len(numbers) >= 2:
+        tables["scatter"] = scatter_sample(df, numbers[0], numbers[1])
+    if profiled.datetime_columns and numbers:
+        tables["line"] = thinned_line(df, profiled.datetime_columns[0], numbers[0])
+    return tables

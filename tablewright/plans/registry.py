@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.forecast.report import run_forecast
 from tablewright.ml.cluster import run_clustering
-from tablewright.ml.supervised import run_classification, run_regression
+from tablewright.ml.supervised import explain_model, run_classification, run_regression
 from tablewright.operators.profile import dataset_summary, profile
 from tablewright.operators.query import aggregate, group_by, trend
 from tablewright.operators.recommend import generate_recommendations
@@ -35,6 +35,7 @@ OPERATORS: dict[str, Callable[..., Any]] = {
     "classification": run_classification,
     "regression": run_regression,
     "clustering": run_clustering,
+    "explainability": explain_model,
 }
 
 

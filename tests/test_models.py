@@ -11,7 +11,7 @@ from tablewright.forecast.report import run_forecast
 from tablewright.ml.cluster import run_clustering
 from tablewright.ml.density import dbscan
 from tablewright.ml.features import encode_features, recommended_tasks, screen_features
-from tablewright.ml.supervised import run_classification, run_regression
+from tablewright.ml.supervised import explain_model, run_classification, run_regression
 from tablewright.operators.profile import profile
 
 
@@ -242,3 +242,11 @@ def test_smoothing_finds_the_season():
     t = np.arange(70)
     y = 50 + 0.5 * t + 8 * np.sin(2 * np.pi * t / 7)
     assert smooth(y[:60], 10)[60:] == pytest.approx(y[60:], abs=0.5)
+
+
+def test_explain_model(two_class):
+    importances, scored = explain_model(two_class, "target", ["x1", "x2"], algorithm="decision_tree")
+    assert importances.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    assert scored.count() == 24 and len(scored.first()["contributions"]) == 2
+    with pytest.raises(ValueError, match="Unknown task"):
+        explain_model(two_class, "target", ["x1"], "clustering")

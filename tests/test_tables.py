@@ -231,3 +231,43 @@ def test_report_files(spark, sales, tmp_path):
     assert spark.read.csv(f"{tmp_path}/columns", header=True).count() == 4
     with pytest.raises(ValueError):
         reports.write_report(found, str(tmp_path), "xlsx")
+
+
+def test_duplicates_without_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)] * 2 + [(None, 3)], "x string, y int")
+    monkeypatch.setattr(profile, "BROADCAST_HASHES", 0)
+    assert tuple(profile.duplicate_count(df).first()) == (50, 53)
+
+
+def test_chart_tables(spark):
+    df = spark.range(100).select(
+        F.date_add(F.lit(dt.date(2026, 1, 1)), F.col("id").cast("int")).alias("day"),
+        F.col("id").cast("double").alias("a"),
+        (F.col("id") * 2.0).alias("b"),
+        F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("kind"),
+    )
+    found = charts.chart_tables(df, profile.profile(df))
+    assert {name: t.count() for name, t in found.items()} == {
+        "histograms": 40,
+        "box": 2,
+        "bar": 2,
+        "scatter": 100,
+        "line": 100,
+    }
+
+
+def test_types_near_and_far_from_the_threshold(spark):
+    df = spark.range(1000).select(
+        (F.col("id") % 15).alias("codes"),
+        (F.col("id") % 16).alias("numbers"),
+        F.concat(F.lit("k"), F.col("id") % 50).alias("few"),
+        F.concat(F.lit("k"), F.col("id") % 51).alias("many"),
+        F.concat(F.lit("k"), F.col("id")).alias("ids"),
+    )
+    assert profile.inferred_types(df, df.columns) == {
+        "codes": "categorical",
+        "numbers": "numerical",
+        "few": "categorical",
+        "many": "text",
+        "ids": "text",
+    }
