@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.durable import written
 from tablewright.functions.coerce import (
     label,
     number,
@@ -243,6 +244,8 @@ def rank_findings(findings: DataFrame, max_recommendations: int) -> DataFrame:
     scored = unique.withColumn("score", score)
     best = scored.orderBy(F.col("score").desc(), *sequence).limit(max_recommendations)
     return best.select(
+        "rule",
+        "position",
         "type",
         F.when(F.col("score") >= HIGH_PRIORITY, "high")
         .when(F.col("score") >= MEDIUM_PRIORITY, "medium")
@@ -313,6 +316,7 @@ def generate_recommendations(
         wanted = int(max_recommendations)
     except (TypeError, ValueError):
         wanted = MAX_RECOMMENDATIONS
-    return Recommendations(
-        rank_findings(findings, max(1, min(100, wanted))), valid, dimensions
-    )
+    # At most 100 rows, kept so that the counts do not run every rule again.
+    best = written(rank_findings(findings, max(1, min(100, wanted))))
+    in_order = best.orderBy(F.col("score").desc(), "rule", "position", "value")
+    return Recommendations(in_order.drop("rule", "position"), valid, dimensions)

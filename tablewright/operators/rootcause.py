@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.durable import written
 from tablewright.functions.coerce import (
     day_of,
     label,
@@ -225,8 +226,11 @@ def analyze_period_change(
     dimensions = [d for d in dimension_columns or [] if d in df.columns]
     in_previous = _between(df, date_column, previous_from, previous_to)
     in_current = _between(df, date_column, current_from, current_to)
-    changes = _changes(
-        df.where(in_previous | in_current), metric_column, dimensions, in_previous, in_current
+    # One row per dimension value, kept so that the three tables share one scan.
+    changes = written(
+        _changes(
+            df.where(in_previous | in_current), metric_column, dimensions, in_previous, in_current
+        )
     )
     contributors = _contributors(changes, change)
     reconciliation = (
