@@ -105,8 +105,9 @@ def timestamp(df: DataFrame, name: str) -> Column:
                 for layout in layouts
             ]
             parsed = parsed.when(trimmed.rlike(shape), F.coalesce(*tried))
-        # Longer text is never a date; this skips the patterns on prose.
-        return F.when(F.length(col) <= _LONGEST_DATE_TEXT, parsed)
+        # Every date has a year and none is long; this skips the patterns on other text.
+        plausible = (F.length(col) <= _LONGEST_DATE_TEXT) & col.rlike(r"\d{4}")
+        return F.when(plausible, parsed)
     if is_numeric(dtype):  # nanoseconds since the epoch
         micros = F.floor(number(df, name) / F.lit(1000.0))
         return F.timestamp_micros(micros).cast("timestamp_ntz")

@@ -225,19 +225,32 @@ def column_quantiles(
         ).first()
         return {c: row[f"c{i}"] for i, c in enumerate(columns)}
 
-    ends = values.agg(
+    # The first brackets do not depend on the row counts, so one scan gets both.
+    bounds = [_clip(p + s) for p in probabilities for s in (-_MARGIN, _MARGIN)]
+    facts = values.agg(
         *[
-            f(ref(c)).alias(f"{name}{i}")
+            expr.alias(f"{name}{i}")
             for i, c in enumerate(columns)
-            for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+            for name, expr in (
+                ("n", F.count(ref(c))),
+                ("lo", F.min(ref(c))),
+                ("hi", F.max(ref(c))),
+                (
+                    "b",
+                    F.percentile_approx(
+                        ref(c), F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)
+                    ),
+                ),
+            )
         ]
     ).first()
-    targets = [
-        _Target(c, float(p), ends[f"n{i}"], ends[f"lo{i}"], ends[f"hi{i}"], 0, ends[f"n{i}"])
-        for i, c in enumerate(columns)
-        if ends[f"n{i}"]
-        for p in probabilities
-    ]
+    targets, proposed = [], []
+    for i, c in enumerate(columns):
+        n = facts[f"n{i}"]
+        for j, p in enumerate(probabilities if n else ()):
+            targets.append(_Target(c, float(p), n, facts[f"lo{i}"], facts[f"hi{i}"], 0, n))
+            proposed.append(facts[f"b{i}"][2 * j : 2 * j + 2])
+    _settle(values, targets, proposed)
     while True:
         wide = [t for t in targets if t.inside > in_memory_rows and t.low < t.high]
         if not wide or not _narrow(values, wide):
@@ -284,21 +297,30 @@ def _narrow(values: DataFrame, targets: list[_Target]) -> bool:
         for i, group in enumerate(shared.values())
         for j, t in enumerate(group)
     }
+    return _settle(values, targets, [bounds[id(t)] for t in targets])
+
+
+def _settle(
+    values: DataFrame, targets: list[_Target], bounds: Sequence[Sequence[float]]
+) -> bool:
+    """Take the proposed brackets that exact counts confirm; True if one shrank."""
+    if not targets:
+        return False
     counts = values.agg(
         *[
             expr.alias(f"{name}{i}")
-            for i, t in enumerate(targets)
+            for i, (t, (low, high)) in enumerate(zip(targets, bounds))
             for name, expr in (
-                ("below", F.count_if(ref(t.column) < F.lit(bounds[id(t)][0]))),
-                ("inside", F.count_if(ref(t.column).between(*map(F.lit, bounds[id(t)])))),
+                ("below", F.count_if(ref(t.column) < F.lit(low))),
+                ("inside", F.count_if(ref(t.column).between(F.lit(low), F.lit(high)))),
             )
         ]
     ).first()
     shrunk = False
-    for i, t in enumerate(targets):
+    for i, (t, (low, high)) in enumerate(zip(targets, bounds)):
         below, inside = counts[f"below{i}"], counts[f"inside{i}"]
         if t.holds(below, inside) and inside < t.inside:
-            (t.low, t.high), t.below, t.inside = bounds[id(t)], below, inside
+            t.low, t.high, t.below, t.inside = low, high, below, inside
             shrunk = True
     return shrunk
 
