@@ -45,10 +45,10 @@ def check_input(df: DataFrame, date_column: str, metric_column: str) -> None:
     ).first()
     rows = max(row["rows"], 1)
     if row["dates"] / rows < VALID_SHARE:
-        raise ValueError(f"Column '{date_column}' does not look like a valid date/time column.")
+        raise ValueError(f"'{date_column}' is no date/time column: most values do not parse")
     if row["values"] / rows < VALID_SHARE:
         raise ValueError(
-            f"Column '{metric_column}' does not look like a numeric metric column."
+            f"'{metric_column}' is not numeric: most values do not parse"
         )
 
 
@@ -223,8 +223,7 @@ def prepare(
     size = info.agg(F.max("steps"), F.max("rows")).first()
     if not keys and (size[1] or 0) < MIN_OBSERVATIONS:
         raise ValueError(
-            f"Only {size[1] or 0} valid (date, value) observation(s) found; at least "
-            f"{MIN_OBSERVATIONS} are required to forecast."
+            f"a forecast needs {MIN_OBSERVATIONS} observations, found {size[1] or 0}"
         )
     if (size[0] or 0) > MAX_STEPS:
         raise ValueError(

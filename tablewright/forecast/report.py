@@ -99,9 +99,9 @@ def run_forecast(
 ) -> Forecast:
     """Forecast one series, or one per value of ``keys``."""
     if periods is None or periods < 1:
-        raise ValueError("periods must be a positive integer.")
+        raise ValueError("periods must be 1 or more")
     if periods > MAX_PERIODS:
-        raise ValueError(f"periods cannot exceed {MAX_PERIODS} (2 years) in a single request.")
+        raise ValueError(f"periods must be {MAX_PERIODS} or fewer")
     if method not in METHODS:
         raise ValueError(f"Unknown forecasting method '{method}'")
     prepared = prepare(df, date_column, target_column, keys, grain)

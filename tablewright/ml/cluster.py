@@ -112,7 +112,7 @@ def run_clustering(
 ) -> Clustered:
     """k-means by default, DBSCAN on request."""
     if not feature_columns:
-        raise ValueError("At least one feature_column is required.")
+        raise ValueError("at least one feature is needed")
     encoded, names = encode_features(df, feature_columns)
     table = written(assemble(standardise(encoded, names), names))
     if algorithm == "dbscan":

@@ -56,19 +56,16 @@ def recommended_tasks(profiled: Profile) -> list[str]:
 def check_training_input(df: DataFrame, target: str, features: Sequence[str]) -> int:
     """Row count of a table that can be trained on."""
     if not target:
-        raise ValueError("target_column is required.")
+        raise ValueError("a target column is needed")
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' was not found in the dataset.")
+        raise ValueError(f"target column '{target}' not found")
     if not features:
-        raise ValueError("At least one feature_column is required.")
+        raise ValueError("at least one feature is needed")
     rows = df.count()
     if rows == 0:
-        raise ValueError("Dataset is empty.")
+        raise ValueError("the table is empty")
     if rows < MIN_ROWS:
-        raise ValueError(
-            f"Dataset has only {rows} row(s); at least {MIN_ROWS} are required to train "
-            "a reliable model."
-        )
+        raise ValueError(f"training needs at least {MIN_ROWS} rows, found {rows}")
     return rows
 
 
@@ -79,11 +76,11 @@ def screen_features(
     reasons: dict[str, str] = {}
     for c in features:
         if c == target:
-            reasons[c] = "it is the target column and would leak the answer into the features."
+            reasons[c] = "it is the target, which would leak into the features"
         elif c not in df.columns:
-            reasons[c] = "column not found in dataset."
+            reasons[c] = "there is no such column"
         elif is_temporal(df.schema[c].dataType):
-            reasons[c] = "datetime columns aren't used directly as model features."
+            reasons[c] = "dates are not numbers or categories"
     left = [c for c in features if c not in reasons]
     texts = [c for c in left if is_text(df.schema[c].dataType)]
     if left:
@@ -96,7 +93,7 @@ def screen_features(
         ).first()
         for i, c in enumerate(left):
             if facts[f"constant{i}"]:
-                reasons[c] = "constant value across the dataset, no predictive signal."
+                reasons[c] = "it has a single value"
         limit = min(MAX_CATEGORIES, max(1, rows // 2))
         about = {c: facts[f"about{i}"] for i, c in enumerate(texts)}
         close = [c for c in texts if c not in reasons and about[c] <= _CLEARLY_TOO_MANY]
@@ -107,14 +104,11 @@ def screen_features(
         )
         for c in texts:
             if c not in reasons and exact.get(c, about[c]) > limit:
-                reasons[c] = (
-                    "too many unique values for a categorical feature -- likely an "
-                    "identifier column."
-                )
+                reasons[c] = "it has too many categories and looks like an identifier"
     clean = [c for c in features if c not in reasons]
     warnings = [f"Dropped '{c}': {reasons[c]}" for c in features if c in reasons]
     if not clean:
-        raise ValueError("No usable feature columns remain after validation.")
+        raise ValueError("No usable feature: " + "; ".join(warnings))
     return clean, warnings
 
 

@@ -186,17 +186,13 @@ def run_classification(
     counts = class_counts(df, target)
     facts = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("rows").alias("smallest")).first()
     if facts["classes"] < 2:
-        raise ValueError(
-            f"Target column '{target}' has only {facts['classes']} distinct class -- "
-            "classification needs at least 2."
-        )
+        raise ValueError(f"'{target}' needs two distinct classes, found {facts['classes']}")
     if facts["classes"] > MAX_CLASSES:
         raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
     stratified = facts["smallest"] >= 2
     if not stratified:
         warnings.append(
-            "Some target classes have only one example, so the train/test split could not "
-            "be stratified -- metrics may be less reliable."
+            "A class with a single row kept the split from being stratified, so scores vary more."
         )
     folds = min(FOLDS, facts["smallest"]) if stratified and cross_validate else 0
 
@@ -273,13 +269,10 @@ def run_regression(
     ).first()
     if facts["rows"] < MIN_ROWS:
         raise ValueError(
-            f"Only {facts['rows']} row(s) have a non-null target value; at least {MIN_ROWS} "
-            "are required."
+            f"regression needs at least {MIN_ROWS} rows with a target, found {facts['rows']}"
         )
     if facts["lo"] == facts["hi"]:
-        raise ValueError(
-            f"Target column '{target}' is constant -- there is nothing to predict."
-        )
+        raise ValueError(f"target column '{target}' is constant")
     folds = min(FOLDS, facts["rows"] // 5) if facts["rows"] >= 25 and cross_validate else 0
     encoded, names = encode_features(known, features)
     table = assemble(with_split(encoded.select("label", *names), folds), names)

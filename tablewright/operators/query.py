@@ -33,7 +33,7 @@ AGGREGATIONS = ("sum", "mean", "median", "min", "max", "count")
 def check_aggregation(name: str) -> str:
     name = name.lower()
     if name not in AGGREGATIONS:
-        raise ValueError(f"Unsupported aggregation '{name}'")
+        raise ValueError(f"aggregation must be one of {', '.join(AGGREGATIONS)}, not '{name}'")
     return name
 
 
@@ -64,7 +64,7 @@ def aggregate(
         (F.count(F.lit(1)) - valid).alias("excluded_rows"),
     )
     no_values = F.raise_error(
-        F.lit(f"Column '{metric_column}' has no valid numeric values")
+        F.lit(f"no numbers in '{metric_column}'")
     ).cast("double")
     return row.select(
         F.lit(metric_column).alias("metric"),
@@ -96,11 +96,11 @@ def group_by(
     require_columns(df, [metric_column, dimension_column])
     aggregation = check_aggregation(aggregation)
     if limit < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError("limit must be 1 or more")
     rows = df.select(
         text(df, dimension_column).alias("key"), number(df, metric_column).alias("metric")
     ).na.drop(subset=["metric"])
-    require_rows(rows, f"Column '{metric_column}' has no valid numeric values")
+    require_rows(rows, f"no numbers in '{metric_column}'")
     return (
         _by_key(rows, aggregation, in_memory_rows)
         .orderBy(F.abs("value").desc(), F.col("key").asc_nulls_last())
@@ -132,7 +132,7 @@ def trend(
     check_period(period)
     aggregation = check_aggregation(aggregation)
     rows = _dated(df, date_column, metric_column, period)
-    require_rows(rows, "No valid date/metric rows available")
+    require_rows(rows, "no row has both a date and a number")
     return (
         _by_key(rows, aggregation, in_memory_rows)
         .orderBy("key")

@@ -35,13 +35,8 @@ from tablewright.functions.periods import (
 COMPARISON_MODES = ("full", "comparable")
 TOP_CONTRIBUTORS = 10
 
-# Warnings of the comparable mode.
-DAY_WARNING = (
-    "Current daily period is incomplete. Equivalent elapsed intraday windows were compared."
-)
-PERIOD_WARNING = (
-    "Current period is incomplete. Equivalent elapsed-period windows were compared."
-)
+DAY_WARNING = "The current day is not over: both days are compared up to the same time."
+PERIOD_WARNING = "The current period is not over: both are compared up to the same day."
 
 _COMPARISON_SCHEMA = (
     "metric string, previous_period string, current_period string, previous_value double, "
@@ -151,7 +146,7 @@ def analyze_period_change(
             raise ValueError(f"{kind} column '{name}' does not exist")
     check_period(period)
     if comparison_mode not in COMPARISON_MODES:
-        raise ValueError("comparison_mode must be either 'full' or 'comparable'")
+        raise ValueError(f"comparison_mode must be one of {', '.join(COMPARISON_MODES)}")
     spark = df.sparkSession
 
     rows = df.select(
@@ -159,9 +154,9 @@ def analyze_period_change(
     ).na.drop()
     found = _latest_periods(rows, period)
     if not found:
-        raise ValueError("No valid date/metric rows available for analysis")
+        raise ValueError("no row has both a date and a number")
     if len(found) < 2:
-        raise ValueError("At least two periods are required for root cause analysis")
+        raise ValueError("a root cause needs two periods with rows")
     current, previous = found
 
     previous_from = _midnight(previous["key"])

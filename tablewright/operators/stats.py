@@ -18,6 +18,13 @@ from tablewright.operators.quantiles import (
 PAIRS_PER_PASS = 100
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Advice by share of outliers.
+FEW_OUTLIERS = 0.1
+FEW_ADVICE = "Cap values at the IQR bounds (winsorize)"
+MANY_ADVICE = (
+    "Investigate — a large share of points are flagged; the distribution may be genuinely skewed"
+)
+
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     require_columns(df, columns)
@@ -280,11 +287,8 @@ def iqr_outliers(
         "lower_bound",
         "upper_bound",
         F.coalesce("sample_values", F.array().cast("array<double>")).alias("sample_values"),
-        F.when(share < 0.1, "Cap values at the IQR bounds (winsorize)")
-        .otherwise(
-            "Investigate — a large share of points are flagged; "
-            "the distribution may be genuinely skewed"
-        )
+        F.when(share < FEW_OUTLIERS, FEW_ADVICE)
+        .otherwise(MANY_ADVICE)
         .alias("treatment_suggestion"),
     )
 

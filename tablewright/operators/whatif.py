@@ -17,7 +17,7 @@ def _projected(current: Column, pct: Column) -> Column:
 
 def _check_pct(value: Any) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise ValueError("change_percentage must be a number.")
+        raise ValueError("the change must be a number of percent")
     return float(value)
 
 
@@ -30,17 +30,17 @@ def run_what_if(
 ) -> DataFrame:
     """One row: baseline, projection and impact of one scenario, from one pass."""
     if not metric_column:
-        raise ValueError("metric_column is required.")
+        raise ValueError("a metric is needed")
     pct = F.lit(_check_pct(change_percentage))
     require_columns(df, [c for c in (metric_column, dimension_column) if c])
     metric = number(df, metric_column)
     baseline = F.coalesce(
         F.sum(metric),
-        F.raise_error(F.lit(f"No valid numeric values found in '{metric_column}'.")).cast("double"),
+        F.raise_error(F.lit(f"no numbers in '{metric_column}'")).cast("double"),
     )
     if dimension_column is None:
         if segment_value is not None:
-            raise ValueError("segment_value requires dimension_column.")
+            raise ValueError("a segment needs its dimension")
         total = df.agg(baseline.alias("baseline_total"))
         projected = _projected(F.col("baseline_total"), pct)
         return total.select(
@@ -53,12 +53,10 @@ def run_what_if(
             pct.alias("percentage_impact"),
         )
     if segment_value is None:
-        raise ValueError("segment_value is required when dimension_column is provided.")
+        raise ValueError("a dimension needs one of its segments")
     wanted = text(df, dimension_column) == F.lit(str(segment_value))
     nothing = F.raise_error(
-        F.lit(
-            f"No valid '{metric_column}' values found for {dimension_column}='{segment_value}'."
-        )
+        F.lit(f"no numbers in '{metric_column}' where {dimension_column} is '{segment_value}'")
     ).cast("double")
     totals = df.agg(
         baseline.alias("baseline_total"),

@@ -24,8 +24,7 @@ def validate_identifier(name: str, kind: str = "identifier") -> str:
     """The name itself, or ValueError unless it is letters, digits and underscores."""
     if not isinstance(name, str) or not _IDENTIFIER.fullmatch(name):
         raise ValueError(
-            f"Invalid {kind} '{name}'. Only letters, digits, and underscores are "
-            "allowed, and it must not start with a digit."
+            f"{kind} {name!r} must be letters, digits and underscores, not starting with a digit"
         )
     return name
 
@@ -102,7 +101,7 @@ class JdbcSource:
         df = spark.read.format("jdbc").options(**options).load()
         if limit is not None:
             df = df.limit(limit)
-        require_rows(df, f"Table '{table}' is empty.")
+        require_rows(df, f"table '{table}' has no rows")
         return df
 
     def list_tables(self, spark: SparkSession) -> DataFrame:

@@ -12,7 +12,7 @@ from tablewright.functions.coerce import ref, require_columns, require_rows
 def _at_path(dtype: T.DataType, path: str | None, root: Column) -> tuple[T.DataType, Column]:
     for part in path.split(".") if path else []:
         if not isinstance(dtype, T.StructType) or part not in dtype.names:
-            raise ValueError(f"json_path '{path}' was not found in the data.")
+            raise ValueError(f"the data has no path '{path}'")
         root, dtype = root.getField(part), dtype[part].dataType
     return dtype, root
 
@@ -43,7 +43,7 @@ def flatten(df: DataFrame, column: str, json_path: str | None = None) -> DataFra
     elif isinstance(dtype, T.StructType):
         rows = df.select(node.alias("record")).where(F.col("record").isNotNull())
     else:
-        raise ValueError("data is not a JSON object/array of records")
+        raise ValueError("expected a JSON object or an array of objects")
     return rows.select(*_leaves(dtype, F.col("record")))
 
 
@@ -71,7 +71,7 @@ def read_json(
     )
     if limit is not None:
         flat = flat.limit(limit)
-    require_rows(flat, "JSON source returned an empty dataset.")
+    require_rows(flat, "the JSON source has no records")
     return flat
 
 

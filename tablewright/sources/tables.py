@@ -68,7 +68,7 @@ def normalised(df: DataFrame, source_label: str = "table") -> DataFrame:
     A text column becomes a timestamp when more than 70 % of all rows parse;
     all columns are judged in one pass.
     """
-    require_rows(df, f"'{source_label}' produced no rows to import.")
+    require_rows(df, f"nothing to import from '{source_label}'")
     named = nan_to_null(df.toDF(*[c.strip() for c in df.columns]))
     texts = [f.name for f in named.schema.fields if is_text(f.dataType)]
     if not texts:
