@@ -33,6 +33,7 @@ CATEGORY_LENGTH = 50
 SAMPLE_VALUES = 5
 # Repeated row hashes up to this number are broadcast (8 bytes each).
 BROADCAST_HASHES = 500_000
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 @dataclass(frozen=True)
@@ -264,19 +265,22 @@ def inferred_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         if not isinstance(df.schema[c].dataType, (T.BooleanType, T.FractionalType))
         and not is_temporal(df.schema[c].dataType)
     ]
-    unique: dict[str, int] = {}
-    if undecided:
-        about = df.agg(
-            *[F.approx_count_distinct(ref(c)).alias(f"u{i}") for i, c in enumerate(undecided)]
-        ).first()
-        unique = {c: about[f"u{i}"] for i, c in enumerate(undecided)}
-        close = [c for c in undecided if _near_threshold(df, c, unique[c], facts["rows"])]
-        if close:
-            exact = {
-                r["column"]: r["unique_count"] for r in distinct_counts(df, close).collect()
-            }
-            unique.update({c: exact.get(c, 0) for c in close})
-    return _types(df, columns, facts, unique)
+    return _types(df, columns, facts, _unique_for_types(df, undecided, facts["rows"]))
+
+
+def _unique_for_types(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, int]:
+    """Approximate distinct counts, exact where the type could depend on the error."""
+    if not columns:
+        return {}
+    about = df.agg(
+        *[F.approx_count_distinct(text(df, c), 0.02).alias(f"u{i}") for i, c in enumerate(columns)]
+    ).first()
+    unique = {c: about[f"u{i}"] for i, c in enumerate(columns)}
+    close = [c for c in columns if _near_threshold(df, c, unique[c], rows)]
+    if close:
+        exact = {r["column"]: r["unique_count"] for r in distinct_counts(df, close).collect()}
+        unique.update({c: exact.get(c, 0) for c in close})
+    return unique
 
 
 def _near_threshold(df: DataFrame, column: str, about: int, rows: int) -> bool:
@@ -287,14 +291,26 @@ def _near_threshold(df: DataFrame, column: str, about: int, rows: int) -> bool:
     return any(limit / 2 <= about <= limit * 2 for limit in limits)
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> Profile:
-    """Counts and semantic type of every column; only scalars reach the driver."""
+def profile(
+    df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True
+) -> Profile:
+    """Counts and semantic type of every column; only scalars reach the driver.
+
+    Exact distinct counts shuffle every distinct value. Without
+    ``exact_distinct`` they are within about 2 % and need no shuffle, types
+    stay exact, and the samples are the smallest and the largest value.
+    """
     names = list(columns or df.columns)
     require_columns(df, names)
     facts = _column_facts(df, names)
     rows = facts["rows"]
-    distinct = {r["column"]: r for r in distinct_counts(df, names).collect()}
-    unique = {name: r["unique_count"] for name, r in distinct.items()}
+    if exact_distinct:
+        found = distinct_counts(df, names).collect()
+        unique = {r["column"]: r["unique_count"] for r in found}
+        samples = {r["column"]: list(r["sample_values"]) for r in found}
+    else:
+        unique = _unique_for_types(df, names, rows)
+        samples = _extremes(df, names)
     types = _types(df, names, facts, unique)
     duplicates = duplicate_count(df.select(*[ref(c) for c in names])).first()
     return Profile(
@@ -308,13 +324,30 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> Profile:
                 missing_count=facts[f"m{i}"],
                 missing_pct=round(facts[f"m{i}"] / rows * 100, 2) if rows else 0.0,
                 unique_count=unique.get(name, 0),
-                sample_values=list(distinct[name]["sample_values"]) if name in distinct else [],
+                sample_values=samples.get(name, []),
             )
             for i, name in enumerate(names)
         ],
     )
 
 
+def _extremes(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
+    """Smallest and largest value per column as text, in one pass."""
+    row = df.agg(
+        *[
+            f(text(df, c) if isinstance(df.schema[c].dataType, NESTED) else ref(c))
+            .cast("string")
+            .alias(f"{end}{i}")
+            for i, c in enumerate(names)
+            for end, f in (("lo", F.min), ("hi", F.max))
+        ]
+    ).first()
+    ends = {c: [row[f"lo{i}"], row[f"hi{i}"]] for i, c in enumerate(names)}
+    return {
+        c: [v for v in dict.fromkeys(values) if v is not None] for c, values in ends.items()
+    }
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: counts, column lists by data type, duplicates, missing values."""
     require_rows(df, "Dataset is empty")

@@ -271,3 +271,19 @@ def test_types_near_and_far_from_the_threshold(spark):
         "many": "text",
         "ids": "text",
     }
+
+
+def test_approximate_profile_keeps_the_types(spark):
+    df = spark.range(2000).select(
+        (F.col("id") % 15).alias("code"),
+        F.col("id").alias("number"),
+        F.concat(F.lit("k"), F.col("id") % 100).alias("kind"),
+        F.concat(F.lit("k"), F.col("id")).alias("name"),
+        F.lit(None).cast("string").alias("empty"),
+    )
+    exact, rough = profile.profile(df), profile.profile(df, exact_distinct=False)
+    assert [c.inferred_type for c in exact.columns] == [c.inferred_type for c in rough.columns]
+    for a, b in zip(exact.columns, rough.columns):
+        assert b.unique_count == pytest.approx(a.unique_count, rel=0.1)
+    assert rough.columns[1].sample_values == ["0", "1999"]
+    assert rough.columns[4].sample_values == []
