@@ -38,7 +38,7 @@ def map_batches(
     loaded once; the function returns columns by name, or None for no rows.
     """
     bounded_batches(df.sparkSession)
-    target = _arrow_schema(df.sparkSession, schema)
+    target = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -58,12 +58,12 @@ def _column(values: Any, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     parsed = StructType.fromDDL(schema)
-    return to_arrow_schema(parsed, timezone="UTC")
+    return to_arrow_schema(parsed)
 
 
 def fold(id_column: Column, parts: int) -> Column:
