@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, exact_dedup, packing
+from tablewright.llm import bpe, exact_dedup, near_dedup, packing, substring_dedup
 from tablewright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), bpe.vocabulary_path())
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, folder, "documents")))
+
+
+@query("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"))
