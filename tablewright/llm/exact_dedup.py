@@ -17,14 +17,14 @@ input, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
 
 #: Digests the summary tracks: texts with more than about 1 in 500 of all rows are surely among them.
 TRACKED = 4096
-#: Groups in which partial summaries are merged first, so that no task merges one from every input task.
+#: Groups that each have a summary; what is frequent in all rows is as frequent in one of them at least.
 MERGE_GROUPS = 32
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -47,11 +47,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.min(F.struct((-F.col("size")).alias("s"), F.col("doc_id").isNull().alias("n"), "doc_id"))
     frequent = (
         rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"))
-        .agg(F.expr(f"approx_top_k_accumulate(print, {TRACKED})").alias("sketch"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED})")).alias("top"))
-        .select("top.item", "top.count")
+        .agg(F.expr(f"approx_top_k(print, {TRACKED}, {TRACKED})").alias("top"))
+        .select(F.explode("top").alias("top"))
+        .groupBy("top.item")
+        .agg(F.sum("top.count").alias("count"))
         .where("count > 1")
+        .orderBy(F.desc("count"), "item")
+        .limit(TRACKED)
     )
     # The summary only proposes: counts and winners of what it names are exact.
     heavy = written(
@@ -61,8 +63,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).hint("broadcast")
     common = rows.join(heavy, "text_sha256")
     rest = rows.join(heavy.select("text_sha256"), "text_sha256", "left_anti")
-    from pyspark.sql import Window
-
     same = Window.partitionBy("text_sha256")
     rare = rest.withColumn("group_size", F.count(F.lit(1)).over(same)).withColumn("best", best.over(same))
     columns = ("doc_id", "text_sha256", "group_size", "best")

@@ -8,6 +8,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tablewright.durable import written
 
@@ -30,7 +32,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, Any] | None]],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``df`` through a Python function of Arrow batches.
 
@@ -38,7 +40,7 @@ def map_batches(
     loaded once; the function returns columns by name, or None for no rows.
     """
     bounded_batches(df.sparkSession)
-    target = _arrow_schema(schema)
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -58,14 +60,6 @@ def _column(values: Any, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    parsed = StructType.fromDDL(schema)
-    return to_arrow_schema(parsed)
-
-
 def fold(id_column: Column, parts: int) -> Column:
     """The remainder of crc32 of the id's decimal text; NULL ids have none."""
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(parts))
