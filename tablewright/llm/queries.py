@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, toxicity
+from tablewright.llm import (
+    bpe,
+    exact_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    quality,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from tablewright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +86,18 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
