@@ -328,7 +328,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
     ranked = (
         sliced.withColumn("nth", F.row_number().over(within) - 1)
-        .join(firsts, ["length", "slice"])
+        .join(firsts.hint("merge"), ["length", "slice"])
         .withColumn("rank", F.col("rank_first") + F.col("nth"))
     )
     return ranked.join(
