@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from tablewright.durable import written
 
-#: Rows of one Arrow batch. With texts of a few kilobytes a batch is some megabytes.
-BATCH_ROWS = 500
+#: Rows of one Arrow batch; pairs of large sets, or long texts, then stay below some tens of megabytes.
+BATCH_ROWS = 128
 #: Bytes of one Arrow batch, where Spark knows the setting; one longer text still makes a batch of its own.
 BATCH_BYTES = 32 << 20
 
