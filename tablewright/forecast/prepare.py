@@ -206,10 +206,13 @@ def prepare(
     metric_column: str,
     keys: Sequence[str] = (),
     grain: str = "day",
+    max_steps: int = MAX_STEPS,
 ) -> Prepared:
-    """Regular, gap-free series. Series below five observations are marked in ``info``.
+    """Regular, gap-free series.
 
-    Without keys the table is one series, and too few observations raise.
+    Series below five observations, and series whose calendar is longer than
+    ``max_steps``, have no rows in ``series`` and are marked in ``info``
+    (``too_long``). A table without keys is one series, and either case raises.
     """
     if grain not in GRAIN_SECONDS:
         raise ValueError(f"grain must be one of {', '.join(GRAIN_SECONDS)}")
@@ -219,17 +222,17 @@ def prepare(
     source = df if keys else df.withColumn(ALL, F.lit(0))
     # The only pass over the rows; what follows has one row per slot.
     slots = written(slot_means(source, date_column, metric_column, by, grain))
-    info = written(frequencies(slots, by, grain))
+    info = written(frequencies(slots, by, grain).withColumn("too_long", F.col("steps") > max_steps))
     size = info.agg(F.max("steps"), F.max("rows")).first()
     if not keys and (size[1] or 0) < MIN_OBSERVATIONS:
         raise ValueError(
             f"a forecast needs {MIN_OBSERVATIONS} observations, found {size[1] or 0}"
         )
-    if (size[0] or 0) > MAX_STEPS:
+    if not keys and (size[0] or 0) > max_steps:
         raise ValueError(
-            f"a series spans {size[0]} steps, more than {MAX_STEPS}; use a coarser grain"
+            f"the series spans {size[0]} steps, more than {max_steps}; use a coarser grain"
         )
-    usable = info.where(F.col("rows") >= MIN_OBSERVATIONS)
+    usable = info.where((F.col("rows") >= MIN_OBSERVATIONS) & ~F.col("too_long"))
     columns = [ref(k) for k in by]
     shape = usable.select(
         *columns, "first_slot", "first_month", "first_ts", "unit", "stride", "steps"

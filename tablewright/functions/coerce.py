@@ -18,22 +18,25 @@ MISSING_LABEL = "Missing"
 # Text accepted as a number. Plain casts also take Java suffixes such as "1d".
 _NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
-# Shapes of text dates and the layouts tried on each, after ISO 8601.
+# Shapes of the date part of a text and the layouts tried on each, after ISO 8601.
 # The shape keeps the parser away from text that cannot be a date.
 DATE_FORMATS = {
+    r"^\d{4}-\d{1,2}-\d{1,2}$": ("yyyy-M-d",),
     r"^\d{1,2}/\d{1,2}/\d{4}$": ("M/d/yyyy",),
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$": ("M/d/yyyy H:mm",),
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$": ("M/d/yyyy H:mm:ss",),
+    r"^\d{1,2}/\d{1,2}/\d{2}$": ("M/d/yy",),
     r"^\d{4}/\d{1,2}/\d{1,2}$": ("yyyy/M/d",),
-    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$": ("yyyy/M/d H:mm:ss",),
     r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy",),
     r"^\d{1,2}\.\d{1,2}\.\d{4}$": ("d.M.yyyy",),
-    r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$": ("MMM d, yyyy", "MMMM d, yyyy"),
-    r"^\d{1,2} [A-Za-z]{3,9} \d{4}$": ("d MMM yyyy", "d MMMM yyyy"),
+    r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$": ("MMM d yyyy", "MMMM d yyyy"),
+    r"^\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$": ("d MMM yyyy", "d MMMM yyyy"),
+    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": ("d MMM yy",),
     r"^\d{8}$": ("yyyyMMdd",),
 }
-_LONGEST_DATE_TEXT = 40
-_ISO_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?\s*$"
+# Two-digit years from here on belong to the century before.
+_PIVOT_YEAR = 2069
+_ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+_ISO_OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}:?\d{2})$"
+_CLOCK = r"^(.*?)(?:,?[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)? ?([AaPp][Mm])?)?$"
 
 
 def ref(name: str) -> Column:
@@ -90,30 +93,63 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def timestamp(df: DataFrame, name: str) -> Column:
-    """The column as TIMESTAMP_NTZ; text that is not a full date is NULL."""
+    """The column as TIMESTAMP_NTZ; text that is not a full date is NULL.
+
+    Text with an offset is converted to UTC, so that mixed zones keep their order.
+    """
     col, dtype = ref(name), data_type(df, name)
     if isinstance(dtype, T.TimestampNTZType):
         return col
     if is_temporal(dtype):
         return col.cast("timestamp_ntz")
     if is_text(dtype):
-        trimmed = F.trim(col)
-        parsed = F.when(trimmed.rlike(_ISO_TEXT), trimmed.try_cast("timestamp_ntz"))
-        for shape, layouts in DATE_FORMATS.items():
-            tried = [
-                F.try_to_timestamp(trimmed, F.lit(layout)).cast("timestamp_ntz")
-                for layout in layouts
-            ]
-            parsed = parsed.when(trimmed.rlike(shape), F.coalesce(*tried))
-        # Every date has a year and none is long; this skips the patterns on other text.
-        plausible = (F.length(col) <= _LONGEST_DATE_TEXT) & col.rlike(r"\d{4}")
-        return F.when(plausible, parsed)
+        trimmed = F.regexp_replace(col, r"^\s+|\s+$", "")
+        return F.when(
+            trimmed.rlike(r"^[0-9A-Za-z].*\d"),  # keeps the patterns away from other text
+            F.when(trimmed.rlike(_ISO_TEXT), trimmed.try_cast("timestamp_ntz"))
+            .when(trimmed.rlike(_ISO_OFFSET), _utc(trimmed.try_cast("timestamp")))
+            .otherwise(_spelled(trimmed)),
+        )
     if is_numeric(dtype):  # nanoseconds since the epoch
         micros = F.floor(number(df, name) / F.lit(1000.0))
         return F.timestamp_micros(micros).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")
 
 
+def _utc(instant: Column) -> Column:
+    """The UTC clock time of an instant, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def _spelled(value: Column) -> Column:
+    """A date in one of ``DATE_FORMATS``, with or without a 12 or 24 hour clock."""
+    day_text = F.regexp_extract(value, _CLOCK, 1)
+    spaced = F.regexp_replace(F.regexp_replace(day_text, ",", ""), r"(?<=[A-Za-z])-|-(?=[A-Za-z])", " ")
+    day = None
+    for shape, layouts in DATE_FORMATS.items():
+        tried = [F.try_to_timestamp(spaced, F.lit(layout)).cast("date") for layout in layouts]
+        found = F.coalesce(*tried)
+        day = (
+            F.when(day_text.rlike(shape), found) if day is None else day.when(day_text.rlike(shape), found)
+        )
+    short_year = day_text.rlike(r"[^0-9]\d{2}$")
+    day = F.when(short_year & (F.year(day) >= _PIVOT_YEAR), F.add_months(day, -1200)).otherwise(day)
+    hour, minute, second = (
+        F.coalesce(F.regexp_extract(value, _CLOCK, i).try_cast("int"), F.lit(0)) for i in (2, 3, 4)
+    )
+    half = F.lower(F.regexp_extract(value, _CLOCK, 5))
+    clock = (
+        F.when(half == "", F.when(hour < 24, hour))
+        .when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "pm", 12).otherwise(0))
+    )
+    valid = clock.isNotNull() & (minute < 60) & (second < 60)
+    return F.when(
+        valid, day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), clock, minute, second.cast("decimal(18,6)"))
+    )
+
+
 def day_of(ts: Column) -> Column:
     """Midnight of the day of a TIMESTAMP_NTZ."""
     return ts.cast("date").cast("timestamp_ntz")
@@ -128,9 +164,36 @@ def text(df: DataFrame, name: str) -> Column:
         return F.when(~F.isnan(col), (col + F.lit(0.0).cast(dtype)).cast("string"))
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(col)
+    if isinstance(dtype, T.TimestampType):
+        # In the hour that a clock change repeats, the later instant shows its offset.
+        later = col.cast("timestamp_ntz").cast("timestamp") != col
+        return F.when(later, F.concat(col.cast("string"), F.date_format(col, " XXX"))).otherwise(
+            col.cast("string")
+        )
     return col.cast("string")
 
 
+def has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return has_map(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(has_map(f.dataType) for f in dtype.fields)
+
+
+def groupable(df: DataFrame, name: str) -> Column:
+    """The column's own value in a form that groups and hashes; equal exactly when rows count as equal.
+
+    NaN is NULL and -0.0 is 0.0. Maps compare by their entries in key order.
+    """
+    col, dtype = ref(name), data_type(df, name)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col + F.lit(0.0).cast(dtype))
+    if isinstance(dtype, T.MapType) and not has_map(dtype.keyType) and not has_map(dtype.valueType):
+        return F.array_sort(F.map_entries(col))
+    return F.to_json(col) if has_map(dtype) else col
+
+
 def missing(df: DataFrame, name: str) -> Column:
     """True where the value is NULL or NaN."""
     col = ref(name)

@@ -55,8 +55,8 @@ FOLDS = 5
 TREES = 200
 FOREST_DEPTH = 10
 SHOWN_PREDICTIONS = 200
-# A target with more classes than this is an identifier, not a class.
-MAX_CLASSES = 1000
+# With more classes the confusion counts stay long (label, prediction, rows); the figures are the same.
+SHOWN_CLASSES = 1000
 
 
 @dataclass(frozen=True)
@@ -187,8 +187,6 @@ def run_classification(
     facts = counts.agg(F.count(F.lit(1)).alias("classes"), F.min("rows").alias("smallest")).first()
     if facts["classes"] < 2:
         raise ValueError(f"'{target}' needs two distinct classes, found {facts['classes']}")
-    if facts["classes"] > MAX_CLASSES:
-        raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
     stratified = facts["smallest"] >= 2
     if not stratified:
         warnings.append(
@@ -221,9 +219,9 @@ def run_classification(
     best = _best(scores, "accuracy")
     model = models[best]
     scored = model.transform(table.where("is_test"))
-    confusion = confusion_matrix(
-        confusion_counts(scored, "label", "prediction"), [float(i) for i in range(len(classes))]
-    )
+    confusion = confusion_counts(scored, "label", "prediction")
+    if len(classes) <= SHOWN_CLASSES:
+        confusion = confusion_matrix(confusion, [float(i) for i in range(len(classes))])
     importance, explained, kind = _explained(
         df.sparkSession, model, table, scored, names, features, False, "prediction"
     )

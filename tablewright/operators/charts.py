@@ -28,14 +28,17 @@ POINT_LIMIT = 2000
 def histograms(
     df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
-    """Equal-width histogram of the first eight columns, empty bins included.
+    """Equal-width histogram of each column, empty bins included.
 
     The last bin is closed on the right. A constant column gets a range of
-    width 1 around its value.
+    width 1 around its value. Infinite values have no bin and are left out.
     """
-    names = list(columns)[:CHART_COLUMNS]
+    names = list(columns)
     require_columns(df, names)
-    values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    infinity = F.lit(float("inf"))
+    values = df.select(
+        *[F.when(F.abs(number(df, c)) < infinity, number(df, c)).alias(f"v{i}") for i, c in enumerate(names)]
+    )
     ends = values.agg(
         *[
             f(f"v{i}").alias(f"{end}{i}")
@@ -105,8 +108,8 @@ def histograms(
 def category_counts(
     df: DataFrame, columns: Sequence[str], limit: int = CATEGORY_LIMIT
 ) -> DataFrame:
-    """Most frequent values of the first eight columns; NULL is not counted."""
-    names = list(columns)[:CHART_COLUMNS]
+    """Most frequent values of each column; NULL is not counted."""
+    names = list(columns)
     counts = (
         long_form(df, names)
         .na.drop(subset=["value"])
@@ -169,15 +172,15 @@ def thinned_line(
     return ranked.where(F.pmod(F.col("rank") - 1, step) == 0).select("x", "y").orderBy("x")
 
 
-def chart_tables(df: DataFrame, profiled: Profile) -> dict[str, DataFrame]:
-    """Every chart the columns of a table allow, by name."""
+def chart_tables(df: DataFrame, profiled: Profile, columns: int = CHART_COLUMNS) -> dict[str, DataFrame]:
+    """Every chart the columns of a table allow, by name; of the first ``columns`` of each kind."""
     numbers, categories = profiled.numerical_columns, profiled.categorical_columns
     tables = {}
     if numbers:
-        tables["histograms"] = histograms(df, numbers)
-        tables["box"] = box_summary(df, numbers[:CHART_COLUMNS])
+        tables["histograms"] = histograms(df, numbers[:columns])
+        tables["box"] = box_summary(df, numbers[:columns])
     if categories:
-        tables["bar"] = category_counts(df, categories)
+        tables["bar"] = category_counts(df, categories[:columns])
     if len(numbers) >= 2:
         tables["scatter"] = scatter_sample(df, numbers[0], numbers[1])
     if profiled.datetime_columns and numbers:

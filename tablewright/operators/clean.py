@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tablewright.durable import written
 from tablewright.functions.coerce import (
+    groupable,
+    has_map,
     is_numeric,
     is_text,
     long_form,
@@ -46,8 +48,21 @@ class Cleaned:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row of each group of equal rows; copies collapse before the shuffle."""
-    return df.dropDuplicates()
+    """One row of each group of equal rows; copies collapse before the shuffle.
+
+    Rows are equal as in :func:`duplicate_count`. Columns that hold maps cannot
+    be grouped themselves, so a comparable form stands for them.
+    """
+    keys = {
+        f"__key{i}": groupable(df, f.name)
+        for i, f in enumerate(df.schema.fields)
+        if has_map(f.dataType) or isinstance(f.dataType, (T.FloatType, T.DoubleType))
+    }
+    if not keys:
+        return df.dropDuplicates()
+    named = dict(zip(keys, [f.name for f in df.schema.fields if has_map(f.dataType) or isinstance(f.dataType, (T.FloatType, T.DoubleType))]))
+    plain = [c for c in df.columns if c not in named.values()]
+    return df.withColumns(keys).dropDuplicates([*plain, *keys]).select(*[ref(c) for c in df.columns])
 
 
 def column_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

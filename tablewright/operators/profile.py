@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablewright.durable import written
 from tablewright.functions.coerce import (
+    groupable,
     is_numeric,
     is_temporal,
     is_text,
@@ -165,17 +166,18 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     schema = "duplicate_rows long, total_rows long"
-    rows = df.select(*[text(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = df.select(*[groupable(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
     hashes = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
     repeated = written(hashes.where("_n > 1"))
     facts = repeated.agg(F.count(F.lit(1)).alias("hashes")).first()
-    total = df.count()
+    total = rows.count()
     if not facts["hashes"]:
         return spark.createDataFrame([(0, total)], schema)
-    suspects = hashed
+    wanted = repeated.select("_hash")
     if facts["hashes"] <= BROADCAST_HASHES:
-        suspects = hashed.join(F.broadcast(repeated.select("_hash")), "_hash", "left_semi")
+        wanted = F.broadcast(wanted)  # else both sides are shuffled by the hash
+    suspects = hashed.join(wanted, "_hash", "left_semi")
     copies = suspects.groupBy("_hash", *rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -252,28 +252,50 @@ def _scratch(t: Tables) -> str:
     return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
+# Quotes, commas and line breaks in names, and every fourth balance missing.
+_AWKWARD = """(SELECT c_custkey, CASE c_custkey % 3
+        WHEN 0 THEN c_name || ' "the first" one' WHEN 1 THEN c_name || ', x' || chr(10) || 'y'
+        ELSE c_name END AS c_name, c_nationkey,
+        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer)"""
+
+
+def _awkward_csv(t: Tables) -> str:
+    path = _scratch(t)
+    t.customer.selectExpr(
+        "c_custkey",
+        """CASE c_custkey % 3 WHEN 0 THEN concat(c_name, ' "the first" one')
+        WHEN 1 THEN concat(c_name, ', x', chr(10), 'y') ELSE c_name END AS c_name""",
+        "c_nationkey",
+        "CASE WHEN c_custkey % 4 = 0 THEN 'NA' ELSE CAST(c_acctbal AS STRING) END AS c_acctbal",
+        "CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE c_mktsegment END AS c_mktsegment",
+    ).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
 @query(
     "csv_scan",
-    """SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment
-    FROM customer""",
+    f"""SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment
+    FROM {_AWKWARD}""",
 )
 def _(t: Tables):
-    path = _scratch(t)
-    t.customer.write.option("header", True).csv(path)
-    return rounded(files.read_csv(t.spark, path, t.customer.schema))
+    return rounded(files.read_csv(t.spark, _awkward_csv(t), t.customer.schema))
 
 
 @query(
     "csv_scan_inferred",
-    "SELECT c_mktsegment, sum(c_nationkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1",
+    f"""SELECT c_mktsegment, sum(c_nationkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS balance,
+           count(c_acctbal) AS balances, sum(length(c_name))::BIGINT AS letters
+    FROM {_AWKWARD} GROUP BY 1""",
 )
 def _(t: Tables):
-    path = _scratch(t)
-    t.customer.write.option("header", True).csv(path)
-    read = files.read_csv(t.spark, path)
+    read = files.read_csv(t.spark, _awkward_csv(t))
     return rounded(
         read.groupBy("c_mktsegment").agg(
-            F.sum("c_nationkey").alias("keys"), F.sum("c_acctbal").alias("balance")
+            F.sum("c_nationkey").alias("keys"),
+            F.sum("c_acctbal").alias("balance"),
+            F.count("c_acctbal").alias("balances"),
+            F.sum(F.length("c_name")).alias("letters"),
         )
     )
 

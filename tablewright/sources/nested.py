@@ -44,7 +44,16 @@ def flatten(df: DataFrame, column: str, json_path: str | None = None) -> DataFra
         rows = df.select(node.alias("record")).where(F.col("record").isNotNull())
     else:
         raise ValueError("expected a JSON object or an array of objects")
-    return rows.select(*_leaves(dtype, F.col("record")))
+    return _flat(rows, [], dtype)
+
+
+def _flat(rows: DataFrame, keep: list[str], dtype: T.StructType) -> DataFrame:
+    """``rows`` with the leaves of ``record`` beside ``keep``; every name once."""
+    found = rows.select(*[ref(c) for c in keep], *_leaves(dtype, F.col("record")))
+    twice = sorted({c for c in found.columns if found.columns.count(c) > 1})
+    if twice:
+        raise ValueError(f"two fields flatten to the same name: {', '.join(twice)}")
+    return found
 
 
 def read_json(
@@ -99,8 +108,12 @@ def flatten_json_column(
     typed = df.select(*[ref(c) for c in keep], parsed.alias("document"))
     dtype, node = _at_path(typed.schema["document"].dataType, json_path, F.col("document"))
     if isinstance(dtype, T.ArrayType):
+        if not isinstance(dtype.elementType, T.StructType):
+            raise ValueError("expected a JSON object or an array of objects")
         typed = typed.select(*[ref(c) for c in keep], F.explode(node).alias("record"))
         dtype = dtype.elementType
-    else:
+    elif isinstance(dtype, T.StructType):
         typed = typed.select(*[ref(c) for c in keep], node.alias("record"))
-    return typed.select(*[ref(c) for c in keep], *_leaves(dtype, F.col("record")))
+    else:
+        raise ValueError("expected a JSON object or an array of objects")
+    return _flat(typed, keep, dtype)
