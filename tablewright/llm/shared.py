@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -60,6 +61,16 @@ def _column(values: Any, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's garbage is collected, which a driver with
+    little to do may put off until the disks are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(id_column: Column, parts: int) -> Column:
     """The remainder of crc32 of the id's decimal text; NULL ids have none."""
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(parts))

@@ -10,7 +10,10 @@ each window names its anchor, the run of ``ANCHOR`` words in it with the
 smallest hash. Equal windows have equal anchors, and neighbouring windows
 mostly share one, so only about one anchor for eight words is counted. A window
 whose anchor occurs at one place of the corpus cannot repeat; all others are
-hashed with 128 bits and compared. Nothing is dropped that could matter.
+compared by anchor and window hash, 128 bits in all. Nothing is dropped that
+could matter. Windows travel packed, one row for each place of an anchor. Those
+of frequent anchors (more than ``FREQUENT`` places) are combined on the map
+side instead, so no task gathers all places of a common passage.
 
 Documents of the same word sequence are taken together first: of each such
 group, all but the smallest id are repeats as a whole.
@@ -25,16 +28,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.llm.shared import map_batches
+from tablewright.llm.shared import map_batches, released
 from tablewright.llm.words import split_words, window_hashes, word_hashes
 
 WINDOW = 20
 ANCHOR = 5
-_SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Places from which an anchor's windows are counted with a combining shuffle.
+FREQUENT = 1000
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -106,36 +110,70 @@ def _anchor_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _repeated_anchors(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, anchors): anchors of each document that occur elsewhere, with whether they are frequent."""
+    places = written(_anchor_places(docs, id_col, text_col))
+    often = (
+        places.groupBy("anchor")
+        .agg(F.sum("n").alias("total"))
+        .where("total > 1")
+        .select("anchor", (F.col("total") > FREQUENT).alias("frequent"))
+    )
+    found = (
+        places.join(often, "anchor")
+        .groupBy("doc_id")
+        .agg(F.collect_set(F.struct("anchor", "frequent")).alias("anchors"))
+    )
+    return written(found.join(copies.select("doc_id"), "doc_id", "left_anti"))
+
+
 def _suspects(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(high, low, doc_id, start) of each window whose anchor occurs elsewhere, first places in a document only."""
+    """(anchor, frequent, doc_id, start, windows): hashes of the consecutive windows of each place of an anchor."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = texts.join(repeated, "doc_id").select("doc_id", "text", "anchors")
 
     def make():
         def work(batch: pa.RecordBatch):
-            owners, high, low, starts = [], [], [], []
+            owners, found, often, starts, windows = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 hashes = word_hashes(split_words(text))
-                values, _ = anchors(hashes)
-                wanted = batch.column(2)[row].values.to_numpy(zero_copy_only=False).view("u8")
-                at = np.flatnonzero(np.isin(values, wanted))
-                if len(at):
-                    owners.append(np.full(len(at), row))
-                    high.append(window_hashes(hashes, WINDOW)[at])
-                    low.append(window_hashes(hashes, WINDOW, _SECOND_BASE)[at])
-                    starts.append(at)
+                values, place = anchors(hashes)
+                rolled = window_hashes(hashes, WINDOW).view("i8")
+                listed = batch.column(2)[row].values
+                wanted = listed.field("anchor").to_numpy(zero_copy_only=False)
+                order = np.argsort(wanted)
+                wanted = wanted[order]
+                frequent = listed.field("frequent").to_numpy(zero_copy_only=False)[order]
+                turns = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+                keys = values[turns].view("i8")
+                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                ends = np.concatenate([turns[1:], [len(values)]])
+                for k in np.flatnonzero(wanted[at] == keys):
+                    owners.append(row)
+                    found.append(keys[k])
+                    often.append(bool(frequent[at[k]]))
+                    starts.append(turns[k])
+                    windows.append(rolled[turns[k] : ends[k]])
             if not owners:
                 return None
+            lengths = np.cumsum([0, *map(len, windows)]).astype("i4")
             return {
-                "high": np.concatenate(high).view("i8"),
-                "low": np.concatenate(low).view("i8"),
-                "doc_id": batch.column(0).take(pa.array(np.concatenate(owners))),
-                "start": np.concatenate(starts),
+                "anchor": np.array(found, "i8"),
+                "frequent": often,
+                "doc_id": batch.column(0).take(pa.array(owners)),
+                "start": np.array(starts, "i4"),
+                "windows": pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(windows))),
             }
 
         return work
 
-    return map_batches(both, make, "high long, low long, doc_id long, start int")
+    return map_batches(both, make, "anchor long, frequent boolean, doc_id long, start int, windows array<long>")
+
+
+def _one_by_one(suspects: DataFrame) -> DataFrame:
+    return suspects.select("anchor", "doc_id", "start", F.posexplode("windows").alias("nth", "window")).select(
+        "anchor", "window", "doc_id", (F.col("start") + F.col("nth")).alias("start")
+    )
 
 
 def repeated_windows(
@@ -145,19 +183,27 @@ def repeated_windows(
 
     Documents in ``copies`` repeat a smaller id as a whole and are left out.
     """
-    places = written(_anchor_places(docs, id_col, text_col))
-    often = places.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
-    repeated = places.join(often, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    repeated = repeated.join(copies.select("doc_id"), "doc_id", "left_anti")
+    repeated = _repeated_anchors(docs, copies, id_col, text_col)
+    released(docs.sparkSession)
     suspects = written(_suspects(docs, repeated, id_col, text_col))
+    released(docs.sparkSession)
+    # The packed rows are dealt by anchor; their windows are then in place for (anchor, window).
+    same = Window.partitionBy("anchor", "window").orderBy("doc_id", "start")
+    rare = _one_by_one(suspects.where("not frequent").repartition("anchor"))
+    later = rare.withColumn("nth", F.rank().over(same)).where("nth > 1").select("doc_id", "start")
+    common = _one_by_one(suspects.where("frequent"))
     firsts = (
-        suspects.groupBy("high", "low")
+        common.groupBy("anchor", "window")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
         .where("n > 1")
-        .select("high", "low", "first")
     )
-    later = suspects.join(firsts, ["high", "low"]).where(F.struct("doc_id", "start") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    later_common = (
+        common.join(firsts, ["anchor", "window"])
+        .where(F.struct("doc_id", "start") != F.col("first"))
+        .select("doc_id", "start")
+    )
+    found = later.unionByName(later_common).groupBy("doc_id")
+    return written(found.agg(F.array_sort(F.collect_set("start")).alias("starts")))
 
 
 def _covered(starts: np.ndarray, n: int) -> np.ndarray:
@@ -190,6 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     copies = written(copies)
     starts = repeated_windows(docs, copies, id_col, text_col)
+    released(docs.sparkSession)
     whole = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     marked = whole.unionByName(starts.select("doc_id", F.lit(False).alias("copy"), "starts"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
