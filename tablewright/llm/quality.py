@@ -266,7 +266,7 @@ def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
         .limit(rows)
         .collect()
     )
-    x = np.array([r["features"] for r in sample], float).reshape(len(sample), -1)
+    x = np.array([r["features"] for r in sample], float).reshape(len(sample), len(FEATURES))
     return fit(x, np.array([r["label"] for r in sample], float))
 
 
@@ -303,7 +303,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def make():
         def work(batch: pa.RecordBatch):
             rows = [text_features(x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            good = model.score(np.array(rows, float)) >= THRESHOLD
+            good = model.score(np.array(rows, "f4").astype(float)) >= THRESHOLD  # as stored features
             kept = batch.filter(pa.array(good))
             return {name: kept.column(i) for i, name in enumerate(kept.schema.names)} if kept.num_rows else None
 

@@ -101,3 +101,10 @@ def test_posterior_bounds_keep_similar_pairs():
     counts = equal.cumsum(axis=1)[:, near_dedup.BATCH - 1 :: near_dedup.BATCH]
     assert (counts >= np.array(bounds)).all(axis=1).all()
     assert bounds[-1] > 0.5 * near_dedup.BANDS * near_dedup.ROWS
+
+
+def test_substrings_with_frequent_anchors(documents, corpus, monkeypatch):
+    """The combining path for frequent anchors gives the same result."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 2)
+    found = {r.doc_id: (r.n_words, r.kept_text) for r in substring_dedup.remove_repeats(documents).collect()}
+    assert found == {d: (n, kept) for d, (n, _, kept) in brute.substrings(corpus).items()}
