@@ -132,7 +132,7 @@ def test_structures_are_confirmed():
     assert kinds("ssh " + b64(SSH)) == ["ssh"]
     assert kinds(f"a {TOKEN} b") == ["jwt"]
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(RSA)}\n-----END RSA PRIVATE KEY-----")[-2:] == ["pem", "der"]
-    for broken in (RSA[:-1], RSA + b"\0", b"\x30\x82\x01" + RSA[3:], bytes(range(200))):
+    for broken in (RSA[:-1], RSA + b"\0", b"\x30\x83\x00" + RSA[2:], bytes(range(200))):
         assert kinds(f"x {b64(broken)} y") == []
     assert kinds("a eyJhbGciOjF9.eyJhIjoxfQ.AAAA b") == []
 
