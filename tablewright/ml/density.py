@@ -1,4 +1,4 @@
-"""Exact density clustering (DBSCAN) on up to three standardised features.
+"""Exact density clustering (DBSCAN) on standardised features.
 
 Points are first merged to distinct coordinates with a weight, then put in
 cells so small that all points of a cell are neighbours. A cell holding
@@ -7,6 +7,11 @@ ever formed. The other cells hold fewer than ``min_points`` points each, so
 comparing those with nearby cells costs a constant number of comparisons per
 point. Whether two nearby cells touch is decided on bounding boxes that are
 halved until every pair is settled.
+
+Up to three features, nearby cells are enumerated. Beyond that their number
+would grow with the power of the features, so cells are met by the zone of
+their first three coordinates, with zones at least ``eps`` wide, and judged on
+their bounding boxes in all features.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from tablewright.durable import written
 from tablewright.functions.coerce import ref
 from tablewright.operators.ordering import with_row_number
 
-MAX_FEATURES = 3
+#: Features whose nearby cells are enumerated.
+LISTED_FEATURES = 3
 NOISE = -1
 
 
@@ -52,6 +58,15 @@ def _nearby(cell: Column, offsets: Sequence[tuple[int, ...]]) -> Column:
     )
 
 
+def _zone(cell: Column, d: int) -> Column:
+    """Blocks of cells, at least ``eps`` wide, in the first features."""
+    width = math.isqrt(d - 1) + 1
+    return F.array(*[F.floor(cell[i] / F.lit(width)).cast("long") for i in range(LISTED_FEATURES)])
+
+
+_ZONE_STEPS = list(itertools.product((-1, 0, 1), repeat=LISTED_FEATURES))
+
+
 def _box(names: Sequence[str]) -> list[Column]:
     return [
         F.array(*[F.min(ref(n)) for n in names]).alias("lo"),
@@ -85,10 +100,12 @@ def _point_pairs(
     d = len(names)
     boxes = others.groupBy("cell").agg(F.sum("weight").alias("cell_weight"), *_box(names))
     at = F.array(*[ref(n) for n in names])
-    around = points.select(
-        at.alias("at"), _nearby(F.col("cell"), offsets).alias("cell")
-    )
-    joined = around.join(boxes, "cell")
+    if d <= LISTED_FEATURES:
+        around = points.select(at.alias("at"), _nearby(F.col("cell"), offsets).alias("cell"))
+        joined = around.join(boxes, "cell")
+    else:
+        around = points.select(at.alias("at"), _nearby(_zone(F.col("cell"), d), _ZONE_STEPS).alias("zone"))
+        joined = around.join(boxes.withColumn("zone", _zone(F.col("cell"), d)), "zone")
     least, most = _box_distances(F.col("at"), F.col("at"), F.col("lo"), F.col("hi"), d)
     limit = F.lit(eps * eps)
     return joined.where(least <= limit).select(
@@ -113,23 +130,25 @@ def _touching_cells(
     """Pairs (a, b) of cells with core points of each within ``eps``."""
     d = len(names)
     limit = F.lit(eps * eps)
-    halves = [o for o in offsets if o > tuple([0] * d)]
+    halves = [o for o in offsets if o > (0,) * d]
     boxes = core.groupBy("cell").agg(*_box(names))
-    a = boxes.select(
-        F.col("cell").alias("a"),
-        F.col("lo").alias("a_lo"),
-        F.col("hi").alias("a_hi"),
-        _nearby(F.col("cell"), halves).alias("b"),
-    )
+    listed = d <= LISTED_FEATURES
+    near = _nearby(F.col("cell"), halves).alias("b") if listed else _nearby(
+        _zone(F.col("cell"), d), _ZONE_STEPS
+    ).alias("zone")
+    a = boxes.select(F.col("cell").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), near)
     b = boxes.select(
         F.col("cell").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")
     )
+    if listed:
+        met = a.join(b, "b")
+    else:
+        met = a.join(b.withColumn("zone", _zone(F.col("b"), d)), "zone").where("a < b")
     least, most = _box_distances(
         F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"), d
     )
     judged = written(
-        a.join(b, "b")
-        .withColumns({"least": least, "most": most})
+        met.withColumns({"least": least, "most": most})
         .where(F.col("least") <= limit)
         .select(
             "a",
@@ -238,12 +257,8 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int) ->
     A border point in reach of several clusters joins the first of them.
     """
     d = len(names)
-    if d > MAX_FEATURES:
-        raise ValueError(
-            f"dbscan takes up to {MAX_FEATURES} features; project the table first"
-        )
     side = eps / math.sqrt(d) * (1 - 1e-12)
-    offsets = _offsets(d)
+    offsets = _offsets(d) if d <= LISTED_FEATURES else []
     # -0.0 and 0.0 are one coordinate.
     same_zero = df.withColumns({n: ref(n) + F.lit(0.0) for n in names})
     points = written(

@@ -10,7 +10,7 @@ from tablewright.forecast.prepare import prepare
 from tablewright.forecast.report import evaluate, last_points, run_forecast
 from tablewright.ml import explain, features, metrics
 from tablewright.ml.cluster import cluster_sizes, run_clustering, standardise
-from tablewright.ml.supervised import run_classification, run_regression
+from tablewright.ml.supervised import explain_model, run_classification, run_regression
 from tablewright.plans.inputs import SQL, gappy_lines, gappy_orders
 from tablewright.plans.registry import Tables, query, rounded
 
@@ -21,7 +21,8 @@ LINES, ORDERS = SQL["gappy_lines"], SQL["gappy_orders"]
 # Daily means per event type on a gap-free calendar, gaps interpolated.
 _DAILY = """
     d AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, avg(value) AS v, count(*) AS n
-          FROM events WHERE day(ts) % 6 <> 0 GROUP BY 1, 2),
+          FROM (SELECT event_type, ts, CASE WHEN day(ts) % 6 <> 0 THEN value END AS value FROM events)
+          WHERE value IS NOT NULL GROUP BY 1, 2),
     f AS (SELECT k, min(day) AS a, max(day) AS b, sum(n) AS n, count(*) AS observed
           FROM d GROUP BY 1),
     c AS (SELECT k, a, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM f),
@@ -41,7 +42,10 @@ _DAILY = """
 
 
 def _daily(t: Tables) -> DataFrame:
-    return t.events.where("day(ts) % 6 <> 0").select("ts", "event_type", "value")
+    """events without values on every sixth day."""
+    return t.events.selectExpr(
+        "ts", "event_type", "CASE WHEN day(ts) % 6 <> 0 THEN value END AS value"
+    )
 
 
 @query(
@@ -88,11 +92,11 @@ def _(t: Tables):
     "last_points",
     f"""WITH {_DAILY} SELECT k AS event_type, ts, round(value, 4) AS value
     FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY step DESC) AS r FROM series)
-    WHERE r <= 10""",
+    WHERE r <= 180""",
 )
 def _(t: Tables):
     found = prepare(_daily(t), "ts", "value", ["event_type"])
-    return rounded(last_points(found.series, ["event_type"], 10).drop("step"), 4)
+    return rounded(last_points(found.series, ["event_type"]).drop("step"), 4)
 
 
 _LINE = """
@@ -195,6 +199,12 @@ _PREDICTED = """(SELECT o_orderpriority AS label,
          ELSE o_orderpriority END AS prediction FROM orders)"""
 
 
+_CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEVER"]
+_EACH_CLASS = ", ".join(
+    f"""count(*) FILTER (prediction = '{c}') AS "{c}\"""" for c in _CLASSES
+)
+
+
 def _predicted(t: Tables) -> DataFrame:
     return t.orders.selectExpr(
         "o_orderpriority AS label",
@@ -205,14 +215,11 @@ def _predicted(t: Tables) -> DataFrame:
 
 @query(
     "confusion_matrix",
-    f"""SELECT label, count(*) FILTER (prediction = '1-URGENT') AS "1-URGENT",
-           count(*) FILTER (prediction = '2-HIGH') AS "2-HIGH",
-           count(*) FILTER (prediction = '6-NEVER') AS "6-NEVER"
-    FROM {_PREDICTED} GROUP BY 1""",
+    f"SELECT label, {_EACH_CLASS} FROM {_PREDICTED} GROUP BY 1",
 )
 def _(t: Tables):
     counts = metrics.confusion_counts(_predicted(t), "label", "prediction")
-    return metrics.confusion_matrix(counts, ["1-URGENT", "2-HIGH", "6-NEVER"])
+    return metrics.confusion_matrix(counts, _CLASSES)
 
 
 @query(
@@ -356,8 +363,7 @@ def _(t: Tables):
 @query("classification_tree")
 def _(t: Tables):
     return run_classification(
-        t.orders, "o_orderstatus", ["o_totalprice", "o_orderpriority", "o_custkey"], "decision_tree",
-        cross_validate=False,
+        t.orders, "o_orderstatus", ["o_totalprice", "o_orderpriority", "o_custkey"], "decision_tree"
     ).importances
 
 
@@ -371,18 +377,18 @@ def _(t: Tables):
 @query("regression_actual_vs_predicted")
 def _(t: Tables):
     return run_regression(
-        t.part, "p_retailprice", ["p_size", "p_brand"], "linear_regression", cross_validate=False
+        t.part, "p_retailprice", ["p_size", "p_brand"], "linear_regression"
     ).actual_vs_predicted
 
 
 @query("kmeans_sizes")
 def _(t: Tables):
-    return run_clustering(t.part, ["p_size", "p_retailprice", "p_partkey"], restarts=3).sizes
+    return run_clustering(t.part, ["p_size", "p_retailprice", "p_partkey"]).sizes
 
 
 @query("kmeans_projection")
 def _(t: Tables):
-    found = run_clustering(t.customer, ["c_acctbal", "c_nationkey", "c_custkey"], restarts=1)
+    found = run_clustering(t.customer, ["c_acctbal", "c_nationkey", "c_custkey"])
     return found.points
 
 
@@ -391,6 +397,118 @@ def _(t: Tables):
     return run_clustering(t.customer, ["c_acctbal", "c_nationkey"], "dbscan", eps=0.05).sizes
 
 
+# Five features, so cells are met by zones. The SQL compares all pairs of customers.
+_FIVE = ["c_acctbal", "c_nationkey", "c_custkey", "seventh", "eleventh"]
+_CUSTOMERS = """(SELECT c_custkey AS id, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+    CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(c_custkey % 7 AS DOUBLE) AS seventh,
+    CAST(c_custkey % 11 AS DOUBLE) AS eleventh FROM customer)"""
+
+
+@query(
+    "dbscan_five_features",
+    f"""WITH m AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(_FIVE))}
+               FROM {_CUSTOMERS}),
+         p AS (SELECT id, {", ".join(f"({c} - m{i}) / d{i} AS x{i}" for i, c in enumerate(_FIVE))}
+               FROM {_CUSTOMERS}, m),
+         n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b
+               ON {" + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(5))} <= 0.8 * 0.8),
+         core AS (SELECT a FROM n GROUP BY 1 HAVING count(*) >= 5),
+         reached AS (SELECT DISTINCT b FROM n WHERE a IN (SELECT a FROM core))
+    SELECT (SELECT count(*) FROM reached) AS clustered,
+           (SELECT count(*) FROM p) - (SELECT count(*) FROM reached) AS noise""",
+)
+def _(t: Tables):
+    table = t.customer.selectExpr(
+        "c_acctbal", "c_nationkey", "c_custkey", "c_custkey % 7 AS seventh", "c_custkey % 11 AS eleventh"
+    )
+    found = run_clustering(table, _FIVE, "dbscan", eps=0.8).assigned
+    return found.agg(
+        F.count_if(F.col("cluster") >= 0).alias("clustered"), F.count_if(F.col("cluster") < 0).alias("noise")
+    )
+
+
+@query(
+    "kmeans_fixed_point",
+    "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS moved_centres FROM part",
+)
+def _(t: Tables):
+    """Every row is at its nearest centre, and every centre is the mean of its rows."""
+    names = ["p_size", "p_retailprice", "p_partkey"]
+    found = run_clustering(t.part, names).assigned
+    table = standardise(found.select(*[F.col(c).cast("double") for c in names], "cluster"), names)
+    centres = table.groupBy("cluster").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).collect()
+
+    def distance(row):
+        total = F.lit(0.0)
+        for i, c in enumerate(names):
+            total = total + (F.col(c) - F.lit(row[f"m{i}"])) ** 2
+        return total
+
+    own = F.coalesce(*[F.when(F.col("cluster") == r["cluster"], distance(r)) for r in centres])
+    nearest = F.least(*[distance(r) for r in centres])
+    # The fit stops when centres move by less than its tolerance, so rows may lie that close to a border.
+    return table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.sqrt(own) - F.sqrt(nearest) > 1e-2).alias("misplaced"),
+        F.lit(4 - len(centres)).cast("long").alias("moved_centres"),
+    )
+
+
+# A label that one discrete feature decides, so that every tree must find it. The scores and the
+# confusion of the held-out fifth then follow from the class sizes alone.
+_DECIDED = """(SELECT *, CASE WHEN l_linenumber <= 2 THEN 'few' ELSE 'many' END AS lines FROM lineitem)"""
+_TEST_ROWS = f"""SELECT lines, count(*) - greatest(1, floor(count(*) * 0.8)) AS n FROM {_DECIDED} GROUP BY 1"""
+
+
+def _decided(t: Tables) -> DataFrame:
+    return t.lineitem.selectExpr(
+        "l_linenumber", "l_tax", "CASE WHEN l_linenumber <= 2 THEN 'few' ELSE 'many' END AS lines"
+    )
+
+
+for _algorithm, _validated in (("decision_tree", True), ("boosted_trees", False)):
+
+    @query(
+        f"classification_exact_{_algorithm}",
+        f"""SELECT lines AS label, CAST(CASE lines WHEN 'few' THEN n ELSE 0 END AS BIGINT) AS few,
+               CAST(CASE lines WHEN 'many' THEN n ELSE 0 END AS BIGINT) AS many, 1.0 AS accuracy
+        FROM ({_TEST_ROWS})""",
+    )
+    def _(t: Tables, algorithm: str = _algorithm, validated: bool = _validated):
+        found = run_classification(
+            _decided(t), "lines", ["l_linenumber", "l_tax"], algorithm, cross_validate=validated
+        )
+        names = F.array(*[F.lit(c) for c in found.classes])
+        return found.confusion.select(
+            names[F.col("label").cast("int")].alias("label"),
+            F.col("`0.0`").alias(found.classes[0]),
+            F.col("`1.0`").alias(found.classes[1]),
+            F.lit(round(found.best_score, 6)).alias("accuracy"),
+        )
+
+
+@query(
+    "explain_model_exact",
+    "SELECT 'l_linenumber' AS feature, 1.0 AS importance UNION ALL SELECT 'l_tax', 0.0",
+)
+def _(t: Tables):
+    found, _ = explain_model(_decided(t), "lines", ["l_linenumber", "l_tax"], algorithm="decision_tree")
+    return rounded(found, 6)
+
+
+@query(
+    "regression_exact_linear",
+    """SELECT 'linear_regression' AS model, 1.0 AS r2_score, 0.0 AS mae, 0.0 AS rmse, 1.0 AS cv_r2_mean,
+           0.0 AS cv_r2_std, CAST(5 AS INT) AS cv_folds""",
+)
+def _(t: Tables):
+    table = t.part.selectExpr("p_size", "p_partkey", "3 * p_size - 0.25 * p_partkey + 7 AS y")
+    scores = run_regression(table, "y", ["p_size", "p_partkey"], "linear_regression").scores
+    return rounded(scores, 3).select(
+        *[(F.abs(c) if c not in ("model", "cv_folds") else F.col(c)).alias(c) for c in scores.columns]
+    )
+
+
 @query(
     "cluster_sizes",
     "SELECT CAST(label AS INT) AS cluster, count(*) AS rows FROM embeddings GROUP BY 1",

@@ -210,11 +210,12 @@ def _(t: Tables):
 @query(
     "interpolate",
     """WITH d AS (SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, avg(value) AS v
-               FROM events WHERE day(ts) % 5 NOT IN (0, 1) GROUP BY 1, 2),
-         c AS (SELECT event_type, unnest(generate_series(DATE '2023-12-30', DATE '2024-02-02',
-                                                         INTERVAL 1 DAY))::DATE AS day
-               FROM (SELECT DISTINCT event_type FROM events)),
-         j AS (SELECT c.event_type, datediff('day', DATE '2023-12-30', c.day) AS step, v
+               FROM (SELECT event_type, ts, CASE WHEN day(ts) % 5 NOT IN (0, 1) THEN value END AS value
+                     FROM events) GROUP BY 1, 2),
+         e AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events),
+         c AS (SELECT event_type, a, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day
+               FROM (SELECT DISTINCT event_type FROM events), e),
+         j AS (SELECT c.event_type, datediff('day', a, c.day) AS step, v
                FROM c LEFT JOIN d ON c.event_type = d.event_type AND c.day = d.day),
          n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN step END IGNORE NULLS) OVER b AS s0,
                       last_value(v IGNORE NULLS) OVER b AS v0,
@@ -229,13 +230,12 @@ def _(t: Tables):
                 ELSE v0 + (v1 - v0) * (step - s0) / (s1 - s0) END, 4) AS value FROM n""",
 )
 def _(t: Tables):
-    start = F.lit("2023-12-30").cast("date")
-    days = (
-        t.events.where(~F.pmod(F.dayofmonth("ts"), F.lit(5)).isin(0, 1))
-        .groupBy("event_type", F.col("ts").cast("date").alias("day"))
-        .agg(F.avg("value").alias("value"))
+    ends = t.events.agg(F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    start, last = (F.lit(end) for end in ends)
+    known = F.when(~F.pmod(F.dayofmonth("ts"), F.lit(5)).isin(0, 1), F.col("value"))
+    days = t.events.groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(
+        F.avg(known).alias("value")
     )
-    last = F.lit("2024-02-02").cast("date")
     calendar = t.events.select("event_type").distinct().select(
         "event_type", F.explode(F.sequence(start, last)).alias("day")
     )
