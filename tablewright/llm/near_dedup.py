@@ -8,10 +8,12 @@
    other member. A pair's signatures are compared batch by batch, and the pair
    is given up once the posterior probability of reaching the similarity is
    below ``MISS``. Survivors are verified on their full sets.
-4. Verified links give components. Members of a bucket that are not yet in its
-   main component are compared with new pivots, and in the end with every
-   member of another component, so that no bucket mate is left uncompared
-   unless both are connected already.
+4. Verified links give components. In buckets that hold several, members that
+   share too few shingles with other components are ruled out, the others are
+   compared with the hubs of the bucket, its members with most links so far,
+   and in the end with every member of another component that sizes and shared
+   shingles allow. No bucket mate is left uncompared unless both are connected
+   already or proven too different.
 
 A pair at the similarity bound shares no band with probability
 (1 - 0.75 ** ROWS) ** BANDS, which is about 5e-6.
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.llm.shared import components, map_batches
+from tablewright.llm.shared import components, map_batches, released
 from tablewright.llm.words import mix, split_words, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
@@ -45,8 +47,8 @@ ROWS = 4
 BATCH = 16
 #: Probability of giving up a pair that is similar enough.
 MISS = 1e-7
-#: Rounds of comparing with new pivots before the rest is compared pair by pair.
-PIVOT_ROUNDS = 2
+#: Rounds of comparing with the best linked members before the rest is compared pair by pair.
+HUB_ROUNDS = 2
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -183,13 +185,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
         def work(batch: pa.RecordBatch):
             return {
                 "class_id": batch.column(0),
-                "shingles": [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()],
+                "shingles": [shingle_set(x).view("i8") for x in batch.column(1).to_pylist()],
             }
 
         return work
 
     found = texts.join(wanted, "class_id", "left_semi")
-    return map_batches(found, make, "class_id long, shingles binary")
+    return map_batches(found, make, "class_id long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,8 +204,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch):
             kept = []
             for i in range(batch.num_rows):
-                left = np.frombuffer(batch.column(2)[i].as_buffer(), "u8")
-                right = np.frombuffer(batch.column(3)[i].as_buffer(), "u8")
+                left, right = (batch.column(j)[i].values.to_numpy() for j in (2, 3))
                 shared = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * shared >= SIMILAR * (len(left) + len(right) - shared):
                     kept.append(i)
@@ -230,11 +231,91 @@ class _Links:
         promising = written(_promising(pairs.distinct(), self.classes))
         self.found.append(written(_verified(promising, self.sets)))
 
-    def components(self) -> DataFrame:
+    def all(self) -> DataFrame:
         links = self.found[0]
         for more in self.found[1:]:
             links = links.unionByName(more)
-        return components(links)
+        return links
+
+    def degrees(self) -> DataFrame:
+        """(member, degree): the number of links so far."""
+        ends = self.all().select(F.explode(F.array("a", "b")).alias("member"))
+        return ends.groupBy("member").agg(F.count(F.lit(1)).alias("degree"))
+
+    def components(self) -> DataFrame:
+        return components(self.all())
+
+
+def _in_split_buckets(placed: DataFrame) -> DataFrame:
+    """Rows (bucket, member, component) of buckets with several components, and ``main``, the largest of them."""
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = (
+        parts.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main"))
+        .where("parts > 1")
+        .select("bucket", "main")
+    )
+    return written(placed.select("bucket", "member", "component").join(split, "bucket"))
+
+
+def _hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with n and s, without those that cannot be linked to another component in their bucket.
+
+    Only shingles that another component holds too can be shared with it. With
+    s such shingles of n, the similarity to a set of m is s / (n + m - s) at
+    most; m is no smaller than the bucket's smallest set, nor than the bound on
+    similarity allows. Many changes that no other copy has thus rule a copy out
+    without comparing it with any.
+    """
+    classes = members.select("member", "component").distinct()
+    held = sets.join(classes, sets["class_id"] == classes["member"]).select(
+        "member", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")
+    )
+    foreign = (
+        held.groupBy("shingle")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi")
+        .select("shingle")
+    )
+    bounds = (
+        held.join(foreign, "shingle").groupBy("member").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
+    )
+    bounded = written(members.drop("main").join(bounds, "member"))
+    smallest = bounded.groupBy("bucket").agg(F.min("n").alias("least"))
+    m = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
+    return written(
+        bounded.join(smallest, "bucket").where(100 * F.col("s") >= SIMILAR * (F.col("n") + m - F.col("s"))).drop("least")
+    )
+
+
+def _hubs(members: DataFrame, degrees: DataFrame, used: DataFrame) -> DataFrame:
+    """(bucket, hub, hub_component): in each bucket, the member with most links so far that was no pivot yet.
+
+    In a group of copies of one text, which are often closer to it than to
+    each other, that text collects links in every bucket and becomes the hub.
+    """
+    order = F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("member").alias("h"), "member", "component")
+    best = (
+        members.join(degrees, "member", "left")
+        .join(used, ["bucket", "member"], "left_anti")
+        .groupBy("bucket")
+        .agg(F.max(order).alias("best"))
+    )
+    return best.select("bucket", F.col("best.member").alias("hub"), F.col("best.component").alias("hub_component"))
+
+
+def _rest(members: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs (a, b) of bucket mates of different components that their shared shingles and sizes allow."""
+    known = written(members.join(bounds, "member"))
+    x = known.where("component <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("member", "component", "n", "s")))
+    y = known.select("bucket", "main", *(F.col(c).alias(f"y_{c}") for c in ("member", "component", "n", "s")))
+    shared = F.least("x_s", "y_s")
+    return (
+        x.join(y, "bucket")
+        .where("x_component <> y_component and (y_component = main or x_member < y_member)")
+        .where(100 * shared >= SIMILAR * (F.col("x_n") + F.col("y_n") - shared))
+        .select(*_ordered(F.col("x_member"), F.col("y_member")))
+    )
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,40 +332,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.count(F.lit(1)).alias("n"), F.min("member").alias("first"), F.max("member").alias("last")
     ).where("n > 1")
     members = written(buckets.join(crowded, "bucket").select("bucket", "member", "first", "last"))
+    released(docs.sparkSession)
     compared = members.select(F.col("member").alias("class_id")).distinct()
     sets = written(_sets(docs, id_col, text_col, compared).dropDuplicates(["class_id"]))
     links = _Links(classes.join(compared, "class_id", "left_semi"), sets)
-    pivots = members.select("member", F.explode(F.array("first", "last")).alias("pivot")).where("member <> pivot")
-    links.add(pivots.select(*_ordered(F.col("member"), F.col("pivot"))))
+    pivots = members.select("bucket", "member", F.explode(F.array("first", "last")).alias("pivot"))
+    links.add(pivots.where("member <> pivot").select(*_ordered(F.col("member"), F.col("pivot"))))
+    used = pivots.select("bucket", F.col("pivot").alias("member")).distinct()
     found = links.components()
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = (
-            members.join(found, "member", "left")
-            .select("bucket", "member", F.coalesce("component", "member").alias("component"))
-        )
-        split = (
-            placed.groupBy("bucket")
-            .agg(F.min("component").alias("main"), F.max("component").alias("other"))
-            .where("main <> other")
+    members = members.select("bucket", "member")
+    for turn in range(HUB_ROUNDS + 1):
+        placed = written(
+            members.join(found, "member", "left").select(
+                "bucket", "member", F.coalesce("component", "member").alias("component")
+            )
         )
-        # Buckets with more than one component; strays are outside the bucket's first one.
-        open_members = written(placed.join(split, "bucket").select("bucket", "member", "component", "main"))
-        strays = open_members.where("component <> main")
-        if strays.isEmpty():
+        hopeful = _hopeful(_in_split_buckets(placed), sets)
+        left = _in_split_buckets(hopeful)
+        if left.isEmpty():
             break
-        if turn < PIVOT_ROUNDS:
-            order = F.struct(F.xxhash64("member", F.lit(turn)).alias("h"), "member", "component")
-            chosen = strays.groupBy("bucket").agg(F.min(order).alias("p")).select(
-                "bucket", F.col("p.member").alias("pivot"), F.col("p.component").alias("pivot_component")
-            )
-            pairs = open_members.join(chosen, "bucket").where("component <> pivot_component")
-            links.add(pairs.select(*_ordered(F.col("member"), F.col("pivot"))))
+        members = left.select("bucket", "member")
+        if turn < HUB_ROUNDS:
+            hubs = written(_hubs(left, links.degrees(), used))
+            pairs = left.join(hubs, "bucket").where("component <> hub_component")
+            links.add(pairs.select(*_ordered(F.col("member"), F.col("hub"))))
+            used = used.unionByName(hubs.select("bucket", F.col("hub").alias("member")))
         else:
-            left = strays.select("bucket", F.col("member").alias("x"), F.col("component").alias("cx"))
-            right = open_members.select("bucket", F.col("member").alias("y"), F.col("component").alias("cy"), "main")
-            pairs = left.join(right, "bucket").where("cx <> cy and (cy = main or x < y)")
-            links.add(pairs.select(*_ordered(F.col("x"), F.col("y"))))
+            links.add(_rest(left, hopeful.select("member", "n", "s").distinct()))
         found = links.components()
+        released(docs.sparkSession)
     joined = signed.join(classes.select("content", "class_id"), "content", "left").join(
         found, F.col("class_id") == F.col("member"), "left"
     )
