@@ -19,6 +19,19 @@ from tablewright.functions.joins import join_null_safe
 
 SLICE = "_slice"
 TIE = "_tie"
+# Bytes of the input for one slice, and the most slices that the driver plans for.
+SLICE_BYTES = 256 << 20
+MOST_SLICES = 100_000
+_UNKNOWN_SIZE = 1 << 60
+
+
+def _slice_count(df: DataFrame) -> int:
+    """Slices for the bytes of the tables that the plan reads; tables of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    read = sum(size for size in sizes if size < _UNKNOWN_SIZE)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_SLICES, -(-read // SLICE_BYTES)))
 
 
 def ordered_slices(
@@ -26,11 +39,12 @@ def ordered_slices(
 ) -> DataFrame:
     """Rows plus ``_slice``, ascending in ``order``, and ``_tie``, a row hash.
 
-    There are ``spark.sql.shuffle.partitions`` slices unless ``slices`` is given.
+    Unless ``slices`` is given, there are ``spark.sql.shuffle.partitions`` slices, or
+    more where the tables that are read are large: about one for each ``SLICE_BYTES``.
     Equal rows fall next to each other; their last sort key is the input
     position, so a large group of copies is spread over several slices.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or _slice_count(df)
     tied = df.withColumn(TIE, F.xxhash64(*[ref(c) for c in df.columns]))
     ranged = tied.repartitionByRange(
         n, *order, F.col(TIE), F.monotonically_increasing_id()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.durable import written
 from tablewright.functions.coerce import (
     label,
     number,
@@ -75,6 +78,44 @@ def aggregate(
     )
 
 
+def aggregates(
+    df: DataFrame,
+    metric_column: str,
+    aggregations: Sequence[str],
+    in_memory_rows: int = IN_MEMORY_ROWS,
+) -> DataFrame:
+    """As :func:`aggregate`, one row for each of ``aggregations``, all folds of one scan.
+
+    A median is selected beside them, by the scans it needs at its size.
+    """
+    require_columns(df, [metric_column])
+    names = [check_aggregation(a) for a in aggregations]
+    metric = number(df, metric_column)
+    median = None
+    if "median" in names:
+        found = column_quantiles(df, [metric_column], [0.5], in_memory_rows)[metric_column]
+        median = found[0] if found else None
+    folds = [
+        F.max(F.lit(median).cast("double")) if a == "median" else _fold(a, metric) for a in names
+    ]
+    row = df.agg(
+        *[fold.alias(f"v{i}") for i, fold in enumerate(folds)],
+        F.count(metric).alias("valid_rows"),
+        (F.count(F.lit(1)) - F.count(metric)).alias("excluded_rows"),
+    )
+    no_values = F.raise_error(F.lit(f"no numbers in '{metric_column}'")).cast("double")
+    cells = [
+        F.struct(
+            F.lit(a).alias("aggregation"),
+            F.when(F.col("valid_rows") > 0, F.col(f"v{i}")).otherwise(no_values).alias("value"),
+        )
+        for i, a in enumerate(names)
+    ]
+    return row.select(
+        F.lit(metric_column).alias("metric"), F.inline(F.array(*cells)), "valid_rows", "excluded_rows"
+    )
+
+
 def _by_key(rows: DataFrame, aggregation: str, in_memory_rows: int) -> DataFrame:
     """``key`` and aggregated ``value`` of (key, metric) rows."""
     if aggregation == "median":
@@ -143,8 +184,11 @@ def trend(
 def filled_trend(
     df: DataFrame, date_column: str, metric_column: str, period: str = "M"
 ) -> DataFrame:
-    """Totals for every period between the first and the last, empty ones as 0."""
-    totals = (
+    """Totals for every period between the first and the last, empty ones as 0.
+
+    The table is read once; the totals, one row per period, are stored.
+    """
+    totals = written(
         _dated(df, date_column, metric_column, check_period(period))
         .groupBy("key")
         .agg(F.sum("metric").alias("total"))

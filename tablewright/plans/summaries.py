@@ -44,8 +44,7 @@ def _aggregates_sql(source: str, value: str, metric: str) -> str:
 
 
 def _aggregates(df: DataFrame, metric: str, in_memory_rows: int) -> DataFrame:
-    tables = [ask.aggregate(df, metric, name, in_memory_rows) for name in _FOLDS]
-    return rounded(reduce(DataFrame.unionByName, tables), 3)
+    return rounded(ask.aggregates(df, metric, _FOLDS, in_memory_rows), 3)
 
 
 @query("aggregate", _aggregates_sql(LINES, "price", "price"))
