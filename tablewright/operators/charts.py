@@ -66,7 +66,8 @@ def histograms(
         guess = F.least(F.floor((x - F.lit(lo)) / F.lit(step)), F.lit(bins - 1))
         # Rounding can put a value one bin away from its edges.
         return (
-            F.when(x < edge(guess), guess - 1)
+            F.when(x.isNull(), F.lit(None))
+            .when(x < edge(guess), guess - 1)
             .when((guess < bins - 1) & (x >= edge(guess + 1)), guess + 1)
             .otherwise(guess)
             .cast("int")
