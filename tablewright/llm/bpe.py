@@ -68,8 +68,8 @@ class Codec:
         self.tokenize = library.model.tokenize
         self.pre_tokenize = library.pre_tokenizer.pre_tokenize_str
         self.pieces = regex.compile(pattern).findall
-        self.alphabet = byte_alphabet()
-        back = {c: b for b, c in enumerate(self.alphabet)}
+        self.letters = dict(enumerate(byte_alphabet()))
+        back = {c: b for b, c in self.letters.items()}
         added = {x["content"]: x["id"] for x in described["added_tokens"]}
         self.added = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, added)) + ")").split if added else None
@@ -95,11 +95,12 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, fragment by fragment."""
-        letters, tokenize = self.alphabet, self.tokenize
+        letters, tokenize, raw = self.letters, self.tokenize, piece.encode()
+        whole = self.inside.issuperset(zip(raw, raw[1:]))  # most pre-tokens have no certain cut
         ids = [
             token.id
-            for fragment in self.fragments(piece.encode())
-            for token in tokenize("".join([letters[b] for b in fragment]))
+            for fragment in ([raw] if whole else self.fragments(raw))
+            for token in tokenize(fragment.decode("latin-1").translate(letters))
         ]
         packed = array("I", ids)
         if not LITTLE:
