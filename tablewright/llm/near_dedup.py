@@ -11,8 +11,8 @@
 4. Verified links give components. In buckets that hold several, members that
    share too few shingles with other components are ruled out, the others are
    compared with the hubs of the bucket, its members with most links so far,
-   and in the end with every member of another component that sizes and shared
-   shingles allow. No bucket mate is left uncompared unless both are connected
+   and in the end, tile by tile, with every member of another component that sizes
+   and shared shingles allow. No bucket mate is left uncompared unless both are connected
    already or proven too different.
 
 A pair at the similarity bound shares no band with probability
@@ -47,8 +47,10 @@ ROWS = 4
 BATCH = 16
 #: Probability of giving up a pair that is similar enough.
 MISS = 1e-7
-#: Rounds of comparing with the best linked members before the rest is compared pair by pair.
-HUB_ROUNDS = 2
+#: Members in a block of the last comparison.
+TILE = 64
+#: Rounds of comparing with the best linked members before the rest is compared in tiles.
+HUB_ROUNDS = 1
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,6 +65,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(window_hashes(hashes, SHINGLE_WORDS))
 
 
+def similar(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether two sets of distinct shingles are linked."""
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * shared >= SIMILAR * (len(left) + len(right) - shared)
+
+
 @lru_cache
 def _multipliers() -> np.ndarray:
     return mix(np.arange(1, BANDS * ROWS + 1, dtype="u8") * _SEED) | np.uint64(1)
@@ -204,9 +212,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch):
             kept = []
             for i in range(batch.num_rows):
-                left, right = (batch.column(j)[i].values.to_numpy() for j in (2, 3))
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * shared >= SIMILAR * (len(left) + len(right) - shared):
+                if similar(*(batch.column(j)[i].values.to_numpy() for j in (2, 3))):
                     kept.append(i)
             at = pa.array(kept, "i8")
             return {"a": batch.column(0).take(at), "b": batch.column(1).take(at)}
@@ -227,9 +233,15 @@ class _Links:
         self.classes, self.sets = classes, sets
         self.found: list[DataFrame] = []
 
-    def add(self, pairs: DataFrame) -> None:
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify ``pairs``; whether there were links among them."""
         promising = written(_promising(pairs.distinct(), self.classes))
-        self.found.append(written(_verified(promising, self.sets)))
+        return self.keep(_verified(promising, self.sets))
+
+    def keep(self, links: DataFrame) -> bool:
+        new = written(links)
+        self.found.append(new)
+        return not new.isEmpty()
 
     def all(self) -> DataFrame:
         links = self.found[0]
@@ -304,18 +316,69 @@ def _hubs(members: DataFrame, degrees: DataFrame, used: DataFrame) -> DataFrame:
     return best.select("bucket", F.col("best.member").alias("hub"), F.col("best.component").alias("hub_component"))
 
 
-def _rest(members: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Pairs (a, b) of bucket mates of different components that their shared shingles and sizes allow."""
-    known = written(members.join(bounds, "member"))
-    x = known.where("component <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("member", "component", "n", "s")))
-    y = known.select("bucket", "main", *(F.col(c).alias(f"y_{c}") for c in ("member", "component", "n", "s")))
-    shared = F.least("x_s", "y_s")
-    return (
-        x.join(y, "bucket")
-        .where("x_component <> y_component and (y_component = main or x_member < y_member)")
-        .where(100 * shared >= SIMILAR * (F.col("x_n") + F.col("y_n") - shared))
-        .select(*_ordered(F.col("x_member"), F.col("y_member")))
+def _rest(members: DataFrame, bounds: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among bucket mates of different components, as far as sizes and shared shingles allow them.
+
+    Members outside the bucket's main component meet all others in tiles of
+    ``TILE`` by ``TILE``, so sets and signatures are sent once for a block of
+    partners and not once for each of them. In a tile, signatures are compared
+    batch by batch and survivors on their full sets.
+    """
+    known = written(
+        members.join(bounds, "member")
+        .join(classes.select(F.col("class_id").alias("member"), "signature"), "member")
+        .join(sets.select(F.col("class_id").alias("member"), "shingles"), "member")
     )
+    sizes = written(
+        known.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("all"), F.count_if(F.col("component") != F.col("main")).alias("strays")
+        )
+    )
+    row = F.struct("member", "component", "n", "s", "signature", "shingles")
+
+    def blocks(rows: DataFrame, count: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("member"), F.ceil(F.col(count) / TILE))
+        return (
+            rows.join(sizes, "bucket").groupBy("bucket", block.alias(f"{name}_block"))
+            .agg(F.first("main").alias(f"{name}_main"), F.collect_list(row).alias(name))
+        )
+
+    tiles = blocks(known.where("component <> main"), "strays", "x").join(blocks(known, "all", "y"), "bucket")
+
+    def make():
+        least = least_matches()
+
+        def unpacked(cell):
+            rows = cell.values
+            fields = [rows.field(c).to_numpy(zero_copy_only=False) for c in ("member", "component", "n", "s")]
+            signed = np.frombuffer(b"".join(rows.field("signature").to_pylist()), "u4").reshape(len(rows), -1)
+            return *fields, signed, rows.field("shingles")
+
+        def work(batch: pa.RecordBatch):
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                xm, xc, xn, xs, x_signed, x_sets = unpacked(batch.column(1)[i])
+                ym, yc, yn, ys, y_signed, y_sets = unpacked(batch.column(2)[i])
+                shared = np.minimum(xs[:, None], ys[None, :])
+                alive = (xc[:, None] != yc[None, :]) & (
+                    (yc == batch.column(0)[i].as_py())[None, :] | (xm[:, None] < ym[None, :])
+                )
+                alive &= 100 * shared >= SIMILAR * (xn[:, None] + yn[None, :] - shared)
+                at_x, at_y = np.nonzero(alive)
+                equal = np.zeros(len(at_x), int)
+                for step, most in enumerate(least):
+                    part = slice(step * BATCH, (step + 1) * BATCH)
+                    equal = equal + (x_signed[at_x, part] == y_signed[at_y, part]).sum(axis=1)
+                    kept = equal >= most
+                    at_x, at_y, equal = at_x[kept], at_y[kept], equal[kept]
+                for j, k in zip(at_x.tolist(), at_y.tolist()):
+                    if similar(x_sets[j].values.to_numpy(), y_sets[k].values.to_numpy()):
+                        found.append((min(xm[j], ym[k]), max(xm[j], ym[k])))
+            return {"a": [x[0] for x in found], "b": [x[1] for x in found]} if found else None
+
+        return work
+
+    return map_batches(tiles.select("x_main", "x", "y"), make, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,25 +404,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     used = pivots.select("bucket", F.col("pivot").alias("member")).distinct()
     found = links.components()
     members = members.select("bucket", "member")
+    new = True
     for turn in range(HUB_ROUNDS + 1):
-        placed = written(
-            members.join(found, "member", "left").select(
-                "bucket", "member", F.coalesce("component", "member").alias("component")
+        if new:  # else the components are as they were
+            placed = written(
+                members.join(found, "member", "left").select(
+                    "bucket", "member", F.coalesce("component", "member").alias("component")
+                )
             )
-        )
-        hopeful = _hopeful(_in_split_buckets(placed), sets)
-        left = _in_split_buckets(hopeful)
-        if left.isEmpty():
-            break
-        members = left.select("bucket", "member")
+            hopeful = _hopeful(_in_split_buckets(placed), sets)
+            left = _in_split_buckets(hopeful)
+            if left.isEmpty():
+                break
+            members = left.select("bucket", "member")
         if turn < HUB_ROUNDS:
             hubs = written(_hubs(left, links.degrees(), used))
             pairs = left.join(hubs, "bucket").where("component <> hub_component")
-            links.add(pairs.select(*_ordered(F.col("member"), F.col("hub"))))
+            new = links.add(pairs.select(*_ordered(F.col("member"), F.col("hub"))))
             used = used.unionByName(hubs.select("bucket", F.col("hub").alias("member")))
         else:
-            links.add(_rest(left, hopeful.select("member", "n", "s").distinct()))
-        found = links.components()
+            bounds = hopeful.select("member", "n", "s").distinct()
+            new = links.keep(_rest(left, bounds, links.classes, sets))
+        if new:
+            found = links.components()
         released(docs.sparkSession)
     joined = signed.join(classes.select("content", "class_id"), "content", "left").join(
         found, F.col("class_id") == F.col("member"), "left"
