@@ -108,3 +108,22 @@ def test_substrings_with_frequent_anchors(documents, corpus, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FREQUENT", 2)
     found = {r.doc_id: (r.n_words, r.kept_text) for r in substring_dedup.remove_repeats(documents).collect()}
     assert found == {d: (n, kept) for d, (n, _, kept) in brute.substrings(corpus).items()}
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """Copies that are closer to their text than to each other, many of them not linked at all."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(500, " ".join(base))]
+    for i in range(260):
+        words = list(base)
+        for k in range(rng.choice([1, 2, 2, 3, 3, 4, 5])):
+            words[rng.randrange(100)] = f"e{rng.randrange(40)}" if rng.random() < 0.5 else f"n{i}x{k}"
+        rows.append((i, " ".join(words)))
+    expected = brute.near(rows)
+    found = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    assert 20 < len({c for _, c in expected.values()}) < 200
