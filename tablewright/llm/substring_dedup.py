@@ -190,20 +190,34 @@ def repeated_windows(
     # The packed rows are dealt by anchor; their windows are then in place for (anchor, window).
     same = Window.partitionBy("anchor", "window").orderBy("doc_id", "start")
     rare = _one_by_one(suspects.where("not frequent").repartition("anchor"))
-    later = rare.withColumn("nth", F.rank().over(same)).where("nth > 1").select("doc_id", "start")
-    common = _one_by_one(suspects.where("frequent"))
-    firsts = (
-        common.groupBy("anchor", "window")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .where("n > 1")
+    none = F.array().cast("array<int>")
+    later = (
+        rare.withColumn("nth", F.rank().over(same))
+        .where("nth > 1")
+        .groupBy("doc_id")
+        .agg(F.collect_list("start").alias("starts"))
+        .select("doc_id", "starts", none.alias("firsts"))
+    )
+    # Of frequent anchors, every window repeats but the first of its words.
+    frequent = suspects.where("frequent")
+    all_starts = frequent.select(
+        "doc_id",
+        F.sequence("start", F.col("start") + F.size("windows") - 1).alias("starts"),
+        none.alias("firsts"),
+    )
+    first = (
+        _one_by_one(frequent)
+        .groupBy("anchor", "window")
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        .select("first.doc_id", none.alias("starts"), F.array("first.start").alias("firsts"))
     )
-    later_common = (
-        common.join(firsts, ["anchor", "window"])
-        .where(F.struct("doc_id", "start") != F.col("first"))
-        .select("doc_id", "start")
+    found = later.unionByName(all_starts).unionByName(first).groupBy("doc_id")
+    repeats = found.agg(
+        F.array_sort(
+            F.array_except(F.flatten(F.collect_list("starts")), F.flatten(F.collect_list("firsts")))
+        ).alias("starts")
     )
-    found = later.unionByName(later_common).groupBy("doc_id")
-    return written(found.agg(F.array_sort(F.collect_set("start")).alias("starts")))
+    return written(repeats.where(F.size("starts") > 0))
 
 
 def _covered(starts: np.ndarray, n: int) -> np.ndarray:
