@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.coerce import ref
+from tablewright.functions.joins import join_null_safe
 
+# A smoothed series is fitted in one task, so its calendar must fit there.
+MAX_STEPS = 100_000
 # Season length and the shortest series that gets one.
 SEASON = 7
 SEASONAL_FROM = 14
@@ -30,16 +33,20 @@ def linear_trend(series: DataFrame, keys: Sequence[str], periods: int) -> DataFr
         F.regr_intercept("value", x).alias("intercept"),
         F.max("step").alias("last_step"),
     )
-    steps = F.sequence(F.lit(0).cast("long"), F.col("last_step") + F.lit(periods))
-    return lines.select(*by, "slope", "intercept", F.explode(steps).alias("step")).select(
+    ahead = F.sequence(F.col("last_step") + 1, F.col("last_step") + F.lit(periods))
+    steps = join_null_safe(series.select(*by, "step"), lines, keys).drop("last_step")
+    future = lines.select(*by, F.explode(ahead).alias("step"), "slope", "intercept")
+    return steps.unionByName(future).select(
         *by, "step", (F.col("intercept") + F.col("slope") * F.col("step")).alias("fitted")
     )
 
 
-def holt_winters(series: DataFrame, keys: Sequence[str], periods: int) -> DataFrame:
+def holt_winters(
+    series: DataFrame, keys: Sequence[str], periods: int, max_steps: int = MAX_STEPS
+) -> DataFrame:
     """Additive trend, plus an additive season of 7 from 14 steps on.
 
-    One task per series; ``prepare`` checks the series length.
+    One task per series; series of more than ``max_steps`` steps are not fitted.
     """
     fields = [series.schema[k] for k in keys]
     schema = T.StructType(
@@ -61,7 +68,10 @@ def holt_winters(series: DataFrame, keys: Sequence[str], periods: int) -> DataFr
 
     columns = [ref(k) for k in keys]
     return (
-        series.select(*columns, "step", "value").groupBy(*columns).applyInPandas(fit, schema)
+        series.where(F.col("steps") <= max_steps)
+        .select(*columns, "step", "value")
+        .groupBy(*columns)
+        .applyInPandas(fit, schema)
     )
 
 

@@ -20,8 +20,8 @@ from tablewright.functions.joins import join_null_safe
 
 MIN_OBSERVATIONS = 5
 VALID_SHARE = 0.5
-# A series is fitted in one task, so its calendar must stay small.
-MAX_STEPS = 100_000
+# Steps that one task lists and interpolates at a time; longer series are cut into such slices.
+SLICE_STEPS = 50_000
 ALL = "_all"
 GRAIN_SECONDS = {"day": 86_400, "hour": 3_600, "minute": 60}
 
@@ -174,22 +174,36 @@ def step_time(step: Column, grain: str) -> Column:
     return F.when(F.col("unit") == "month", in_months).otherwise(in_slots)
 
 
+def _point(position: str, value: str) -> Column:
+    return F.struct(ref(position).alias("at"), ref(value).alias("v"))
+
+
 def interpolate(
-    df: DataFrame, value: str, position: str, partition_by: Sequence[str]
+    df: DataFrame,
+    value: str,
+    position: str,
+    partition_by: Sequence[str],
+    outer: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Linear interpolation of NULLs by ``position``; the ends repeat their neighbour.
 
-    Meant for regular series of checked length, one window per series.
+    One window per partition. Where a partition is a slice of a series,
+    ``outer`` names the columns with the nearest known (at, v) before and after
+    it; both are dropped.
     """
     by = [ref(k) for k in partition_by]
-    point = F.when(ref(value).isNotNull(), F.struct(ref(position).alias("at"), ref(value).alias("v")))
+    point = F.when(ref(value).isNotNull(), _point(position, value))
     order = Window.partitionBy(*by).orderBy(ref(position))
     before = F.last(point, ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
     )
-    after = F.first(point, ignorenulls=True).over(
-        order.rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame that ends at the last row is computed anew for each row.
+    backwards = Window.partitionBy(*by).orderBy(ref(position).desc())
+    after = F.last(point, ignorenulls=True).over(
+        backwards.rowsBetween(Window.unboundedPreceding, 0)
     )
+    if outer:
+        before, after = F.coalesce(before, ref(outer[0])), F.coalesce(after, ref(outer[1]))
     placed = df.select("*", before.alias("_before"), after.alias("_after"))
     lo, hi = F.col("_before"), F.col("_after")
     share = (ref(position) - lo["at"]) / (hi["at"] - lo["at"])
@@ -197,7 +211,7 @@ def interpolate(
     estimate = F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between)
     return placed.withColumn(
         value, F.when(ref(value).isNull(), estimate).otherwise(ref(value))
-    ).drop("_before", "_after")
+    ).drop("_before", "_after", *(outer or ()))
 
 
 def prepare(
@@ -206,13 +220,14 @@ def prepare(
     metric_column: str,
     keys: Sequence[str] = (),
     grain: str = "day",
-    max_steps: int = MAX_STEPS,
+    max_steps: int | None = None,
 ) -> Prepared:
-    """Regular, gap-free series.
+    """Regular, gap-free series of any length.
 
-    Series below five observations, and series whose calendar is longer than
-    ``max_steps``, have no rows in ``series`` and are marked in ``info``
-    (``too_long``). A table without keys is one series, and either case raises.
+    Series below five observations have no rows in ``series``. Only if the
+    caller sets ``max_steps``, the same holds for series whose calendar is
+    longer; they are marked in ``info`` (``too_long``). A table without keys is
+    one series, and either case raises.
     """
     if grain not in GRAIN_SECONDS:
         raise ValueError(f"grain must be one of {', '.join(GRAIN_SECONDS)}")
@@ -222,15 +237,17 @@ def prepare(
     source = df if keys else df.withColumn(ALL, F.lit(0))
     # The only pass over the rows; what follows has one row per slot.
     slots = written(slot_means(source, date_column, metric_column, by, grain))
-    info = written(frequencies(slots, by, grain).withColumn("too_long", F.col("steps") > max_steps))
+    too_long = F.lit(False) if max_steps is None else F.col("steps") > max_steps
+    info = written(frequencies(slots, by, grain).withColumn("too_long", too_long))
     size = info.agg(F.max("steps"), F.max("rows")).first()
     if not keys and (size[1] or 0) < MIN_OBSERVATIONS:
         raise ValueError(
             f"a forecast needs {MIN_OBSERVATIONS} observations, found {size[1] or 0}"
         )
-    if not keys and (size[0] or 0) > max_steps:
+    if not keys and max_steps is not None and (size[0] or 0) > max_steps:
         raise ValueError(
-            f"the series spans {size[0]} steps, more than {max_steps}; use a coarser grain"
+            f"the series spans {size[0]} steps, more than {max_steps}; "
+            "use a coarser grain or a larger max_steps"
         )
     usable = info.where((F.col("rows") >= MIN_OBSERVATIONS) & ~F.col("too_long"))
     columns = [ref(k) for k in by]
@@ -238,17 +255,64 @@ def prepare(
         *columns, "first_slot", "first_month", "first_ts", "unit", "stride", "steps"
     )
     month = F.year("ts") * 12 + F.month("ts")
-    observed = (
+    observed = written(
         join_null_safe(slots, shape, by)
         .withColumn("step", _step(F.col("slot"), month))
         .groupBy(*columns, "step")
         .agg((F.sum(F.col("value") * F.col("rows")) / F.sum("rows")).alias("value"))
     )
-    calendar = shape.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("step")
-    ).withColumn("ts", step_time(F.col("step"), grain))
+    calendar = _calendar(shape, observed, by, grain, size[0] or 0)
     joined = join_null_safe(calendar, observed, [*by, "step"], "left").select(
-        *columns, "step", "ts", "steps", "value", F.col("value").isNotNull().alias("observed")
+        *columns,
+        "step",
+        "ts",
+        "steps",
+        "value",
+        F.col("value").isNotNull().alias("observed"),
+        "_slice",
+        "_earlier",
+        "_later",
+    )
+    filled = interpolate(joined, "value", "step", [*by, "_slice"], ("_earlier", "_later"))
+    return Prepared(written(filled.drop("_slice")), info, by)
+
+
+def _calendar(
+    shape: DataFrame, observed: DataFrame, keys: Sequence[str], grain: str, longest: int
+) -> DataFrame:
+    """Every step of every series, with its slice and the known points nearest to the slice.
+
+    Only windows over slices, one row each, see a whole series.
+    """
+    by = [ref(k) for k in keys]
+    size = F.lit(SLICE_STEPS).cast("long")
+    of_slice = observed.groupBy(*by, F.floor(F.col("step") / size).alias("_slice")).agg(
+        F.min(_point("step", "value")).alias("_first"),
+        F.max(_point("step", "value")).alias("_last"),
+    )
+    slices = shape.select(
+        "*",
+        F.explode(
+            F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / size))
+        ).alias("_slice"),
+    )
+    whole = Window.partitionBy(*by)
+    upwards, backwards = whole.orderBy("_slice"), whole.orderBy(F.desc("_slice"))
+    known = join_null_safe(slices, of_slice, [*keys, "_slice"], "left").select(
+        *[ref(c) for c in slices.columns],
+        F.last("_last", ignorenulls=True)
+        .over(upwards.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_earlier"),
+        F.last("_first", ignorenulls=True)
+        .over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_later"),
+    )
+    if longest > SLICE_STEPS:
+        # A fixed number, as slices are few small rows that grow a lot in the next step.
+        parts = int(shape.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        known = known.repartition(parts, *by, "_slice")
+    start = F.col("_slice") * size
+    last = F.least(start + size, F.col("steps")) - 1
+    return known.select("*", F.explode(F.sequence(start, last)).alias("step")).withColumn(
+        "ts", step_time(F.col("step"), grain)
     )
-    series = written(interpolate(joined, "value", "step", by))
-    return Prepared(series, info, by)
