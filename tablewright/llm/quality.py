@@ -249,16 +249,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """A model of ``label_col`` from ``found`` (doc_id, features), without held-out ids."""
-    order = F.xxhash64("label_id")
-    chosen = (
+def usable_labels(labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
+    """(label_id, label) of at most ``rows`` ids that have a label and aren't held out."""
+    return (
         labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).alias("label"))
         .where((fold(F.col("label_id"), HELD_OUT_PARTS) != HELD_OUT) & F.col("label").isNotNull())
         .dropDuplicates(["label_id"])
-        .orderBy(order, "label_id")
+        .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(rows)
     )
+
+
+def train(found: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
+    """A model of ``label_col`` from ``found`` (doc_id, features), without held-out ids."""
+    order = F.xxhash64("label_id")
+    chosen = usable_labels(labels, label_col, rows)
     sample = (
         found.join(F.broadcast(chosen), found["doc_id"] == chosen["label_id"])
         .select(order.alias("o"), "label_id", "label", "features")
@@ -297,8 +302,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be of low quality."""
-    model = train(written(features(labelled_only(docs, labels, id_col), id_col, text_col)), labels)
+    """The rows of ``docs`` that are not predicted to be of low quality; all of them if none has a usable label."""
+    found = written(features(labelled_only(docs, labels, id_col), id_col, text_col))
+    if found.isEmpty():
+        return docs
+    model = train(found, labels)
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -314,11 +322,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def labelled_only(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` among those that a model may be fitted on; at most TRAIN_ROWS ids."""
-    chosen = (
-        labels.select(F.col("doc_id").alias("__label_id"))
-        .where(fold(F.col("__label_id"), HELD_OUT_PARTS) != HELD_OUT)
-        .distinct()
-        .orderBy(F.xxhash64("__label_id"), "__label_id")
-        .limit(TRAIN_ROWS)
-    )
+    chosen = usable_labels(labels).select(F.col("label_id").alias("__label_id"))
     return docs.join(F.broadcast(chosen), docs[id_col] == chosen["__label_id"], "left_semi")
