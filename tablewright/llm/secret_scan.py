@@ -3,8 +3,9 @@
 Method: structural confirmation. Runs of base64 or hex characters are decoded
 and parsed before they are reported: DER key encodings with their nested
 lengths, length-prefixed SSH keys, and signed tokens whose header is a JSON
-object that names an algorithm. Random-looking text that decodes to nothing is
-left alone. The base patterns are reported as they are.
+object that names an algorithm. Base64 lines of one width, over real or escaped
+line breaks, are decoded as a whole too. Random-looking text that decodes to
+nothing is left alone. The base patterns are reported as they are.
 
 Spans count code points, the end exclusive. Kinds in the order of listing:
 assign, access, hex, then the confirmed ones: jwt, der, ssh, pem.
@@ -42,9 +43,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
+_BREAK = r"[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*"
+_LINE_BREAK = re.compile(_BREAK)
+#: Lines of base64; the first is of LEAST_WIDTH at least.
+LEAST_WIDTH = 40
+_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_WIDTH},}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _PEM = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----"
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----"
 )
 _KEY_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 _SSH_FILE = b"openssh-key-v1\x00"
@@ -155,6 +161,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 that goes over several lines of one width and a last one that isn't wider."""
+    found = []
+    for m in _LINES.finditer(text):
+        start = m.start() + (text[max(m.start() - 1, 0) : m.start() + 1] == "\\n")  # the n of an escaped break
+        breaks = [b.span() for b in _LINE_BREAK.finditer(text, start, m.end())]
+        lines = list(zip([start, *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+        at = 0
+        while at < len(lines) - 1:
+            kind, end = _wrapped_key(text, lines, at)
+            if kind:
+                found.append((kind, lines[at][0], lines[end - 1][1]))
+            at = end
+    return found
+
+
+def _wrapped_key(text: str, lines: list[tuple[int, int]], at: int) -> tuple[str | None, int]:
+    """The kind of the key that begins with line ``at``, if one does, and the line to go on with."""
+    a, b = lines[at]
+    head = decoded64(text[a : a + LEAST_WIDTH]) if b - a >= LEAST_WIDTH else None
+    if not head or head[0] != 0x30 and not head.startswith(_SSH_FILE) and not head[4:].startswith(_KEY_TYPES):
+        return None, at + 1
+    chars = None
+    if head[0] == 0x30:  # its length tells where it ends
+        width = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+        chars = -(-size * 4 // 3)
+    end = at + 1
+    while end < len(lines) and lines[end][1] - lines[end][0] == b - a and (chars is None or (end - at) * (b - a) < chars):
+        end += 1
+    for last in (end + 1, end):
+        if at + 1 < last <= len(lines) and not text.startswith("-----", lines[last - 1][0]):
+            x, y = lines[last - 1]
+            if y - x > b - a + 2 * text.endswith("=", x, y):
+                continue
+            body = "".join(text[p:q] for p, q in lines[at:last])
+            if chars is not None and len(body.rstrip("=")) != chars:
+                continue
+            data = decoded64(body)
+            if is_der_key(data):
+                return "der", last
+            if is_ssh_key(data):
+                return "ssh", last
+    return None, at + 1
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "eyJ" in text:
@@ -165,6 +217,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("der", *m.span()))
         elif is_ssh_key(data):
             found.append(("ssh", *m.span()))
+    if "\n" in text or "\r" in text or "\\n" in text:
+        found += wrapped_spans(text)
     for m in _ANY_HEX.finditer(text):
         data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
         if is_der_key(data):
@@ -173,7 +227,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("ssh", *m.span()))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in re.split(r"\s+", m[2]) if x and ":" not in x and "," not in x)
+            body = "".join(x for x in re.split(r"(?:\s|\\+[nr])+", m[2]) if x and ":" not in x and "," not in x)
             data = decoded64(body)
             if is_der_key(data) or is_ssh_key(data):
                 found.append(("pem", *m.span()))
