@@ -11,13 +11,13 @@ Everything is DataFrame code inside the JVM.
 
 Defined cases: NULL text counts as empty; NULL ids are allowed and lose ties;
 rows that repeat an id and a text are copies of each other and both carry the
-id that stays; an empty table gives an empty result; further columns of the
+id that stays, of which ``keep_one_of_each`` keeps one; an empty table gives an empty result; further columns of the
 input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
@@ -29,6 +29,11 @@ MERGE_GROUPS = 32
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _digest(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept and text_sha256.
 
@@ -41,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.length(text).alias("size"),
-            F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256).alias("text_sha256"),
+            _digest(text_col).alias("text_sha256"),
         ).withColumn("print", F.xxhash64("text_sha256"))
     )
     best = F.min(F.struct((-F.col("size")).alias("s"), F.col("doc_id").isNull().alias("n"), "doc_id"))
@@ -80,10 +85,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ids stay. Ids identify documents; equal ids stay or go together."""
-    kept = (
+    """One row of each text: the row whose id stays, and of rows that repeat id and text the longest."""
+    kept = written(
         exact_groups(docs, id_col, text_col)
         .where("kept")
-        .select(F.col("doc_id").alias("__kept_id"))
+        .groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha256"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+    )
+
+    def those(which: str) -> DataFrame:
+        same = docs[id_col].eqNullSafe(F.col("__kept_id")) & (_digest(text_col) == F.col("__kept_sha256"))
+        return docs.join(kept.where(which), same, "left_semi")
+
+    single = those("__rows = 1")
+    if kept.where("__rows > 1").isEmpty():
+        return single
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one = (
+        those("__rows > 1")
+        .groupBy(F.col(id_col).alias("__id"), _digest(text_col).alias("__sha256"))
+        .agg(F.min_by(whole, F.struct(-F.length(text), text)).alias("__row"))
     )
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    return single.unionByName(one.select("__row.*"))
