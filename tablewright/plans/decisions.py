@@ -153,6 +153,14 @@ def _(t: Tables):
     return rounded(_orders_cause(t, "full").top_contributors.limit(5))
 
 
+@query(
+    "root_cause_all_top_contributors",
+    _contributors_sql(_FULL, _DIMENSIONS, "ORDER BY abs(ch) DESC, dimension, v LIMIT 10"),
+)
+def _(t: Tables):
+    return rounded(_orders_cause(t, "full").top_contributors)
+
+
 @query(
     "root_cause_reconciliation",
     f"""{_window_sql(*_FULL)}
