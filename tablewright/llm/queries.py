@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm import (
     bpe,
     exact_dedup,
+    merkle,
     near_dedup,
     neighbours,
     packing,
@@ -101,3 +102,66 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
+@query(
+    "op11_merkle",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, coalesce('=' || lang, '') AS g,
+            list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+                lambda v: coalesce(strlen(v) || ':' || v, '-')) AS parts,
+            text,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+            xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, byte: list_reduce(
+                    list_prepend(xor(crc, byte), range(8)),
+                    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 3 = 0 AS tampered
+        FROM documents
+    ), leaves AS (
+        SELECT doc_id, g, tampered,
+            sha256(array_to_string(parts, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(array_to_string(parts, '') || coalesce(strlen(lowered) || ':' || lowered, '-')) AS changed
+        FROM d
+    ), base AS (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+        FROM leaves
+    ), low AS (
+        SELECT g, 0 AS level, i, n, leaf AS digest FROM base
+        UNION ALL
+        SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+        FROM low WHERE n > 1 GROUP BY g, level, i // 8, n
+    ), subroots AS (
+        SELECT g, digest, level, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n
+        FROM low WHERE n = 1
+    ), high AS (
+        SELECT 0 AS level, i, n, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+        FROM high WHERE n > 1 GROUP BY level, i // 8, n
+    ), runs AS (
+        SELECT g, level, i // 8 AS run, list(digest ORDER BY i) AS slots FROM low WHERE n > 1 GROUP BY ALL
+        UNION ALL
+        SELECT s.g, s.level + h.level, h.i // 8, list(h.digest ORDER BY h.i)
+        FROM high h, subroots s WHERE h.n > 1 GROUP BY ALL
+    ), way AS (
+        SELECT b.doc_id, b.g, 0 AS level, b.i AS place, CASE WHEN tampered THEN changed ELSE leaf END AS node, '' AS proof
+        FROM base b
+        UNION ALL
+        SELECT w.doc_id, w.g, w.level + 1,
+            CASE WHEN w.level + 1 = s.level THEN s.i ELSE w.place // 8 END,
+            sha256(array_to_string(r.slots[:w.place % 8], '') || w.node || array_to_string(r.slots[w.place % 8 + 2:], '')),
+            w.proof || array_to_string(r.slots[:w.place % 8], '') || array_to_string(r.slots[w.place % 8 + 2:], '')
+        FROM way w JOIN subroots s USING (g) JOIN runs r ON r.g = w.g AND r.level = w.level AND r.run = w.place // 8
+    ), root AS (
+        SELECT digest AS root FROM high WHERE n = 1
+    )
+    SELECT b.doc_id, b.leaf, s.digest AS subroot, root.root, sha256(w.proof) AS proof_sha256,
+        w.node AS folded_root, w.node = root.root AS verified
+    FROM base b JOIN subroots s USING (g) CROSS JOIN root
+    JOIN (SELECT doc_id, max_by(node, level) AS node, max_by(proof, level) AS proof FROM way GROUP BY doc_id) w USING (doc_id)
+    """,
+)
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
