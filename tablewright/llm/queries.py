@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm import (
     bpe,
     exact_dedup,
+    lexical,
     merkle,
     near_dedup,
     neighbours,
@@ -165,3 +166,42 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), i AS (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), wanted AS (
+        SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL
+    ), totals AS (
+        SELECT count(*)::BIGINT AS documents, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0
+    ), tf AS (
+        SELECT doc_id, n, term, count(*) AS tf
+        FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+        FROM tf, totals GROUP BY term, documents
+    ), scored AS (
+        SELECT item_id, doc_id,
+            sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // total))))::BIGINT AS score
+        FROM wanted JOIN tf USING (term) JOIN w USING (term), totals
+        GROUP BY item_id, doc_id
+    ), placed AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 20
+    """,
+)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
