@@ -14,6 +14,7 @@ from tablewright.llm import (
     near_dedup,
     neighbours,
     packing,
+    pii,
     quality,
     secret_scan,
     substring_dedup,
@@ -205,3 +206,8 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, folder, "documents")))
