@@ -1,7 +1,8 @@
-"""Linear trend and additive Holt-Winters for many series at once.
+"""Linear trend of many series, and additive Holt-Winters of one array of values.
 
-Both take a regular series (keys, step, value) with ``steps`` rows per key
-and return keys, step, fitted: in-sample steps first, then ``periods`` more.
+``linear_trend`` takes a regular series (keys, step, value) and returns keys,
+step, fitted: in-sample steps first, then ``periods`` more. Holt-Winters of
+series of any length is in ``smoothing``; this is its arithmetic.
 """
 
 from __future__ import annotations
@@ -9,16 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.coerce import ref
 from tablewright.functions.joins import join_null_safe
 
-# A smoothed series is fitted in one task, so its calendar must fit there.
-MAX_STEPS = 100_000
 # Season length and the shortest series that gets one.
 SEASON = 7
 SEASONAL_FROM = 14
@@ -41,88 +38,117 @@ def linear_trend(series: DataFrame, keys: Sequence[str], periods: int) -> DataFr
     )
 
 
-def holt_winters(
-    series: DataFrame, keys: Sequence[str], periods: int, max_steps: int = MAX_STEPS
-) -> DataFrame:
-    """Additive trend, plus an additive season of 7 from 14 steps on.
-
-    One task per series; series of more than ``max_steps`` steps are not fitted.
-    """
-    fields = [series.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *fields,
-            T.StructField("step", T.LongType()),
-            T.StructField("fitted", T.DoubleType()),
-        ]
-    )
-    names = list(keys)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("step")
-        fitted = smooth(ordered["value"].to_numpy(float), periods)
-        out = pd.DataFrame({"step": np.arange(len(fitted)), "fitted": fitted})
-        for name in names:
-            out[name] = [ordered[name].iloc[0]] * len(out)
-        return out[[*names, "step", "fitted"]]
-
-    columns = [ref(k) for k in keys]
-    return (
-        series.where(F.col("steps") <= max_steps)
-        .select(*columns, "step", "value")
-        .groupBy(*columns)
-        .applyInPandas(fit, schema)
-    )
-
-
-def _start(y: np.ndarray, season: int) -> tuple[float, float, np.ndarray]:
+def start_state(y: np.ndarray, season: int) -> np.ndarray:
+    """Level, trend and seasons before the first of ``y``, from its first two seasons."""
     if season:
         first, second = y[:season].mean(), y[season : 2 * season].mean()
         trend = (second - first) / season
         # The level is the trend line just before the first point.
         level = first - trend * (season + 1) / 2
         line = level + trend * np.arange(1, season + 1)
-        return level, trend, y[:season] - line
+        return np.array([level, trend, *(y[:season] - line)])
     trend = float(np.polyfit(np.arange(min(len(y), 10)), y[:10], 1)[0])
-    return y[0] - trend, trend, np.zeros(1)
+    return np.array([y[0] - trend, trend, 0.0])
 
 
-def _run(y: np.ndarray, season: int, a, b, g) -> tuple[np.ndarray, tuple]:
-    """Squared error per parameter set, and the last set's fitted values and state."""
-    level0, trend0, season0 = _start(y, season)
-    m = max(season, 1)
-    level, trend = np.full(a.shape, level0), np.full(a.shape, trend0)
-    seasonal = np.repeat(season0[:, None], len(a), axis=1)
+def run(
+    y: np.ndarray, season: int, weights: np.ndarray, state: np.ndarray, first: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smooth ``y``, whose first value is step ``first`` of its series.
+
+    ``weights``: (3, sets). ``state``: (2 + seasons, sets) or (2 + seasons,).
+    Returns the squared error of each set, and the fitted values of the last
+    set and the state after the last value.
+    """
+    a, b, g = weights
+    level, trend, *_ = state
+    seasonal = state[2:].copy()
+    if state.ndim == 1:
+        level, trend = np.full(a.shape, level), np.full(a.shape, trend)
+        seasonal = np.repeat(seasonal[:, None], len(a), axis=1)
     error = np.zeros(a.shape)
     fitted = np.empty(len(y))
-    for t, actual in enumerate(y):
-        cycle = seasonal[t % m]
-        expected = level + trend + cycle
-        fitted[t] = expected[-1]
-        error += (actual - expected) ** 2
-        moved = a * (actual - cycle) + (1 - a) * (level + trend)
-        trend = b * (moved - level) + (1 - b) * trend
-        if season:
-            seasonal[t % m] = g * (actual - moved) + (1 - g) * cycle
-        level = moved
-    return error, (fitted, level[-1], trend[-1], seasonal[:, -1])
-
-
-def smooth(y: np.ndarray, periods: int) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t, actual in enumerate(y):
+            at = (first + t) % len(seasonal)
+            cycle = seasonal[at].copy()
+            expected = level + trend + cycle
+            fitted[t] = expected[-1]
+            error += (actual - expected) ** 2
+            moved = a * (actual - cycle) + (1 - a) * (level + trend)
+            trend = b * (moved - level) + (1 - b) * trend
+            if season:
+                seasonal[at] = g * (actual - moved) + (1 - g) * cycle
+            level = moved
+    # Weights that let errors grow without bound lose.
+    error = np.where(np.isnan(error), np.inf, error)
+    return error, fitted, np.stack([level, trend, *seasonal])
+
+
+def transition(y: np.ndarray, season: int, weights: np.ndarray, first: int) -> np.ndarray:
+    """The affine map of the state over ``y``: (2 + season, 3 + season, sets), the constant last."""
+    a, b, g = weights
+    size = 2 + season
+    maps = np.zeros((size, size + 1, len(a)))
+    maps[np.arange(size), np.arange(size)] = 1.0
+    level, trend, seasonal = maps[0], maps[1], maps[2:]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t, actual in enumerate(y):
+            at = (first + t) % season
+            cycle = seasonal[at]
+            moved = (1 - a) * (level + trend) - a * cycle
+            moved[-1] += a * actual
+            trend = b * (moved - level) + (1 - b) * trend
+            cycle = (1 - g) * cycle - g * moved
+            cycle[-1] += g * actual
+            seasonal[at] = cycle
+            level = moved
+    return np.concatenate([level[None], trend[None], seasonal])
+
+
+def applied(maps: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """``maps`` of a :func:`transition` on a state (2 + season, sets)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.einsum("ijp,jp->ip", maps[:, :-1], state) + maps[:, -1]
+
+
+def composed(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        both = np.einsum("ijp,jkp->ikp", later[:, :-1], earlier)
+    both[:, -1] += later[:, -1]
+    return both
+
+
+#: The search for weights: rounds, the first centre and width, and how much the width shrinks.
+ROUNDS, CENTRE, WIDTH, SHRINK = 4, (0.5, 0.5, 0.5), 0.49, 2.5
+
+
+def grid(centre: np.ndarray, width: float, season: int) -> np.ndarray:
+    """(3, sets): five values of each weight around ``centre``."""
+    axes = [np.clip(np.linspace(c - width, c + width, 5), 0.001, 0.999) for c in centre]
+    if not season:
+        axes[2] = np.array([0.0])
+    return np.stack(np.meshgrid(*axes, indexing="ij")).reshape(3, -1)
+
+
+def ahead(state: np.ndarray, length: int, periods: int) -> np.ndarray:
+    """Forecasts from the state (2 + seasons,) after ``length`` values."""
+    steps = np.arange(1, periods + 1)
+    cycle = state[2:]
+    return state[0] + state[1] * steps + cycle[(length + steps - 1) % len(cycle)]
+
+
+def smooth(y: np.ndarray, periods: int, weights: Sequence[float] | None = None) -> np.ndarray:
     """Fitted values of ``y`` followed by ``periods`` forecasts.
 
-    Smoothing weights come from a grid that is refined around its best point.
+    Unless given, smoothing weights come from a grid that is refined around its best point.
     """
     season = SEASON if len(y) >= SEASONAL_FROM else 0
-    centre, width = np.array([0.5, 0.5, 0.5]), 0.49
-    for _ in range(4):
-        axes = [np.clip(np.linspace(c - width, c + width, 5), 0.001, 0.999) for c in centre]
-        if not season:
-            axes[2] = np.array([0.0])
-        grid = np.stack(np.meshgrid(*axes, indexing="ij")).reshape(3, -1)
-        error, _ = _run(y, season, *grid)
-        centre, width = grid[:, int(np.argmin(error))], width / 2.5
-    _, (fitted, level, trend, cycle) = _run(y, season, *centre.reshape(3, 1))
-    ahead = np.arange(1, periods + 1)
-    repeat = cycle[(len(y) + ahead - 1) % len(cycle)] if season else 0.0
-    return np.concatenate([fitted, level + trend * ahead + repeat])
+    state = start_state(y, season)
+    centre, width = np.array(weights or CENTRE, float), WIDTH
+    for _ in range(0 if weights else ROUNDS):
+        sets = grid(centre, width, season)
+        error, *_ = run(y, season, sets, state)
+        centre, width = sets[:, int(np.argmin(error))], width / SHRINK
+    _, fitted, state = run(y, season, centre.reshape(3, 1), state)
+    return np.concatenate([fitted, ahead(state[:, 0], len(y), periods)])

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.forecast.models import MAX_STEPS, holt_winters, linear_trend
+from tablewright.forecast.models import linear_trend
 from tablewright.forecast.prepare import ALL, MIN_OBSERVATIONS, prepare, step_time
+from tablewright.forecast.smoothing import holt_winters
 from tablewright.functions.coerce import ref
 from tablewright.functions.joins import join_null_safe
 
@@ -47,25 +48,21 @@ def holdout_size(steps):
     ).cast("long")
 
 
-def fit(
-    series: DataFrame, keys: Sequence[str], method: str, periods: int, max_steps: int = MAX_STEPS
-) -> DataFrame:
-    """Fitted values and ``periods`` more; only Holt-Winters is bound by ``max_steps``."""
+def fit(series: DataFrame, keys: Sequence[str], method: str, periods: int) -> DataFrame:
+    """Fitted values and ``periods`` more."""
     if method == "holt_winters":
-        return holt_winters(series, keys, periods, max_steps)
+        return holt_winters(series, keys, periods)
     return linear_trend(series, keys, periods)
 
 
-def evaluate(
-    series: DataFrame, keys: Sequence[str], method: str, max_steps: int = MAX_STEPS
-) -> DataFrame:
+def evaluate(series: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
     """Refit without the last points of each series and compare with them."""
     by = [ref(k) for k in keys]
     split = series.withColumn("holdout", holdout_size(F.col("steps")))
     split = split.withColumn("enough", F.col("steps") - F.col("holdout") >= MIN_OBSERVATIONS)
     train = split.where(F.col("enough") & (F.col("step") < F.col("steps") - F.col("holdout")))
     held = split.where(F.col("enough") & (F.col("step") >= F.col("steps") - F.col("holdout")))
-    predicted = fit(train, keys, method, HOLDOUT_LIMIT, max_steps)
+    predicted = fit(train, keys, method, HOLDOUT_LIMIT)
     compared = join_null_safe(held, predicted, [*keys, "step"])
     error = F.col("value") - F.col("fitted")
     scores = compared.groupBy(*by).agg(
@@ -107,26 +104,19 @@ def run_forecast(
     keys: Sequence[str] = (),
     method: str = "holt_winters",
     grain: str = "day",
-    max_steps: int = MAX_STEPS,
 ) -> Forecast:
-    """Forecast one series, or one per value of ``keys``.
-
-    A linear trend takes series of every length. Holt-Winters fits a series in
-    one task: of several, those of more than ``max_steps`` steps have a history
-    but are not ``available``; a single one is refused.
-    """
+    """Forecast one series, or one per value of ``keys``, of every length."""
     if periods is None or periods < 1:
         raise ValueError("periods must be 1 or more")
     if periods > MAX_PERIODS:
         raise ValueError(f"periods must be {MAX_PERIODS} or fewer")
     if method not in METHODS:
         raise ValueError(f"Unknown forecasting method '{method}'")
-    refused = max_steps if method == "holt_winters" and not keys else None
-    prepared = prepare(df, date_column, target_column, keys, grain, refused)
+    prepared = prepare(df, date_column, target_column, keys, grain)
     series, by = prepared.series, prepared.keys
     columns = [ref(k) for k in by]
 
-    fitted = written(fit(series, by, method, periods, max_steps))
+    fitted = written(fit(series, by, method, periods))
     residual = (
         join_null_safe(series, fitted, [*by, "step"])
         .groupBy(*columns)
@@ -176,7 +166,7 @@ def run_forecast(
     tables = (
         last_points(series, by).drop("step"),
         forecast,
-        evaluate(series, by, method, max_steps),
+        evaluate(series, by, method),
         summary,
     )
     return Forecast(*[t if keys else t.drop(ALL) for t in tables])

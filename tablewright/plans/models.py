@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.forecast.models import linear_trend
 from tablewright.forecast.prepare import prepare
+from tablewright.forecast.smoothing import holt_winters
 from tablewright.forecast.report import evaluate, last_points, run_forecast
 from tablewright.ml import explain, features, metrics
 from tablewright.ml.cluster import cluster_sizes, run_clustering, standardise
@@ -170,6 +171,38 @@ def _(t: Tables):
     return rounded(found.summary)
 
 
+_SEASONS = [f"s{j}" for j in range(7)]
+_BESIDE = "CASE step % 7 " + " ".join(f"WHEN {j} THEN s{j}" for j in range(7)) + " END"
+
+
+@query(
+    "smoothed_by_fixed_weights",
+    f"""WITH RECURSIVE {_DAILY},
+         y AS (SELECT k, step, CAST(value AS DOUBLE) AS v FROM series),
+         f AS (SELECT k, avg(v) FILTER (step < 7) AS first, avg(v) FILTER (step BETWEEN 7 AND 13) AS second,
+                      max(step) AS last FROM y GROUP BY 1 HAVING count(*) >= 14),
+         s AS (SELECT k, (second - first) / 7 AS trend, first - 4 * (second - first) / 7 AS level, last FROM f),
+         r AS (SELECT k, CAST(0 AS BIGINT) AS step, level, trend, last,
+                      {", ".join(f"(SELECT v - level - {j + 1} * trend FROM y WHERE y.k = s.k AND step = {j}) AS s{j}"
+                                 for j in range(7))} FROM s
+               UNION ALL
+               SELECT k, step + 1, moved, 0.1 * (moved - level) + 0.9 * trend, last,
+                      {", ".join(f"CASE WHEN step % 7 = {j} THEN 0.2 * (v - moved) + 0.8 * s{j} ELSE s{j} END"
+                                 for j in range(7))}
+               FROM (SELECT r.*, v, 0.3 * (v - {_BESIDE.replace("step", "r.step")}) + 0.7 * (level + trend) AS moved
+                     FROM r JOIN y ON y.k = r.k AND y.step = r.step)),
+         ahead AS (SELECT k, last + h AS step, level + h * trend AS line, {", ".join(_SEASONS)}
+                   FROM (SELECT *, unnest(range(1, 8)) AS h FROM r WHERE step = last + 1)),
+         found AS (SELECT k, step, level + trend + {_BESIDE} AS fitted FROM r WHERE step <= last
+                   UNION ALL SELECT k, step, line + {_BESIDE} FROM ahead)
+    SELECT k AS event_type, CAST(step AS BIGINT) AS step, round(fitted, 4) AS fitted FROM found""",
+)
+def _(t: Tables):
+    series = prepare(_daily(t), "ts", "value", ["event_type"]).series
+    found = holt_winters(series.where("steps >= 14"), ["event_type"], 7, (0.3, 0.1, 0.2), slice_steps=14)
+    return rounded(found, 4)
+
+
 @query("forecast_holt_winters")
 def _(t: Tables):
     return run_forecast(t.orders, "o_orderdate", "o_totalprice", 30).forecast

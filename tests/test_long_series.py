@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tablewright.forecast import models, smoothing
 from tablewright.forecast import prepare as preparing
 from tablewright.forecast.prepare import prepare
 from tablewright.forecast.report import run_forecast
@@ -33,16 +34,84 @@ def test_linear_trend_takes_every_length(stray):
     assert alone.forecast.count() == 3
 
 
-def test_only_holt_winters_is_bound(stray):
+def plain_run(y, weights, state, periods):
+    """Holt-Winters of one set of weights, a step at a time."""
+    (a, b, g), (level, trend, *cycle), fitted = weights, state, []
+    for t in range(len(y) + periods):
+        season = cycle[t % len(cycle)]
+        if t >= len(y):
+            fitted.append(level + trend * (t - len(y) + 1) + season)
+            continue
+        fitted.append(level + trend + season)
+        before, level = level, a * (y[t] - season) + (1 - a) * (level + trend)
+        trend = b * (level - before) + (1 - b) * trend
+        cycle[t % len(cycle)] = g * (y[t] - level) + (1 - g) * season
+    return fitted
+
+
+@pytest.fixture(scope="module")
+def waves(spark):
+    """Series of several lengths, one of them under a NULL key."""
+    rng, values = np.random.default_rng(4), {}
+    for key, n in {"short": 9, "one": 14, "two": 40, "many": 700, None: 333}.items():
+        t = np.arange(n)
+        values[key] = 50 + 0.1 * t + 8 * np.sin(2 * np.pi * t / 7) + rng.normal(size=n)
+    rows = [(k, i, float(v), n) for k, y in values.items() for i, v in enumerate(y) for n in [len(y)]]
+    return values, spark.createDataFrame(rows, "k string, step long, value double, steps long").repartition(4)
+
+
+def fitted_by_key(df):
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.k, []).append((r.step, r.fitted))
+    assert all([s for s, _ in sorted(x)] == list(range(len(x))) for x in found.values())
+    return {k: [v for _, v in sorted(x)] for k, x in found.items()}
+
+
+@pytest.mark.parametrize("fan, slice_steps", [(32, 10_000), (3, 20)])
+def test_smoothing_in_slices_equals_one_pass(waves, monkeypatch, fan, slice_steps):
+    monkeypatch.setattr(smoothing, "FAN", fan)
+    values, series = waves
+    found = fitted_by_key(smoothing.holt_winters(series, ["k"], 5, slice_steps=slice_steps))
+    assert set(found) == set(values)
+    for k, y in values.items():
+        assert found[k] == pytest.approx(models.smooth(y, 5), rel=1e-6), k
+
+
+def test_fixed_weights(waves, monkeypatch):
+    monkeypatch.setattr(smoothing, "FAN", 2)
+    values, series = waves
+    weights = (0.3, 0.1, 0.2)
+    found = fitted_by_key(smoothing.holt_winters(series.where("steps >= 14"), ["k"], 9, weights, 14))
+    for k, y in values.items():
+        if len(y) >= 14:
+            assert found[k] == pytest.approx(plain_run(y, weights, models.start_state(y, 7), 9), rel=1e-9), k
+
+
+def test_transitions_compose_and_equal_the_run():
+    rng = np.random.default_rng(6)
+    y, weights = rng.normal(size=61), models.grid(np.array(models.CENTRE), models.WIDTH, 7)
+    state = np.repeat(models.start_state(y, 7)[:, None], weights.shape[1], axis=1)
+    whole = models.run(y, 7, weights, state)[2]
+    first, second = (models.transition(p, 7, weights, at) for p, at in ((y[:25], 0), (y[25:], 25)))
+    stable = np.abs(whole).max(axis=0) < 1e6
+    assert stable.sum() > 50
+    for found in (models.applied(models.composed(second, first), state), models.applied(second, models.applied(first, state))):
+        assert found[:, stable] == pytest.approx(whole[:, stable], rel=1e-6, abs=1e-6)
+
+
+def test_holt_winters_takes_every_length(stray):
+    """100,807 days, of which all but ten are filled in: eleven slices."""
     found = run_forecast(stray, "d", "v", 3, ["k"])
-    assert {r.k: r.available for r in found.summary.collect()} == {"a": True, "b": False}
-    assert {r.k: r.available for r in found.evaluation.collect()} == {"a": True, "b": False}
-    assert found.history.where("k = 'b'").count() == 180
-    short = stray.where("d < '2100-01-01'")
-    assert not run_forecast(short, "d", "v", 3, ["k"], max_steps=9).summary.where("available").count()
-    assert run_forecast(short, "d", "v", 3, ["k"], max_steps=10).summary.where("available").count() == 2
-    with pytest.raises(ValueError, match="max_steps"):
-        run_forecast(stray.where("k = 'b'"), "d", "v", 3)
+    assert {r.k: r.available for r in found.summary.collect()} == {"a": True, "b": True}
+    assert {r.k: r.available for r in found.evaluation.collect()} == {"a": True, "b": True}
+    ahead = [r.value for r in found.forecast.where("k = 'b'").orderBy("horizon").collect()]
+    assert ahead == pytest.approx([5.0] * 3, abs=0.01)
+
+
+def test_slices_hold_two_seasons(waves):
+    with pytest.raises(ValueError, match="slice_steps"):
+        smoothing.holt_winters(waves[1], ["k"], 1, slice_steps=13)
 
 
 @pytest.mark.parametrize("size", [1, 3, 7])
