@@ -1,19 +1,18 @@
-"""Exact quantiles (linear interpolation) at any size.
-
-``percentile`` keeps every distinct value of a group in one task, which is
-fine for a table of checked size and fatal beyond it. Past
-``IN_MEMORY_ROWS`` rows the operators here work in two scans instead: a
-mergeable sketch (``percentile_approx``) gives a bracket around each wanted
-rank, then an exact count below the bracket and the pre-aggregated values
-inside it give the exact order statistics. The bracket is verified against
-exact counts, so the sketch only affects speed.
+"""Exact quantiles (linear interpolation) at any size, by radix selection.
+
+A DOUBLE becomes a 64-bit whole number that orders as it does. For each wanted
+rank of a group, a histogram of the first 12 bits, combined on the map side,
+tells the bin that holds the rank; the next 12 bits are counted inside that bin,
+and so on, six passes at most. As soon as a bin has no more than
+``in_memory_rows`` rows, its distinct values are put in order by one last pass.
+Groups that small from the start go to ``percentile``, which keeps the distinct
+values of a group in one task. No sketch takes part and no rank can be missed:
+every step counts exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,22 +22,42 @@ from tablewright.durable import written
 from tablewright.functions.coerce import number, ref, require_columns
 from tablewright.functions.joins import join_null_safe
 
-# Rows up to which a quantile is left to ``percentile``: for each column, and
-# for all groups of a grouped one together.
+# Rows of one group whose distinct values one task puts in order.
 IN_MEMORY_ROWS = 100_000
-IN_MEMORY_GROUP_ROWS = 1_000_000
-# Group tables up to this size are broadcast; hot groups of larger ones are.
+IN_MEMORY_GROUP_ROWS = IN_MEMORY_ROWS
+# Tables of groups, or of their bins, up to this size are broadcast; the hot ones of larger tables are.
 BROADCAST_GROUPS = 50_000
 HOT_GROUPS = 10_000
-# Groups up to this size need no sketch: their bracket is all of their values.
-SMALL_GROUP_ROWS = 100_000
 COLUMNS_PER_PASS = 16
-SKETCH_ACCURACY = 10_000
-_MARGIN = 3.0 / SKETCH_ACCURACY
+#: Bits that are left below each pass's histogram.
+SHIFTS = (52, 40, 28, 16, 4, 0)
+_BITS, _BIAS = 52, 1023
 
 
-def _clip(p: float) -> float:
-    return min(1.0, max(0.0, p))
+def ordered_bits(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` plus ``name``: a whole number for each DOUBLE that orders as the values do.
+
+    Sign, exponent and mantissa, found by exact arithmetic; both zeros are 0.
+    """
+    size = F.abs(ref(value))
+    infinite = size == F.lit(float("inf"))
+    guess = rows.withColumn("_size", size).withColumn(
+        "_guess", F.when((size > 0) & ~infinite, F.floor(F.log2(size)).cast("int"))
+    )
+    two = F.lit(2.0)
+    # The logarithm may be off by one next to a power of two.
+    exponent = (
+        F.col("_guess")
+        - (F.col("_size") < F.pow(two, F.col("_guess"))).cast("int")
+        + (F.col("_size") >= F.pow(two, F.col("_guess") + 1)).cast("int")
+    )
+    placed = guess.withColumn("_exponent", F.greatest(exponent, F.lit(-_BIAS)))
+    scale = F.pow(two, F.greatest(F.col("_exponent"), F.lit(1 - _BIAS)))
+    normal = (F.col("_exponent") > -_BIAS).cast("int")
+    mantissa = ((F.col("_size") / scale - normal) * F.lit(float(1 << _BITS))).cast("long")
+    whole = (F.col("_exponent") + _BIAS).cast("long") * F.lit(1 << _BITS) + mantissa
+    bits = F.when(infinite, F.lit((2 * _BIAS + 1) << _BITS)).otherwise(F.coalesce(whole, F.lit(0).cast("long")))
+    return placed.withColumn(name, F.when(ref(value) < 0, -bits).otherwise(bits)).drop("_size", "_guess", "_exponent")
 
 
 def _rank(n: Column, p: float) -> Column:
@@ -46,33 +65,6 @@ def _rank(n: Column, p: float) -> Column:
     return (n - F.lit(1)) * F.lit(float(p))
 
 
-def _pick(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Quantile of each (keys, target) from its bracketed value counts.
-
-    ``cells``: keys, target, value, rows, below (rows under the bracket) and
-    rank (fractional). Returns keys, target, quantile, resolved.
-    """
-    by = [ref(k) for k in keys] + [F.col("target")]
-    running = (
-        Window.partitionBy(*by)
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    upto = cells.withColumn("upto", F.col("below") + F.sum("rows").over(running))
-    low = F.floor("rank")
-    picked = upto.groupBy(*by).agg(
-        F.min(F.when(F.col("upto") > low, F.col("value"))).alias("at"),
-        F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value"))).alias("after"),
-        F.max(F.col("rank") - low).alias("share"),
-        F.max(F.col("below") <= low).alias("resolved"),
-    )
-    return picked.select(
-        *by,
-        (F.col("at") + F.col("share") * (F.col("after") - F.col("at"))).alias("quantile"),
-        (F.col("resolved") & F.col("after").isNotNull()).alias("resolved"),
-    )
-
-
 def _beside_group(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int, limit: int
 ) -> DataFrame:
@@ -105,98 +97,104 @@ def group_quantiles(
     require_columns(df, [*keys, value])
     by = [ref(k) for k in keys]
     rows = df.select(*by, number(df, value).alias("_value")).na.drop(subset=["_value"])
-    total = rows.count()
-    if total <= in_memory_rows:
-        return rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[
-                F.percentile("_value", F.lit(float(p))).alias(f"q{i}")
-                for i, p in enumerate(probabilities)
-            ],
-        )
+    sizes = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    large = sizes.where(F.col("_n") > in_memory_rows)
+    total, most, hot = sizes.agg(
+        F.sum("_n"), F.max("_n"), F.count_if(F.col("_n") > in_memory_rows)
+    ).first()
 
-    bounds = [_clip(p + s) for p in probabilities for s in (-_MARGIN, _MARGIN)]
-    sketch = written(
-        rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(
-                "_value", F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)
-            ).alias("_bounds"),
-            F.min("_value").alias("_min"),
-            F.max("_value").alias("_max"),
-        )
+    def small(some: DataFrame) -> DataFrame:
+        found = [F.percentile("_value", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probabilities)]
+        return some.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *found)
+
+    if (most or 0) <= in_memory_rows:
+        return small(rows)
+    names = large.select(*by)
+    few = F.broadcast(names) if hot <= broadcast_groups else names
+    found = _selected(rows, large, list(keys), probabilities, in_memory_rows, total, broadcast_groups)
+    return small(join_null_safe(rows, few, list(keys), "left_anti")).unionByName(found)
+
+
+def _holds_rank(cells: DataFrame, targets: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``targets`` beside the cell of their group that holds their rank.
+
+    ``cells``: keys, the ``order`` column and ``_rows``; a group has few enough
+    for one window. Targets have ``_below``, the rows before the group.
+    """
+    by = [ref(k) for k in keys]
+    running = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.withColumn("_upto", F.sum("_rows").over(running))
+    end = F.col("_below") + F.col("_upto")
+    return join_null_safe(targets, upto, keys).where(
+        (end - F.col("_rows") <= F.col("_rank")) & (F.col("_rank") < end)
     )
-    with_bounds = _beside_group(rows, sketch, keys, total, broadcast_groups)
-    targets = range(len(probabilities))
-    small = F.col("_n") <= SMALL_GROUP_ROWS
-    low = [F.when(small, F.col("_min")).otherwise(F.col("_bounds")[2 * i]) for i in targets]
-    high = [F.when(small, F.col("_max")).otherwise(F.col("_bounds")[2 * i + 1]) for i in targets]
-    below = with_bounds.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        *[F.count_if(F.col("_value") < low[i]).alias(f"_below{i}") for i in targets],
+
+
+def _selected(
+    rows: DataFrame,
+    large: DataFrame,
+    keys: list[str],
+    probabilities: Sequence[float],
+    in_memory_rows: int,
+    total: int,
+    limit: int,
+) -> DataFrame:
+    """Quantiles of the ``large`` groups (keys, _n) by radix selection."""
+    by = [ref(k) for k in keys]
+    work = ordered_bits(rows, "_value", "_bits")
+    ranks = [f(_rank(F.col("_n"), p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)]
+    zero = F.lit(0).cast("long")
+    open_ranks = large.select(
+        *by, F.explode(F.array_distinct(F.array(*ranks))).alias("_rank"), zero.alias("_prefix"), zero.alias("_below"),
+        F.col("_n").alias("_inside"),
     )
-    below = below.select(
-        *by,
-        "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("target"),
-                        F.col(f"_below{i}").alias("below"),
-                        _rank(F.col("_n"), p).alias("rank"),
-                    )
-                    for i, p in enumerate(probabilities)
-                ]
+    settled = []
+    for done, shift in zip((None, *SHIFTS), SHIFTS):
+        prefixes = written(open_ranks.groupBy(*by, "_prefix").agg(F.max("_inside").alias("_n")))
+        prefix = zero if done is None else F.shiftright("_bits", done)
+        inside = _beside_group(work.withColumn("_prefix", prefix), prefixes, [*keys, "_prefix"], total, limit)
+        bins = inside.groupBy(*by, "_prefix", F.shiftright("_bits", shift).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_rows")
+        )
+        found = written(
+            _holds_rank(bins, open_ranks, [*keys, "_prefix"], "_bin").select(
+                *by,
+                "_rank",
+                F.col("_bin").alias("_prefix"),
+                (F.col("_below") + F.col("_upto") - F.col("_rows")).alias("_below"),
+                F.col("_rows").alias("_inside"),
             )
-        ),
-    )
-    hits = F.array_compact(
-        F.array(
-            *[F.when(F.col("_value").between(low[i], high[i]), F.lit(i)) for i in targets]
         )
+        is_open = (F.col("_inside") > in_memory_rows) & F.lit(shift > 0)
+        settled.append(found.where(~is_open).withColumn("_shift", F.lit(shift)))
+        open_ranks = found.where(is_open)
+        if open_ranks.isEmpty():
+            break
+    ends = settled[0]
+    for more in settled[1:]:
+        ends = ends.unionByName(more)
+    place = [*keys, "_shift", "_prefix"]
+    leaves = written(ends.groupBy(*by, "_shift", "_prefix").agg(F.max("_inside").alias("_n")))
+    shifts = [F.lit(s) for s in SHIFTS[: len(settled)]]
+    spread = work.withColumn("_shift", F.explode(F.array(*shifts))).withColumn(
+        "_prefix", F.call_function("shiftright", F.col("_bits"), F.col("_shift"))
     )
-    inside = (
-        with_bounds.select(*by, "_value", F.explode(hits).alias("target"))
-        .groupBy(*by, "target", F.col("_value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    cells = join_null_safe(inside, below, [*keys, "target"])
-    picked = _pick(cells, keys).select(
-        *by,
-        "target",
-        F.when(F.col("resolved"), F.col("quantile"))
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .alias("quantile"),
-    )
-    sizes = sketch.select(*by, F.col("_n").alias("rows"))
-    wide = picked.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("target") == i, F.col("quantile"))).alias(f"q{i}")
-            for i in targets
-        ]
-    )
-    return join_null_safe(wide, sizes, keys).select(
-        *by, "rows", *[f"q{i}" for i in targets]
+    values = (
+        _beside_group(spread, leaves, place, total, limit)
+        .groupBy(*by, "_shift", "_prefix", "_value")
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
-
-
-@dataclass
-class _Target:
-    column: str
-    p: float
-    n: int
-    low: float
-    high: float
-    below: int
-    inside: int
-
-    @property
-    def rank(self) -> float:
-        return (self.n - 1) * self.p
-
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= math.floor(self.rank) and below + inside > math.ceil(self.rank)
+    picked = _holds_rank(values, ends, place, "_value").select(*by, "_rank", "_value")
+    beside = join_null_safe(picked, large, keys)
+    quantiles = []
+    for i, p in enumerate(probabilities):
+        rank = _rank(F.col("_n"), p)
+        low = F.max(F.when(F.col("_rank") == F.floor(rank), F.col("_value")))
+        high = F.max(F.when(F.col("_rank") == F.ceil(rank), F.col("_value")))
+        share = F.max(rank - F.floor(rank))
+        # Equal ends need no arithmetic, which infinities would not survive.
+        quantiles.append(F.when(low == high, low).otherwise(low + share * (high - low)).alias(f"q{i}"))
+    return beside.groupBy(*by).agg(F.max("_n").alias("rows"), *quantiles)
 
 
 def column_quantiles(
@@ -207,8 +205,8 @@ def column_quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact quantiles of whole columns; None for a column without numbers.
 
-    Only scalars reach the driver. Each narrowing round is one scan that cuts
-    a bracket to about 1/1700 of its rows.
+    Only these scalars reach the driver. A table of at most ``in_memory_rows``
+    rows takes one aggregate; of larger ones, columns are groups.
     """
     require_columns(df, columns)
     if len(columns) > COLUMNS_PER_PASS:
@@ -224,134 +222,11 @@ def column_quantiles(
             *[F.percentile(ref(c), probs).alias(f"c{i}") for i, c in enumerate(columns)]
         ).first()
         return {c: row[f"c{i}"] for i, c in enumerate(columns)}
-
-    # The first brackets do not depend on the row counts, so one scan gets both.
-    bounds = [_clip(p + s) for p in probabilities for s in (-_MARGIN, _MARGIN)]
-    facts = values.agg(
-        *[
-            expr.alias(f"{name}{i}")
-            for i, c in enumerate(columns)
-            for name, expr in (
-                ("n", F.count(ref(c))),
-                ("lo", F.min(ref(c))),
-                ("hi", F.max(ref(c))),
-                (
-                    "b",
-                    F.percentile_approx(
-                        ref(c), F.array(*[F.lit(b) for b in bounds]), F.lit(SKETCH_ACCURACY)
-                    ),
-                ),
-            )
-        ]
-    ).first()
-    targets, proposed = [], []
-    for i, c in enumerate(columns):
-        n = facts[f"n{i}"]
-        for j, p in enumerate(probabilities if n else ()):
-            targets.append(_Target(c, float(p), n, facts[f"lo{i}"], facts[f"hi{i}"], 0, n))
-            proposed.append(facts[f"b{i}"][2 * j : 2 * j + 2])
-    _settle(values, targets, proposed)
-    while True:
-        wide = [t for t in targets if t.inside > in_memory_rows and t.low < t.high]
-        if not wide or not _narrow(values, wide):
-            break
-    found = _select_ranks(values, targets)
-    out = {c: None for c in columns}
-    for i, t in enumerate(targets):
-        if out[t.column] is None:
-            out[t.column] = []
-        out[t.column].append(found[i])
-    return out
-
-
-def _bracketed(t: _Target) -> Column:
-    return F.when(ref(t.column).between(F.lit(t.low), F.lit(t.high)), ref(t.column))
-
-
-def _narrow(values: DataFrame, targets: list[_Target]) -> bool:
-    """Shrink every bracket; False when no bracket got smaller.
-
-    Targets that still share a bracket share one sketch of it.
-    """
-    shared: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        shared.setdefault((t.column, t.low, t.high), []).append(t)
-    sketched = values.agg(
-        *[
-            F.percentile_approx(
-                _bracketed(group[0]),
-                F.array(
-                    *[
-                        F.lit(_clip((t.rank - t.below) / max(t.inside - 1, 1) + s))
-                        for t in group
-                        for s in (-_MARGIN, _MARGIN)
-                    ]
-                ),
-                F.lit(SKETCH_ACCURACY),
-            ).alias(f"b{i}")
-            for i, group in enumerate(shared.values())
-        ]
-    ).first()
-    bounds = {
-        id(t): sketched[f"b{i}"][2 * j : 2 * j + 2]
-        for i, group in enumerate(shared.values())
-        for j, t in enumerate(group)
-    }
-    return _settle(values, targets, [bounds[id(t)] for t in targets])
-
-
-def _settle(
-    values: DataFrame, targets: list[_Target], bounds: Sequence[Sequence[float]]
-) -> bool:
-    """Take the proposed brackets that exact counts confirm; True if one shrank."""
-    if not targets:
-        return False
-    counts = values.agg(
-        *[
-            expr.alias(f"{name}{i}")
-            for i, (t, (low, high)) in enumerate(zip(targets, bounds))
-            for name, expr in (
-                ("below", F.count_if(ref(t.column) < F.lit(low))),
-                ("inside", F.count_if(ref(t.column).between(F.lit(low), F.lit(high)))),
-            )
-        ]
-    ).first()
-    shrunk = False
-    for i, (t, (low, high)) in enumerate(zip(targets, bounds)):
-        below, inside = counts[f"below{i}"], counts[f"inside{i}"]
-        if t.holds(below, inside) and inside < t.inside:
-            t.low, t.high, t.below, t.inside = low, high, below, inside
-            shrunk = True
-    return shrunk
-
-
-def _select_ranks(values: DataFrame, targets: list[_Target]) -> dict[int, float]:
-    flat = {i: t.low for i, t in enumerate(targets) if t.low == t.high}
-    open_targets = {i: t for i, t in enumerate(targets) if i not in flat}
-    if not open_targets:
-        return flat
-    cells = values.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("target"),
-                        _bracketed(t).alias("value"),
-                        F.lit(t.below).cast("long").alias("below"),
-                        F.lit(t.rank).alias("rank"),
-                    )
-                    for i, t in open_targets.items()
-                ]
-            )
-        )
-    ).na.drop(subset=["value"])
-    counted = cells.groupBy("target", "value", "below", "rank").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    picked = _pick(counted, []).collect()
-    if not all(r["resolved"] for r in picked):
-        raise ValueError("quantile bracket missed its rank")
-    return flat | {r["target"]: r["quantile"] for r in picked}
+    cells = [F.struct(F.lit(i).alias("column"), ref(c).alias("value")) for i, c in enumerate(columns)]
+    stacked = values.select(F.inline(F.array(*cells)))
+    found = group_quantiles(stacked, ["column"], "value", probabilities, in_memory_rows)
+    rows = {r["column"]: [r[f"q{j}"] for j in range(len(probabilities))] for r in found.collect()}
+    return {c: rows.get(i) for i, c in enumerate(columns)}
 
 
 def quantile_table(

@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 
 from tablewright.operators import quantiles, query as ask
@@ -74,27 +76,46 @@ def heavy(spark):
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-def test_bracketed_column_quantiles_are_exact(heavy):
+def test_selected_column_quantiles_are_exact(heavy):
     expected = heavy.select(F.percentile("x", F.array(*[F.lit(p) for p in PROBS]))).first()[0]
     assert column_quantiles(heavy, ["x"], PROBS, in_memory_rows=50)["x"] == pytest.approx(expected)
 
 
-@pytest.mark.parametrize("small_group, broadcast_groups", [(100_000, 100), (200, 100), (200, 2)])
-def test_bracketed_group_quantiles_are_exact(heavy, monkeypatch, small_group, broadcast_groups):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP_ROWS", small_group)
+@pytest.mark.parametrize("leaf_rows, broadcast_groups", [(5000, 100), (200, 100), (0, 100), (200, 2)])
+def test_selected_group_quantiles_are_exact(heavy, monkeypatch, leaf_rows, broadcast_groups):
     monkeypatch.setattr(quantiles, "HOT_GROUPS", 5)
-    monkeypatch.setattr(quantiles, "_MARGIN", 0.01)
-    small = group_quantiles(heavy, ["k"], "x", PROBS)
-    big = group_quantiles(
-        heavy, ["k"], "x", PROBS, in_memory_rows=0, broadcast_groups=broadcast_groups
-    )
-    expected = {r["k"]: tuple(r)[1:] for r in small.collect()}
-    got = {r["k"]: tuple(r)[1:] for r in big.collect()}
+    expected = {r["k"]: tuple(r)[1:] for r in group_quantiles(heavy, ["k"], "x", PROBS).collect()}
+    found = group_quantiles(heavy, ["k"], "x", PROBS, leaf_rows, broadcast_groups)
+    got = {r["k"]: tuple(r)[1:] for r in found.collect()}
     assert got.keys() == expected.keys()
     for k in got:
         assert got[k] == pytest.approx(expected[k])
 
 
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]
+ODD += [x for e in (-1070, -1022, -7, 0, 1, 52, 53, 1000) for x in (2.0**e, -(2.0**e), 2.0**e * (1 - 2**-53), 1.1 * 2.0**e)]
+ODD += [float("inf"), float("-inf"), 0.1, 1 / 3, -123456.789]
+
+
+def test_bits_order_as_values_do(spark):
+    rows = spark.createDataFrame([(x,) for x in ODD], "x double")
+    for r in quantiles.ordered_bits(rows, "x", "bits").collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["x"])))[0]
+        assert r["bits"] == (-bits if r["x"] < 0 else bits), r["x"]
+
+
+def test_quantiles_of_far_apart_values(spark):
+    finite = sorted(x for x in ODD if abs(x) < 1e300)
+    rows = [(None, x) for x in finite * 3] + [("a", 7.0)] * 40 + [("b", 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    found = {r["k"]: r for r in group_quantiles(df, ["k"], "x", [0.0, 0.5, 1.0], in_memory_rows=1).collect()}
+    assert set(found) == {None, "a", "b"}
+    whole = sorted(finite * 3)
+    middle = (whole[(len(whole) - 1) // 2] + whole[len(whole) // 2]) / 2
+    assert (found[None]["q0"], found[None]["q1"], found[None]["q2"]) == (whole[0], middle, whole[-1])
+    assert found["a"]["q1"] == 7.0 and found["a"]["rows"] == 40 and found["b"]["q2"] == 2.0
+
+
 def test_quantiles_without_numbers(spark):
     df = spark.createDataFrame([(None, "a")], "x double, y string")
     assert column_quantiles(df, ["x", "y"], [0.5], in_memory_rows=0) == {"x": None, "y": None}
