@@ -113,6 +113,8 @@ def run_clustering(
     """k-means by default, DBSCAN on request."""
     if not feature_columns:
         raise ValueError("at least one feature is needed")
+    if len(set(feature_columns)) < len(feature_columns):
+        raise ValueError("a feature is named twice")
     encoded, names = encode_features(df, feature_columns)
     table = written(assemble(standardise(encoded, names), names))
     if algorithm == "dbscan":

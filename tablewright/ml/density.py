@@ -256,6 +256,8 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int) ->
 
     A border point in reach of several clusters joins the first of them.
     """
+    if len(set(names)) < len(names):
+        raise ValueError("a feature is named twice")
     d = len(names)
     side = eps / math.sqrt(d) * (1 - 1e-12)
     offsets = _offsets(d) if d <= LISTED_FEATURES else []

@@ -18,6 +18,7 @@ from tablewright.functions.coerce import (
     timestamp,
 )
 from tablewright.operators.profile import DATE_SHARE, Profile, profile
+from tablewright.sources.quoted import records
 
 _DATASET_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
 # Texts that stand for a missing value in CSV files.
@@ -43,8 +44,10 @@ def read_csv(
     numbers, numbers, booleans, ISO dates and timestamps, else text. With a
     schema, columns are taken in its order and cells that don't convert are NULL.
 
-    ``multi_line`` says whether quoted cells may hold line breaks. Files read so
-    are not split, so None looks first whether any line leaves a quote open.
+    ``multi_line`` says whether quoted cells may hold line breaks; None looks
+    first whether any line leaves a quote open. Such files are split at records
+    (``sources.quoted``); only where quotes stand inside unquoted cells, or a
+    file ends inside quotes, is each file read by one task.
     Records with more cells than the header are malformed: they ``raise``, or are
     left out with ``malformed="drop"``. Shorter records end in NULLs.
     """
@@ -71,7 +74,12 @@ def read_csv(
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         names = wanted.fieldNames() + names[len(wanted) :]
     texts = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _EXTRA]])
-    cells = reader.option("enforceSchema", True).schema(texts).csv(path)
+    whole = records(spark, path) if multi_line else None
+    if whole is not None:
+        options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
+        cells = whole.select(F.from_csv("record", F.lit(texts.toDDL()), options).alias("cells")).select("cells.*")
+    else:
+        cells = reader.option("enforceSchema", True).schema(texts).csv(path)
     if malformed == "raise":
         longer = cells.where(ref(_EXTRA).isNotNull()).limit(1).count()
         if longer:
