@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.coerce import number, ref, require_columns
+from tablewright.operators.gram import wide_correlations
 from tablewright.operators.quantiles import (
     IN_MEMORY_ROWS,
     column_quantiles,
     quantile_table,
 )
 
-PAIRS_PER_PASS = 100
+NARROW_PAIRS = 100
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Advice by share of outliers.
@@ -120,47 +121,34 @@ def box_summary(
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of every pair, over the rows where both are present.
 
-    r is NULL when either side is constant. Pairs share one scan per
-    ``PAIRS_PER_PASS``; no row is shuffled.
+    r is NULL when either side is constant. One scan, and no row is shuffled:
+    up to ``NARROW_PAIRS`` pairs are aggregates side by side, more come from
+    Gram matrices.
     """
     values = _numbers(df, columns)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    passes = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[at : at + PAIRS_PER_PASS]
-        folds = []
-        for i, (a, b) in enumerate(chunk):
-            x = F.when(ref(b).isNotNull(), ref(a))
-            y = F.when(ref(a).isNotNull(), ref(b))
-            folds += [
-                F.covar_pop(ref(a), ref(b)).alias(f"cov{i}"),
-                F.stddev_pop(x).alias(f"sx{i}"),
-                F.stddev_pop(y).alias(f"sy{i}"),
-            ]
-        passes.append(
-            values.agg(*folds).select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(a).alias("column_a"),
-                                F.lit(b).alias("column_b"),
-                                F.try_divide(
-                                    F.col(f"cov{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")
-                                ).alias("r"),
-                            )
-                            for i, (a, b) in enumerate(chunk)
-                        ]
-                    )
-                )
-            )
+    if len(pairs) > NARROW_PAIRS:
+        return wide_correlations(values, columns)
+    folds = []
+    for i, (a, b) in enumerate(pairs):
+        x = F.when(ref(b).isNotNull(), ref(a))
+        y = F.when(ref(a).isNotNull(), ref(b))
+        folds += [
+            F.covar_pop(ref(a), ref(b)).alias(f"cov{i}"),
+            F.stddev_pop(x).alias(f"sx{i}"),
+            F.stddev_pop(y).alias(f"sy{i}"),
+        ]
+    cells = [
+        F.struct(
+            F.lit(a).alias("column_a"),
+            F.lit(b).alias("column_b"),
+            F.try_divide(F.col(f"cov{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")).alias("r"),
         )
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return values.agg(*folds).select(F.inline(F.array(*cells)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -179,9 +179,9 @@ _BESIDE = "CASE step % 7 " + " ".join(f"WHEN {j} THEN s{j}" for j in range(7)) +
     "smoothed_by_fixed_weights",
     f"""WITH RECURSIVE {_DAILY},
          y AS (SELECT k, step, CAST(value AS DOUBLE) AS v FROM series),
-         f AS (SELECT k, avg(v) FILTER (step < 7) AS first, avg(v) FILTER (step BETWEEN 7 AND 13) AS second,
+         halves AS (SELECT k, avg(v) FILTER (step < 7) AS first, avg(v) FILTER (step BETWEEN 7 AND 13) AS second,
                       max(step) AS last FROM y GROUP BY 1 HAVING count(*) >= 14),
-         s AS (SELECT k, (second - first) / 7 AS trend, first - 4 * (second - first) / 7 AS level, last FROM f),
+         s AS (SELECT k, (second - first) / 7 AS trend, first - 4 * (second - first) / 7 AS level, last FROM halves),
          r AS (SELECT k, CAST(0 AS BIGINT) AS step, level, trend, last,
                       {", ".join(f"(SELECT v - level - {j + 1} * trend FROM y WHERE y.k = s.k AND step = {j}) AS s{j}"
                                  for j in range(7))} FROM s

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators import charts, profile, query as ask, stats
+from tablewright.operators import charts, profile, quantiles, query as ask, stats
 from tablewright.plans.inputs import (
     SQL,
     few_columns,
@@ -100,6 +100,25 @@ def _(t: Tables):
     )
 
 
+_HOT = "CASE WHEN l_orderkey % 100 = 0 THEN NULL WHEN l_orderkey % 10 < 9 THEN 'hot' ELSE l_returnflag END"
+
+
+@query(
+    "group_quantiles_one_hot",
+    f"""SELECT {_HOT} AS k, count(x) AS rows, round(quantile_cont(x, 0), 4) AS q0,
+           round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS q2,
+           round(quantile_cont(x, 0.99), 4) AS q3, round(quantile_cont(x, 1), 4) AS q4
+    FROM (SELECT *, CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_extendedprice - 30000) / 3 END AS x FROM lineitem)
+    WHERE x IS NOT NULL GROUP BY 1""",
+)
+def _(t: Tables):
+    rows = t.lineitem.selectExpr(
+        f"{_HOT} AS k", "CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_extendedprice - 30000) / 3 END AS x"
+    )
+    found = quantiles.group_quantiles(rows, ["k"], "x", [0.0, 0.25, 0.5, 0.99, 1.0], in_memory_rows=500)
+    return rounded(found, 4)
+
+
 _UNIT = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 _LABEL = {
     "D": "strftime(k, '%Y-%m-%d')",
@@ -470,6 +489,28 @@ def _(t: Tables):
     return rounded(stats.box_summary(gappy_lines(t), _NUMBERS), 4)
 
 
+_WIDE = {
+    f"x{i}": f"CASE WHEN l_orderkey % {i + 5} = 0 THEN NULL ELSE "
+    + ("7.5" if i == 4 else f"sin(l_orderkey * {i + 1}) * {i} + l_{c}")
+    + " END"
+    for i, c in enumerate(("quantity", "extendedprice", "discount", "tax") * 4)
+}
+_WIDE_TABLE = f"(SELECT {', '.join(f'{x} AS {c}' for c, x in _WIDE.items())} FROM lineitem)"
+
+
+@query(
+    "correlations_wide",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) "
+        f"THEN round(corr({a}, {b}), 6) END AS r FROM {_WIDE_TABLE}"
+        for i, a in enumerate(_WIDE)
+        for b in list(_WIDE)[i + 1 :]
+    ),
+)
+def _(t: Tables):
+    return rounded(stats.correlations(t.lineitem.selectExpr(*(f"{x} AS {c}" for c, x in _WIDE.items())), list(_WIDE)), 6)
+
+
 _TAIL_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "tail"]
 _PAIRS = " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM {TAIL}"
