@@ -12,6 +12,7 @@ every step counts exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,42 +23,26 @@ from tablewright.durable import written
 from tablewright.functions.coerce import number, ref, require_columns
 from tablewright.functions.joins import join_null_safe
 
-# Rows of one group whose distinct values one task puts in order.
+# Rows, of one column or of one group, whose distinct values one task puts in order.
 IN_MEMORY_ROWS = 100_000
-IN_MEMORY_GROUP_ROWS = IN_MEMORY_ROWS
+IN_MEMORY_GROUP_ROWS = 250_000
 # Tables of groups, or of their bins, up to this size are broadcast; the hot ones of larger tables are.
 BROADCAST_GROUPS = 50_000
 HOT_GROUPS = 10_000
 COLUMNS_PER_PASS = 16
 #: Bits that are left below each pass's histogram.
 SHIFTS = (52, 40, 28, 16, 4, 0)
-_BITS, _BIAS = 52, 1023
 
 
 def ordered_bits(rows: DataFrame, value: str, name: str) -> DataFrame:
     """``rows`` plus ``name``: a whole number for each DOUBLE that orders as the values do.
 
-    Sign, exponent and mantissa, found by exact arithmetic; both zeros are 0.
+    The bits of the absolute value, negative below zero; both zeros and NULL are 0.
     """
-    size = F.abs(ref(value))
-    infinite = size == F.lit(float("inf"))
-    guess = rows.withColumn("_size", size).withColumn(
-        "_guess", F.when((size > 0) & ~infinite, F.floor(F.log2(size)).cast("int"))
-    )
-    two = F.lit(2.0)
-    # The logarithm may be off by one next to a power of two.
-    exponent = (
-        F.col("_guess")
-        - (F.col("_size") < F.pow(two, F.col("_guess"))).cast("int")
-        + (F.col("_size") >= F.pow(two, F.col("_guess") + 1)).cast("int")
-    )
-    placed = guess.withColumn("_exponent", F.greatest(exponent, F.lit(-_BIAS)))
-    scale = F.pow(two, F.greatest(F.col("_exponent"), F.lit(1 - _BIAS)))
-    normal = (F.col("_exponent") > -_BIAS).cast("int")
-    mantissa = ((F.col("_size") / scale - normal) * F.lit(float(1 << _BITS))).cast("long")
-    whole = (F.col("_exponent") + _BIAS).cast("long") * F.lit(1 << _BITS) + mantissa
-    bits = F.when(infinite, F.lit((2 * _BIAS + 1) << _BITS)).otherwise(F.coalesce(whole, F.lit(0).cast("long")))
-    return placed.withColumn(name, F.when(ref(value) < 0, -bits).otherwise(bits)).drop("_size", "_guess", "_exponent")
+    size = F.coalesce(F.abs(ref(value)), F.lit(0.0))
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), size)
+    plain = rows.withColumn("_plain", bits.cast("long"))
+    return plain.withColumn(name, F.when(ref(value) < 0, -F.col("_plain")).otherwise(F.col("_plain"))).drop("_plain")
 
 
 def _rank(n: Column, p: float) -> Column:
@@ -66,15 +51,15 @@ def _rank(n: Column, p: float) -> Column:
 
 
 def _beside_group(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int, limit: int
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], total: int, limit: int, count: int
 ) -> DataFrame:
-    """Every row with its group's row of ``groups`` (which has the size as ``_n``).
+    """Every row with its group's row of ``groups`` (at most ``count``, with the size as ``_n``).
 
     A group table of checked size is broadcast, so rows stay where they are.
     Beyond it only the hot groups are, of which there are at most
     ``HOT_GROUPS``, and the rows left to shuffle have no hot key.
     """
-    if groups.count() <= limit:
+    if count <= limit:
         return join_null_safe(rows, F.broadcast(groups), keys)
     is_hot = F.col("_n") > F.lit(total / HOT_GROUPS)
     hot, cold = groups.where(is_hot), groups.where(~is_hot)
@@ -111,7 +96,7 @@ def group_quantiles(
         return small(rows)
     names = large.select(*by)
     few = F.broadcast(names) if hot <= broadcast_groups else names
-    found = _selected(rows, large, list(keys), probabilities, in_memory_rows, total, broadcast_groups)
+    found = _selected(rows, large, list(keys), probabilities, in_memory_rows, total, hot, broadcast_groups)
     return small(join_null_safe(rows, few, list(keys), "left_anti")).unionByName(found)
 
 
@@ -137,9 +122,10 @@ def _selected(
     probabilities: Sequence[float],
     in_memory_rows: int,
     total: int,
+    hot: int,
     limit: int,
 ) -> DataFrame:
-    """Quantiles of the ``large`` groups (keys, _n) by radix selection."""
+    """Quantiles of the ``hot`` ``large`` groups (keys, _n) by radix selection."""
     by = [ref(k) for k in keys]
     work = ordered_bits(rows, "_value", "_bits")
     ranks = [f(_rank(F.col("_n"), p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)]
@@ -148,43 +134,47 @@ def _selected(
         *by, F.explode(F.array_distinct(F.array(*ranks))).alias("_rank"), zero.alias("_prefix"), zero.alias("_below"),
         F.col("_n").alias("_inside"),
     )
-    settled = []
+    settled, ends, count = [], 0, hot * 2 * len(probabilities)
     for done, shift in zip((None, *SHIFTS), SHIFTS):
-        prefixes = written(open_ranks.groupBy(*by, "_prefix").agg(F.max("_inside").alias("_n")))
+        prefixes = open_ranks.groupBy(*by, "_prefix").agg(F.max("_inside").alias("_n"))
         prefix = zero if done is None else F.shiftright("_bits", done)
-        inside = _beside_group(work.withColumn("_prefix", prefix), prefixes, [*keys, "_prefix"], total, limit)
-        bins = inside.groupBy(*by, "_prefix", F.shiftright("_bits", shift).alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_rows")
+        beside = _beside_group(work.withColumn("_prefix", prefix), prefixes, [*keys, "_prefix"], total, limit, count)
+        bins = beside.groupBy(*by, "_prefix", F.shiftright("_bits", shift).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.min("_bits").alias("_low"), F.max("_bits").alias("_high")
         )
+        single = F.col("_low") == F.col("_high")  # one value, however often: no more bits are needed
         found = written(
             _holds_rank(bins, open_ranks, [*keys, "_prefix"], "_bin").select(
                 *by,
                 "_rank",
-                F.col("_bin").alias("_prefix"),
+                F.when(single, F.col("_low")).otherwise(F.col("_bin")).alias("_prefix"),
+                F.when(single, 0).otherwise(shift).alias("_shift"),
                 (F.col("_below") + F.col("_upto") - F.col("_rows")).alias("_below"),
                 F.col("_rows").alias("_inside"),
             )
         )
-        is_open = (F.col("_inside") > in_memory_rows) & F.lit(shift > 0)
-        settled.append(found.where(~is_open).withColumn("_shift", F.lit(shift)))
-        open_ranks = found.where(is_open)
-        if open_ranks.isEmpty():
+        is_open = (F.col("_inside") > in_memory_rows) & (F.col("_shift") > 0)
+        settled.append(found.where(~is_open))
+        open_ranks = found.where(is_open).drop("_shift")
+        every, count = found.agg(F.count(F.lit(1)), F.count_if(is_open)).first()
+        ends += every - count
+        if not count:
             break
-    ends = settled[0]
+    ranked = settled[0]
     for more in settled[1:]:
-        ends = ends.unionByName(more)
+        ranked = ranked.unionByName(more)
     place = [*keys, "_shift", "_prefix"]
-    leaves = written(ends.groupBy(*by, "_shift", "_prefix").agg(F.max("_inside").alias("_n")))
-    shifts = [F.lit(s) for s in SHIFTS[: len(settled)]]
+    leaves = ranked.groupBy(*by, "_shift", "_prefix").agg(F.max("_inside").alias("_n"))
+    shifts = [F.lit(s) for s in {*SHIFTS[: len(settled)], 0}]
     spread = work.withColumn("_shift", F.explode(F.array(*shifts))).withColumn(
         "_prefix", F.call_function("shiftright", F.col("_bits"), F.col("_shift"))
     )
     values = (
-        _beside_group(spread, leaves, place, total, limit)
+        _beside_group(spread, leaves, place, total, limit, ends)
         .groupBy(*by, "_shift", "_prefix", "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    picked = _holds_rank(values, ends, place, "_value").select(*by, "_rank", "_value")
+    picked = _holds_rank(values, ranked, place, "_value").select(*by, "_rank", "_value")
     beside = join_null_safe(picked, large, keys)
     quantiles = []
     for i, p in enumerate(probabilities):
@@ -222,11 +212,72 @@ def column_quantiles(
             *[F.percentile(ref(c), probs).alias(f"c{i}") for i, c in enumerate(columns)]
         ).first()
         return {c: row[f"c{i}"] for i, c in enumerate(columns)}
-    cells = [F.struct(F.lit(i).alias("column"), ref(c).alias("value")) for i, c in enumerate(columns)]
-    stacked = values.select(F.inline(F.array(*cells)))
-    found = group_quantiles(stacked, ["column"], "value", probabilities, in_memory_rows)
-    rows = {r["column"]: [r[f"q{j}"] for j in range(len(probabilities))] for r in found.collect()}
-    return {c: rows.get(i) for i, c in enumerate(columns)}
+    return dict(zip(columns, _select_columns(values, columns, probabilities, in_memory_rows)))
+
+
+def _select_columns(
+    values: DataFrame, columns: Sequence[str], probabilities: Sequence[float], in_memory_rows: int
+) -> list[list[float] | None]:
+    """Radix selection of whole columns; the driver keeps the few prefixes, one job a pass."""
+    bits = [f"_bits{i}" for i in range(len(columns))]
+    work = values
+    for c, name in zip(columns, bits):
+        work = ordered_bits(work, c, name)
+
+    def counted(groups: list[tuple[int, int, int]], cell) -> DataFrame:
+        """Rows of each group (column, shift, prefix) by ``cell`` of its column."""
+        cells = []
+        for at, (i, shift, prefix) in enumerate(groups):
+            inside = ref(columns[i]).isNotNull()
+            if shift < 64:
+                inside = inside & (F.shiftright(bits[i], shift) == F.lit(prefix))
+            cells.append(
+                F.struct(F.when(inside, at).alias("_id"), cell(i).alias("_cell"), ref(bits[i]).alias("_all"))
+            )
+        # The condition stays above the generator; below it, the bits would be computed again and again.
+        listed = work.select(F.inline(F.array(*cells))).where("_id IS NOT NULL")
+        return listed.groupBy("_id", "_cell")
+
+    # Where each wanted rank is: (column, rank) -> (shift, prefix, rows before it, rows in it).
+    at: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    groups, sizes = [(i, 64, 0) for i in range(len(columns))], {}
+    for shift in SHIFTS:
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        bins = counted(groups, lambda i: F.shiftright(bits[i], shift))
+        for r in bins.agg(F.count(F.lit(1)).alias("n"), F.min("_all").alias("a"), F.max("_all").alias("b")).collect():
+            found.setdefault(r["_id"], []).append((r["_cell"], r["n"], r["a"], r["b"]))
+        if shift == SHIFTS[0]:
+            sizes = {i: sum(n for _, n, *_ in cells) for i, cells in found.items()}
+            for i, n in sizes.items():
+                for p in probabilities:
+                    rank = (n - 1) * p
+                    at |= {(i, r): (64, 0, 0, n) for r in (math.floor(rank), math.ceil(rank))}
+        for (i, rank), (held, prefix, below, _) in at.items():
+            if (i, held, prefix) in groups:
+                for value, n, low, high in sorted(found[groups.index((i, held, prefix))]):
+                    if rank < below + n:
+                        # One value, however often, needs no more bits.
+                        at[i, rank] = (0, low, below, n) if low == high else (shift, value, below, n)
+                        break
+                    below += n
+        groups = sorted({(i, s, prefix) for (i, _), (s, prefix, _, n) in at.items() if n > in_memory_rows and s})
+        if not groups:
+            break
+    if not at:
+        return [None] * len(columns)
+    leaves = sorted({(i, s, prefix) for (i, _), (s, prefix, *_) in at.items()})
+    wanted = [(leaves.index((i, s, prefix)), i, rank, below) for (i, rank), (s, prefix, below, _) in at.items()]
+    targets = values.sparkSession.createDataFrame(wanted, "_id int, _column int, _rank long, _below long")
+    cells = counted(leaves, lambda i: ref(columns[i])).agg(F.count(F.lit(1)).alias("_rows"))
+    picked = _holds_rank(cells, targets, ["_id"], "_cell").collect()
+    value = {(r["_column"], r["_rank"]): r["_cell"] for r in picked}
+
+    def quantile(i: int, p: float) -> float:
+        rank = (sizes[i] - 1) * p
+        low, high = value[i, math.floor(rank)], value[i, math.ceil(rank)]
+        return low if low == high else low + (rank - math.floor(rank)) * (high - low)
+
+    return [[quantile(i, p) for p in probabilities] if i in sizes else None for i in range(len(columns))]
 
 
 def quantile_table(
