@@ -15,8 +15,9 @@ Defined cases: vectors that are NULL, zero or hold NULL or non-finite numbers
 take no part, as queries or as candidates; vectors are compared with vectors of
 as many components only; ids identify rows, so rows of the query's own id are
 not candidates and a repeated query row is one query; a repeated candidate may
-come more than once; ties go to the smaller id; an empty table gives an empty
-result; further columns are not read.
+come more than once; ties go to the smaller id; rows without an id are no
+queries, but candidates, last among ties; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -69,23 +70,23 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, rows_in_block: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about ``rows_in_block`` by a hash of the id: one row (ids, vectors) each."""
+    """Rows packed into blocks of about ``rows_in_block`` by a hash: one row (ids, vectors) each."""
     counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     numbered = rows.join(F.broadcast(counts), "size").withColumn(
-        name, F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / rows_in_block))
+        name, F.pmod(F.xxhash64("vec_id", "vector"), F.ceil(F.col("n") / rows_in_block))
     )
     return numbered.groupBy("size", name).agg(F.collect_list(F.struct("vec_id", "vector")).alias(f"{name}_rows"))
 
 
-def _tile(query_ids, queries, ids, vectors, nearest: int):
-    """(query row, id, score) of each query's nearest in one tile."""
+def _tile(query_ids, queries, ids, known, vectors, nearest: int):
+    """(query row, candidate row, score) of each query's nearest in one tile; ids count where ``known``."""
     q, qs, qn, qe = quantised(queries)
     c, cs, cn, ce = quantised(vectors)
     exact_sums = 127 * 127 * q.shape[1] < 1 << 24  # integers that single precision holds
     kind = "f4" if exact_sums else "f8"
     product = (q.astype(kind) @ c.astype(kind).T).astype("f8") * qs[:, None] * cs[None, :]
     bound = qn[:, None] * ce[None, :] + qe[:, None] * cn[None, :] + qe[:, None] * ce[None, :] + _SLACK
-    own = query_ids[:, None] == ids[None, :]
+    own = (query_ids[:, None] == ids[None, :]) & known[None, :]
     low = np.where(own, -np.inf, product - bound)
     high = np.where(own, -np.inf, product + bound)
     found = []
@@ -96,8 +97,8 @@ def _tile(query_ids, queries, ids, vectors, nearest: int):
         if not len(maybe):
             continue
         scores = cosines(np.broadcast_to(queries[i], (len(maybe), queries.shape[1])), vectors[maybe])
-        best = np.lexsort((ids[maybe], -scores))[:nearest]
-        found.append((np.full(len(best), i), ids[maybe][best], scores[best]))
+        best = np.lexsort((ids[maybe], ~known[maybe], -scores))[:nearest]
+        found.append((np.full(len(best), i), maybe[best], scores[best]))
     return found
 
 
@@ -126,26 +127,28 @@ def nearest(
         def unpacked(cell):
             listed = cell.values
             ids, flat = listed.field("vec_id"), listed.field("vector")
-            return ids.to_numpy(zero_copy_only=False), flat.flatten().to_numpy().astype("f8").reshape(len(ids), -1)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            return ids.fill_null(0).to_numpy(), known, flat.flatten().to_numpy().astype("f8").reshape(len(ids), -1)
 
         def work(batch: pa.RecordBatch):
             found = []
             for row in range(batch.num_rows):
-                query_ids, q = unpacked(batch.column(0)[row])
-                ids, c = unpacked(batch.column(1)[row])
-                found += [(query_ids[i], near, score) for i, near, score in _tile(query_ids, q, ids, c, count)]
+                query_ids, _, q = unpacked(batch.column(0)[row])
+                ids, known, c = unpacked(batch.column(1)[row])
+                for i, near, score in _tile(query_ids, q, ids, known, c, count):
+                    found.append((query_ids[i], ids[near], ~known[near], score))
             if not found:
                 return None
             return {
                 "query_id": np.concatenate([x[0] for x in found]),
-                "vec_id": np.concatenate([x[1] for x in found]),
-                "score": np.concatenate([x[2] for x in found]),
+                "vec_id": pa.array(np.concatenate([x[1] for x in found]), mask=np.concatenate([x[2] for x in found])),
+                "score": np.concatenate([x[3] for x in found]),
             }
 
         return work
 
     best = map_batches(tiles, make, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (
         best.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= count)

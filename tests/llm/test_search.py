@@ -53,6 +53,14 @@ def test_quantisation_bounds_hold():
     assert (np.abs(rough - neighbours.cosines(a, b)) <= bound + 1e-12).all() and bound.max() < 0.1
 
 
+def test_rows_without_ids_large_ids_and_repeated_rows(spark):
+    big = (1 << 60) + 1
+    rows = [(big - big % 50, [1.0, 0.0]), (None, [1.0, 0.1]), (None, [1.0, 0.1]), (big, [1.0, 0.1]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<float>, rank int, score string, size int")
+    found = neighbours.nearest(table).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(big - big % 50, x) for x in (big, None, None, 7, 7)]
+
+
 def test_no_vectors(vectors):
     assert neighbours.nearest(vectors[1].limit(0)).count() == 0
 
