@@ -18,22 +18,21 @@ MISSING_LABEL = "Missing"
 # Text accepted as a number. Plain casts also take Java suffixes such as "1d".
 _NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
-# Shapes of the date part of a text and the layouts tried on each, after ISO 8601.
-# The shape keeps the parser away from text that cannot be a date.
-DATE_FORMATS = {
-    r"^\d{4}-\d{1,2}-\d{1,2}$": ("yyyy-M-d",),
-    r"^\d{1,2}/\d{1,2}/\d{4}$": ("M/d/yyyy",),
-    r"^\d{1,2}/\d{1,2}/\d{2}$": ("M/d/yy",),
-    r"^\d{4}/\d{1,2}/\d{1,2}$": ("yyyy/M/d",),
-    r"^\d{1,2}-\d{1,2}-\d{4}$": ("M-d-yyyy",),
-    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ("d.M.yyyy",),
-    r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$": ("MMM d yyyy", "MMMM d yyyy"),
-    r"^\d{1,2}[ -][A-Za-z]{3,9}[ -]\d{4}$": ("d MMM yyyy", "d MMMM yyyy"),
-    r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{2}$": ("d MMM yy",),
-    r"^\d{8}$": ("yyyyMMdd",),
-}
-# Two-digit years from here on belong to the century before.
-_PIVOT_YEAR = 2069
+# Shapes of the date part of a text, and the same date as year-month-day. "|" ends the date part.
+# A month's name is taken as it is; one that repeats its first letters ("MayMay") is none.
+_NAME = r"(?!(?i:(?<twice>[a-z]{3})[a-z]*\k<twice>))(?<month>[A-Za-z]{3,9})"
+DATE_SHAPES = (
+    r"^(?<year>\d{4})(?<mark>[/-])(?<month>\d{1,2})\k<mark>(?<day>\d{1,2})(?=\|)",
+    r"^(?<year>\d{4})(?<month>\d{2})(?<day>\d{2})(?=\|)",
+    r"^(?<month>\d{1,2})(?<mark>[/-])(?<day>\d{1,2})\k<mark>(?<year>\d{4})(?=\|)",
+    r"^(?<day>\d{1,2})\.(?<month>\d{1,2})\.(?<year>\d{4})(?=\|)",
+    rf"^{_NAME} (?<day>\d{{1,2}}),? (?<year>\d{{4}})(?=\|)",
+    rf"^(?<day>\d{{1,2}})[ -]{_NAME}[ -](?<year>\d{{4}})(?=\|)",
+)
+# Two-digit years from 69 on belong to the century before.
+_SHORT_YEAR = r"^(?<rest>\d{1,2}/\d{1,2}/|\d{1,2}[ -][A-Za-z]{3}[ -])"
+CENTURIES = {r"(?=(?:[0-5]\d|6[0-8])\|)": "20", r"(?=(?:69|[7-9]\d)\|)": "19"}
+_SPELLED_LAYOUT = "yyyy-[MMMM][MMM][M]-d'|'[h:mm:[ss]'|'a][H:mm:[ss]'|'][::'|']X"
 _ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 _ISO_OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}:?\d{2})$"
 _CLOCK = r"^(.*?)(?:,?[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)? ?([AaPp][Mm])?)?$"
@@ -124,30 +123,17 @@ def _utc(instant: Column) -> Column:
 
 
 def _spelled(value: Column) -> Column:
-    """A date in one of ``DATE_FORMATS``, with or without a 12 or 24 hour clock."""
-    day_text = F.regexp_extract(value, _CLOCK, 1)
-    spaced = F.regexp_replace(F.regexp_replace(day_text, ",", ""), r"(?<=[A-Za-z])-|-(?=[A-Za-z])", " ")
-    day = None
-    for shape, layouts in DATE_FORMATS.items():
-        tried = [F.try_to_timestamp(spaced, F.lit(layout)).cast("date") for layout in layouts]
-        found = F.coalesce(*tried)
-        day = (
-            F.when(day_text.rlike(shape), found) if day is None else day.when(day_text.rlike(shape), found)
-        )
-    short_year = day_text.rlike(r"[^0-9]\d{2}$")
-    day = F.when(short_year & (F.year(day) >= _PIVOT_YEAR), F.add_months(day, -1200)).otherwise(day)
-    hour, minute, second = (
-        F.coalesce(F.regexp_extract(value, _CLOCK, i).try_cast("int"), F.lit(0)) for i in (2, 3, 4)
-    )
-    half = F.lower(F.regexp_extract(value, _CLOCK, 5))
-    clock = (
-        F.when(half == "", F.when(hour < 24, hour))
-        .when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "pm", 12).otherwise(0))
-    )
-    valid = clock.isNotNull() & (minute < 60) & (second < 60)
-    return F.when(
-        valid, day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), clock, minute, second.cast("decimal(18,6)"))
-    )
+    """A date in one of ``DATE_SHAPES``, with or without a 12 or 24 hour clock.
+
+    Each step rewrites the text of the step before, and one parse ends the chain, so the
+    expression names ``value`` once and the code made for it stays small.
+    """
+    found = F.regexp_replace(value, _CLOCK, "$1|$2:$3:$4|$5")
+    for years, century in CENTURIES.items():
+        found = F.regexp_replace(found, _SHORT_YEAR + years, "${rest}" + century)
+    for shape in DATE_SHAPES:
+        found = F.regexp_replace(found, shape, "${year}-${month}-${day}")
+    return _utc(F.try_to_timestamp(F.concat(found, F.lit("Z")), F.lit(_SPELLED_LAYOUT)))
 
 
 def day_of(ts: Column) -> Column:
