@@ -11,7 +11,7 @@ Spans count code points, the end exclusive. Kinds in the order of listing:
 assign, access, hex, then the confirmed ones: jwt, der, ssh, pem.
 
 Defined cases: NULL texts count as empty and have no spans; texts are scanned
-whole; matches of one kind never overlap, and rows are independent, so repeats
+whole, in time that grows with their length; matches of one kind never overlap, and rows are independent, so repeats
 and ties need no rule; an empty table gives an empty result; further columns
 are not read (``redacted`` keeps them).
 """
@@ -41,7 +41,8 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of at least this many is the whole run, so shorter ones need not be matched and dropped.
 _HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A signed token is three parts with dots between them; the last may be empty.
+_PART = re.compile(r"[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
 _BREAK = r"[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*"
 _LINE_BREAK = re.compile(_BREAK)
@@ -50,10 +51,12 @@ LEAST_WIDTH = 40
 _LINES = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_WIDTH},}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _PEM = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nr])*?)-----END \1-----"
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----)|\\+[nr])*)-----END \1-----"
 )
 _KEY_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 _SSH_FILE = b"openssh-key-v1\x00"
+#: No key structure has as many items on one level; reading stops there, however long the data are.
+MOST_ITEMS = 64
 
 
 def decoded64(text: str) -> bytes | None:
@@ -67,7 +70,7 @@ def decoded64(text: str) -> bytes | None:
         return None
 
 
-def der_item(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
+def der_item(data: bytes | memoryview, at: int = 0) -> tuple[int, int, int] | None:
     """(tag, start, end) of the contents of the DER item at ``at``, if its length fits."""
     if at + 2 > len(data):
         return None
@@ -84,7 +87,7 @@ def der_item(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= len(data) else None
 
 
-def is_der_key(data: bytes | None) -> bool:
+def is_der_key(data: bytes | memoryview | None) -> bool:
     """A SEQUENCE that fills ``data``, whose items nest exactly, with a key's first items."""
     if not data or data[0] != 0x30:
         return False
@@ -94,7 +97,7 @@ def is_der_key(data: bytes | None) -> bool:
     items, at = [], outer[1]
     while at < outer[2]:
         item = der_item(data, at)
-        if not item or item[2] > outer[2]:
+        if not item or item[2] > outer[2] or len(items) == MOST_ITEMS:
             return False
         items.append(item)
         at = item[2]
@@ -110,32 +113,32 @@ def is_der_key(data: bytes | None) -> bool:
     return False
 
 
-def _names_algorithm(data: bytes, item: tuple[int, int, int]) -> bool:
+def _names_algorithm(data: bytes | memoryview, item: tuple[int, int, int]) -> bool:
     inner = der_item(data, item[1])
     return bool(inner and inner[0] == 0x06 and inner[2] <= item[2])
 
 
-def is_ssh_key(data: bytes | None) -> bool:
+def is_ssh_key(data: bytes | memoryview | None) -> bool:
     """Length-prefixed fields that fill ``data``, the first a key type; or an OpenSSH private key file."""
     if not data:
         return False
-    if data.startswith(_SSH_FILE):
+    if bytes(data[: len(_SSH_FILE)]) == _SSH_FILE:
         return _fields(data, len(_SSH_FILE), 3) is not None
-    fields = _fields(data, 0, None)
-    return bool(fields and len(fields) >= 2 and fields[0].startswith(_KEY_TYPES))
+    if not bytes(data[4:20]).startswith(_KEY_TYPES):
+        return False
+    return (_fields(data, 0, None) or 0) >= 2
 
 
-def _fields(data: bytes, at: int, count: int | None) -> list[bytes] | None:
-    found = []
-    while at < len(data) if count is None else len(found) < count:
-        if at + 4 > len(data):
+def _fields(data: bytes | memoryview, at: int, count: int | None) -> int | None:
+    """The number of fields from ``at`` on, ``count`` of them or as many as fill ``data``; None if they don't fit."""
+    found = 0
+    while at < len(data) if count is None else found < count:
+        if at + 4 > len(data) or found == MOST_ITEMS:
             return None
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + size > len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
             return None
-        found.append(data[at : at + size])
-        at += size
+        found += 1
     return found
 
 
@@ -161,6 +164,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens. Each part is read a bounded number of times."""
+    found, at = [], 0
+    while (at := text.find("eyJ", at)) >= 0:
+        header = _PART.match(text, at + 3).end()
+        payload = _PART.match(text, header + 1).end() if text.startswith(".", header) else header
+        if header == at + 3 or payload <= header + 1 or not text.startswith(".", payload):
+            at = header  # no other start in this part goes on differently
+            continue
+        end = _PART.match(text, payload + 1).end()
+        if is_signed_token(text[at:end]):
+            found.append(("jwt", at, end))
+        at = end
+    return found
+
+
 def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
     """Keys in base64 that goes over several lines of one width and a last one that isn't wider."""
     found = []
@@ -168,49 +187,92 @@ def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
         start = m.start() + (text[max(m.start() - 1, 0) : m.start() + 1] == "\\n")  # the n of an escaped break
         breaks = [b.span() for b in _LINE_BREAK.finditer(text, start, m.end())]
         lines = list(zip([start, *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
-        at = 0
+        at = end = 0
         while at < len(lines) - 1:
-            kind, end = _wrapped_key(text, lines, at)
+            if at >= end:
+                block = _Block(text, lines, at)
+                end = block.end
+            kind, last = block.key(at)
             if kind:
-                found.append((kind, lines[at][0], lines[end - 1][1]))
-            at = end
+                found.append((kind, lines[at][0], lines[last - 1][1]))
+            at = last
     return found
 
 
-def _wrapped_key(text: str, lines: list[tuple[int, int]], at: int) -> tuple[str | None, int]:
-    """The kind of the key that begins with line ``at``, if one does, and the line to go on with."""
-    a, b = lines[at]
-    head = decoded64(text[a : a + LEAST_WIDTH]) if b - a >= LEAST_WIDTH else None
-    if not head or head[0] != 0x30 and not head.startswith(_SSH_FILE) and not head[4:].startswith(_KEY_TYPES):
-        return None, at + 1
-    chars = None
-    if head[0] == 0x30:  # its length tells where it ends
-        width = head[1] & 0x7F if head[1] & 0x80 else 0
-        size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
-        chars = -(-size * 4 // 3)
-    end = at + 1
-    while end < len(lines) and lines[end][1] - lines[end][0] == b - a and (chars is None or (end - at) * (b - a) < chars):
-        end += 1
-    for last in (end + 1, end):
-        if at + 1 < last <= len(lines) and not text.startswith("-----", lines[last - 1][0]):
-            x, y = lines[last - 1]
-            if y - x > b - a + 2 * text.endswith("=", x, y):
+class _Block:
+    """Lines of one width from ``first`` to ``end``, and the next line if a key may end in it.
+
+    The characters are decoded once for each remainder that a line's place leaves
+    modulo 4, so a line that looks like a key's first costs no more than its own length.
+    """
+
+    def __init__(self, text: str, lines: list[tuple[int, int]], first: int):
+        self.text, self.lines, self.first = text, lines, first
+        a, b = lines[first]
+        self.width = b - a
+        self.end = first + 1
+        while self.end < len(lines) and lines[self.end][1] - lines[self.end][0] == self.width:
+            self.end += 1
+        self.last_width = 0  # of the line after the block, without padding
+        if self.end < len(lines):
+            x, y = lines[self.end]
+            if y - x <= self.width + 2 * text.endswith("=", x, y):
+                self.last_width = len(text[x:y].rstrip("="))
+        self.chars: str | None = None
+        self.decoded: dict[int, memoryview] = {}
+
+    def data(self, at: int, size: int) -> memoryview | None:
+        """The bytes of ``size`` characters from line ``at`` on."""
+        if size % 4 == 1:
+            return None
+        offset = (at - self.first) * self.width
+        phase = offset % 4
+        if phase not in self.decoded:
+            if self.chars is None:
+                cut = self.lines[self.first : self.end + bool(self.last_width)]
+                self.chars = "".join(self.text[x:y] for x, y in cut).rstrip("=")
+            part = self.chars[phase:]
+            self.decoded[phase] = memoryview(decoded64(part[: len(part) - (len(part) % 4 == 1)]) or b"")
+        begin = (offset - phase) // 4 * 3
+        return self.decoded[phase][begin : begin + size * 3 // 4]
+
+    def key(self, at: int) -> tuple[str | None, int]:
+        """The kind of the key that begins with line ``at``, if one does, and the line to go on with."""
+        a, b = self.lines[at]
+        head = decoded64(self.text[a : a + LEAST_WIDTH]) if self.width >= LEAST_WIDTH else None
+        if not head or head[0] != 0x30 and not head.startswith(_SSH_FILE) and not head[4:].startswith(_KEY_TYPES):
+            return None, at + 1
+        chars, end = None, self.end
+        if head[0] == 0x30:  # its length tells where it ends
+            width = head[1] & 0x7F if head[1] & 0x80 else 0
+            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+            chars = -(-size * 4 // 3)
+            end = min(end, at + max(1, -(-chars // self.width)))
+        for last in (end + 1, end):
+            inside = last <= self.end
+            if at + 1 >= last or not inside and not self.last_width:
                 continue
-            body = "".join(text[p:q] for p, q in lines[at:last])
-            if chars is not None and len(body.rstrip("=")) != chars:
+            x, y = self.lines[last - 1]
+            if self.text.startswith("-----", x):
                 continue
-            data = decoded64(body)
+            if not inside:
+                size = (end - at) * self.width + self.last_width
+            else:
+                size = (last - 1 - at) * self.width + len(self.text[x:y].rstrip("="))
+            if chars is not None and size != chars:
+                continue
+            data = self.data(at, size)
             if is_der_key(data):
                 return "der", last
             if is_ssh_key(data):
                 return "ssh", last
-    return None, at + 1
+        return None, at + 1
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        found += token_spans(text)
     for m in _BASE64.finditer(text):
         data = decoded64(m[0])
         if is_der_key(data):

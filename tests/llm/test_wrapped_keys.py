@@ -1,6 +1,11 @@
+import base64
+import json
+import timeit
+
 import pytest
 
 from tablewright.llm import secret_scan
+from tablewright.llm.secret_scan import confirmed_spans
 from tests.llm.test_search import PKCS8, RSA, SSH, b64
 
 
@@ -32,3 +37,26 @@ def test_pem_with_escaped_breaks():
 def test_many_lines_are_scanned_in_linear_time():
     text = "\n".join(["M" + "I" * 63] * 20_000) + "z" * 200_000
     assert secret_scan.wrapped_spans(text) == []
+
+
+LONG_TEXTS = {
+    "token starts": "eyJ" * 1_700_000,
+    "token starts and dots": "eyJa." * 1_000_000,
+    "key lines": ("MIP/" + "A" * 60 + "\n") * 77_000,
+    "marks without ends": "-----BEGIN PRIVATE KEY-----\n" * 180_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_time_grows_with_the_text(name):
+    text = LONG_TEXTS[name]
+    small, large = (min(timeit.repeat(lambda: confirmed_spans(text[:n]), number=1, repeat=2)) for n in (len(text) // 8, len(text)))
+    assert confirmed_spans(text) == []
+    assert large < 24 * small + 0.5  # 64 times, were it quadratic
+
+
+def test_token_after_a_start_that_is_none():
+    part = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+    token = f'{part(json.dumps({"alg": "HS256"}).encode())}.{part(b"{}")}.{part(bytes(range(32)))}'
+    text = f"eyJ eyJa. {token} eyJ"
+    assert confirmed_spans(text) == [("jwt", 10, 10 + len(token))]
