@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
+from tablewright.llm.shared import unused
 
 #: Digests the summary tracks: texts with more than about 1 in 500 of all rows are surely among them.
 TRACKED = 4096
@@ -86,24 +87,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each text: the row whose id stays, and of rows that repeat id and text the longest."""
+    kept_id, kept_sha256, rows = (unused(docs, n) for n in ("kept_id", "kept_sha256", "kept_rows"))
     kept = written(
         exact_groups(docs, id_col, text_col)
         .where("kept")
-        .groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha256"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
+        .groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha256))
+        .agg(F.count(F.lit(1)).alias(rows))
     )
 
-    def those(which: str) -> DataFrame:
-        same = docs[id_col].eqNullSafe(F.col("__kept_id")) & (_digest(text_col) == F.col("__kept_sha256"))
+    def those(which: Column) -> DataFrame:
+        same = docs[id_col].eqNullSafe(F.col(kept_id)) & (_digest(text_col) == F.col(kept_sha256))
         return docs.join(kept.where(which), same, "left_semi")
 
-    single = those("__rows = 1")
-    if kept.where("__rows > 1").isEmpty():
+    single = those(F.col(rows) == 1)
+    if kept.where(F.col(rows) > 1).isEmpty():
         return single
     whole = F.struct(*(docs[c] for c in docs.columns))
     text = F.coalesce(F.col(text_col), F.lit(""))
     one = (
-        those("__rows > 1")
+        those(F.col(rows) > 1)
         .groupBy(F.col(id_col).alias("__id"), _digest(text_col).alias("__sha256"))
         .agg(F.min_by(whole, F.struct(-F.length(text), text)).alias("__row"))
     )

@@ -1,7 +1,8 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
-1. Documents with the same set of shingles form a class; only its smallest id
-   goes on, so thousands of copies cost one row each.
+1. Documents with the same set of shingles form a class; only one row for each
+   class goes on, so thousands of copies cost one row. Classes are numbered by
+   content, not by id.
 2. Each class has a MinHash signature, cut into bands. Classes that share a
    band's values share a bucket.
 3. In each bucket every member is compared with a few pivots, not with every
@@ -20,8 +21,11 @@ A pair at the similarity bound shares no band with probability
 
 Defined cases: NULL texts and texts without words have no shingles and are
 linked with nothing; fewer words than a shingle make one shingle of the whole
-sequence; texts are taken whole; rows that repeat an id are copies of each
-other; an empty table gives an empty result; further columns are not read.
+sequence; texts are taken whole; each row stands for its own text, so an id with
+two texts may be in two components, and a row without an id is linked like any
+other; a component of such rows only has no component_id, and keeps those whose
+text has the smallest digest; an empty table gives an empty result; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.llm.shared import components, map_batches, released
+from tablewright.llm.shared import components, map_batches, released, unused
 from tablewright.llm.words import mix, split_words, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
@@ -51,6 +55,8 @@ MISS = 1e-7
 TILE = 64
 #: Rounds of comparing with the best linked members before the rest is compared in tiles.
 HUB_ROUNDS = 1
+#: Keys over which the members of one component are dealt.
+SALTS = 8
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -113,27 +119,38 @@ def least_matches() -> tuple[int, ...]:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, content, signature) of each row; content identifies the set."""
+    """(doc_id, text_key, n_shingles, content, signature) of each row; content identifies the set."""
 
     def make():
         def work(batch: pa.RecordBatch):
             sizes, contents, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 shingles = shingle_set(text)
                 sizes.append(len(shingles))
                 contents.append(_digest(shingles) if len(shingles) else None)
                 signatures.append(signature(shingles).tobytes() if len(shingles) else None)
-            return {"doc_id": batch.column(0), "n_shingles": sizes, "content": contents, "signature": signatures}
+            return {
+                "doc_id": batch.column(0),
+                "text_key": batch.column(1),
+                "n_shingles": sizes,
+                "content": contents,
+                "signature": signatures,
+            }
 
         return work
 
     return map_batches(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col),
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col).alias("text_key"), text_col),
         make,
-        "doc_id long, n_shingles long, content binary, signature binary",
+        "doc_id long, text_key binary, n_shingles long, content binary, signature binary",
     )
 
 
+def _text_key(text_col: str) -> Column:
+    """What rows with one id are told apart by; NULL for NULL texts."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
+
+
 def _digest(shingles: np.ndarray) -> bytes:
     import xxhash
 
@@ -186,20 +203,20 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(class_id, shingles) of the wanted classes, from their texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text_col).alias("text"))
+    """(class_id, shingles) of the wanted classes, from the texts of their smallest ids."""
+    ids = wanted.select(F.col("best.doc_id").alias("best_id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def make():
         def work(batch: pa.RecordBatch):
-            return {
-                "class_id": batch.column(0),
-                "shingles": [shingle_set(x).view("i8") for x in batch.column(1).to_pylist()],
-            }
+            sets = [shingle_set(x) for x in batch.column(0).to_pylist()]
+            return {"content": [_digest(x) for x in sets], "shingles": [x.view("i8") for x in sets]}
 
         return work
 
-    found = texts.join(wanted, "class_id", "left_semi")
-    return map_batches(found, make, "class_id long, shingles array<long>")
+    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("best_id")), "left_semi").select("text")
+    sets = map_batches(found, make, "content binary, shingles array<long>")
+    return sets.join(wanted.select("content", "class_id"), "content").dropDuplicates(["content"]).drop("content")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,15 +306,21 @@ def _hopeful(members: DataFrame, sets: DataFrame) -> DataFrame:
         .where("lo <> hi")
         .select("shingle")
     )
-    bounds = (
-        held.join(foreign, "shingle").groupBy("member").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
+    bounds = written(
+        held.join(foreign, "shingle")
+        .groupBy("member")
+        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
+        .where(_can_reach(F.ceil(F.col("n") * SIMILAR / 100)))
     )
     bounded = written(members.drop("main").join(bounds, "member"))
     smallest = bounded.groupBy("bucket").agg(F.min("n").alias("least"))
     m = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
-    return written(
-        bounded.join(smallest, "bucket").where(100 * F.col("s") >= SIMILAR * (F.col("n") + m - F.col("s"))).drop("least")
-    )
+    return written(bounded.join(smallest, "bucket").where(_can_reach(m)).drop("least"))
+
+
+def _can_reach(m: Column) -> Column:
+    """Whether s shared shingles of n can make a link with a set of ``m`` or more."""
+    return 100 * F.col("s") >= SIMILAR * (F.col("n") + m - F.col("s"))
 
 
 def _hubs(members: DataFrame, degrees: DataFrame, used: DataFrame) -> DataFrame:
@@ -324,11 +347,8 @@ def _rest(members: DataFrame, bounds: DataFrame, classes: DataFrame, sets: DataF
     partners and not once for each of them. In a tile, signatures are compared
     batch by batch and survivors on their full sets.
     """
-    known = written(
-        members.join(bounds, "member")
-        .join(classes.select(F.col("class_id").alias("member"), "signature"), "member")
-        .join(sets.select(F.col("class_id").alias("member"), "shingles"), "member")
-    )
+    sent = bounds.withColumnRenamed("member", "class_id").join(classes, "class_id").join(sets, "class_id")
+    known = written(members.join(sent.withColumnRenamed("class_id", "member"), "member"))
     sizes = written(
         known.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("all"), F.count_if(F.col("component") != F.col("main")).alias("strays")
@@ -381,13 +401,30 @@ def _rest(members: DataFrame, bounds: DataFrame, classes: DataFrame, sets: DataF
     return map_batches(tiles.select("x_main", "x", "y"), make, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest reachable id) and kept."""
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(content, chosen): the row that stays of each class's component, by id and text digest."""
+    linked = written(
+        found.join(classes.select(F.col("class_id").alias("member"), "best"), "member").select("member", "component", "best")
+    )
+    # A component may hold a third of all classes: its rows are dealt over SALTS keys.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    names = linked.groupBy("component").agg(F.min("best").alias("chosen")).select("component", "chosen", salts)
+    salt = F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int")
+    chosen = linked.select("member", "component", salt.alias("salt")).join(names, ["component", "salt"])
+    return classes.join(chosen, F.col("class_id") == F.col("member"), "left").select(
+        "content", F.coalesce("chosen", "best").alias("chosen")
+    )
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row's doc_id, text_key, n_shingles and chosen: NULL without shingles, else the row that stays."""
     signed = written(_signed(docs, id_col, text_col))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     classes = written(
         signed.where("content is not null")
         .groupBy("content")
-        .agg(F.min("doc_id").alias("class_id"), F.first("signature").alias("signature"))
+        .agg(F.min(row).alias("best"), F.first("signature").alias("signature"))
+        .withColumn("class_id", F.monotonically_increasing_id())
     )
     buckets = written(_buckets(classes))
     # Buckets of one member are most of all; what follows reads the others only.
@@ -397,8 +434,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = written(buckets.join(crowded, "bucket").select("bucket", "member", "first", "last"))
     released(docs.sparkSession)
     compared = members.select(F.col("member").alias("class_id")).distinct()
-    sets = written(_sets(docs, id_col, text_col, compared).dropDuplicates(["class_id"]))
-    links = _Links(classes.join(compared, "class_id", "left_semi"), sets)
+    compared = written(classes.join(compared, "class_id", "left_semi"))
+    sets = written(_sets(docs, id_col, text_col, compared))
+    links = _Links(compared.select("class_id", "signature"), sets)
     pivots = members.select("bucket", "member", F.explode(F.array("first", "last")).alias("pivot"))
     links.add(pivots.where("member <> pivot").select(*_ordered(F.col("member"), F.col("pivot"))))
     used = pivots.select("bucket", F.col("pivot").alias("member")).distinct()
@@ -428,16 +466,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if new:
             found = links.components()
         released(docs.sparkSession)
-    joined = signed.join(classes.select("content", "class_id"), "content", "left").join(
-        found, F.col("class_id") == F.col("member"), "left"
-    )
-    component = F.coalesce("component", "class_id", "doc_id")
-    return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    columns = ["doc_id", "text_key", "n_shingles", "chosen"]
+    named = _named(classes.drop("signature"), found)
+    # Rows without shingles, which may be many, would share one key of the join.
+    without = signed.where("content is null").withColumn("chosen", F.lit(None).cast(named.schema["chosen"].dataType))
+    return signed.where("content is not null").join(named, "content").select(columns).union(without.select(columns))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest reachable id) and kept."""
+    chosen, own = F.col("chosen"), F.col("doc_id")
+    component = F.when(chosen.isNull(), own).otherwise(chosen["doc_id"])
+    same_text = own.isNotNull() | chosen.isNull() | F.col("text_key").eqNullSafe(chosen["text_key"])
+    return _assigned(docs, id_col, text_col).select(
+        "doc_id", "n_shingles", component.alias("component_id"), (own.eqNullSafe(component) & same_text).alias("kept")
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    kept = near_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of ``docs`` with the smallest id of their component, and those without shingles.
+
+    Of several texts with that id the one with the smallest digest stays; rows that
+    repeat both id and text stay together.
+    """
+    chosen, own, key = F.col("chosen"), F.col("doc_id"), F.col("text_key")
+    stays = chosen.isNull() | own.eqNullSafe(chosen["doc_id"]) & key.eqNullSafe(chosen["text_key"])
+    kept_id, kept_key = unused(docs, "kept_id"), unused(docs, "kept_key")
+    kept = _assigned(docs, id_col, text_col).where(stays).select(own.alias(kept_id), key.alias(kept_key))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & _text_key(text_col).eqNullSafe(F.col(kept_key))
+    return docs.join(kept, same, "left_semi")

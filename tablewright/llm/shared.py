@@ -61,6 +61,14 @@ def _column(values: Any, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
