@@ -16,12 +16,16 @@ of frequent anchors (more than ``FREQUENT`` places) are combined on the map
 side instead, so no task gathers all places of a common passage.
 
 Documents of the same word sequence are taken together first: of each such
-group, all but the smallest id are repeats as a whole.
+group, all but the first are repeats as a whole.
+
+A document is an id with a text, so whatever is found for it is kept by
+(id, hash of the text). Ids that repeat with different texts are different
+documents; of these, the one with the smaller hash is the earlier.
 
 Defined cases: NULL texts have no words; texts shorter than a window keep all
-words; texts are taken whole; rows that repeat an id with the same text are
-judged as one document; an empty table gives an empty result; further columns
-are not read.
+words; texts are taken whole; rows that repeat an id (or NULL) with the same
+text are judged as one document; rows without id come last, with the largest
+long; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +43,10 @@ WINDOW = 20
 ANCHOR = 5
 #: Places from which an anchor's windows are counted with a combining shuffle.
 FREQUENT = 1000
+#: The place in the order of rows without id.
+LAST_ID = 2**63 - 1
+#: What a document is known by on the way.
+KEY = ["doc_id", "tag"]
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -60,34 +68,44 @@ def anchors(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
     return best[:count], place[:count]
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_words, content) of each row; content identifies the word sequence."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, text, given): the key of each row's document, its text and its id as given."""
+    given, text = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.select(
+        F.coalesce(given, F.lit(LAST_ID)).alias("doc_id"),
+        # Rows without id never share a key with rows of the largest id.
+        F.when(given.isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(text)).alias("tag"),
+        text.alias("text"),
+        given.alias("given"),
+    )
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, content) of each row with a window; content identifies the word sequence."""
 
     def make():
         import xxhash
 
         def work(batch: pa.RecordBatch):
-            counts, contents = [], []
-            for text in batch.column(1).to_pylist():
+            contents = []
+            for text in batch.column(2).to_pylist():
                 words = split_words(text)
-                counts.append(len(words))
                 contents.append(xxhash.xxh3_128_digest(b" ".join(words)) if len(words) >= WINDOW else None)
-            return {"doc_id": batch.column(0), "n_words": counts, "content": contents}
+            return {"doc_id": batch.column(0), "tag": batch.column(1), "content": contents}
 
         return work
 
-    return map_batches(
-        docs.select(F.col(id_col).cast("long"), text_col), make, "doc_id long, n_words long, content binary"
-    )
+    found = map_batches(rows.select(*KEY, "text"), make, "doc_id long, tag long, content binary")
+    return found.where("content is not null")
 
 
-def _anchor_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(anchor, doc_id, n): each distinct anchor of a document and the number of its places."""
+def _anchor_places(rows: DataFrame) -> DataFrame:
+    """(anchor, doc_id, tag, n): each distinct anchor of a document and the number of its places."""
 
     def make():
         def work(batch: pa.RecordBatch):
             owners, found, places = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 values, place = anchors(word_hashes(split_words(text)))
                 if len(values):
                     first = np.concatenate([[True], place[1:] != place[:-1]])
@@ -97,22 +115,22 @@ def _anchor_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     places.append(n)
             if not owners:
                 return None
+            owner = pa.array(np.concatenate(owners))
             return {
                 "anchor": np.concatenate(found).view("i8"),
-                "doc_id": batch.column(0).take(pa.array(np.concatenate(owners))),
+                "doc_id": batch.column(0).take(owner),
+                "tag": batch.column(1).take(owner),
                 "n": np.concatenate(places),
             }
 
         return work
 
-    return map_batches(
-        docs.select(F.col(id_col).cast("long"), text_col), make, "anchor long, doc_id long, n long"
-    )
+    return map_batches(rows.select(*KEY, "text"), make, "anchor long, doc_id long, tag long, n long")
 
 
-def _repeated_anchors(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, anchors): anchors of each document that occur elsewhere, with whether they are frequent."""
-    places = written(_anchor_places(docs, id_col, text_col))
+def _repeated_anchors(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, tag, anchors): anchors of each document that occur elsewhere, with whether they are frequent."""
+    places = written(_anchor_places(rows))
     often = (
         places.groupBy("anchor")
         .agg(F.sum("n").alias("total"))
@@ -121,25 +139,24 @@ def _repeated_anchors(docs: DataFrame, copies: DataFrame, id_col: str, text_col:
     )
     found = (
         places.join(often, "anchor")
-        .groupBy("doc_id")
+        .groupBy(*KEY)
         .agg(F.collect_set(F.struct("anchor", "frequent")).alias("anchors"))
     )
-    return written(found.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    return written(found.join(copies, KEY, "left_anti"))
 
 
-def _suspects(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(anchor, frequent, doc_id, start, windows): hashes of the consecutive windows of each place of an anchor."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = texts.join(repeated, "doc_id").select("doc_id", "text", "anchors")
+def _suspects(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(anchor, frequent, doc_id, tag, start, windows): hashes of the consecutive windows of each place of an anchor."""
+    both = rows.join(repeated, KEY).select(*KEY, "text", "anchors")
 
     def make():
         def work(batch: pa.RecordBatch):
             owners, found, often, starts, windows = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 hashes = word_hashes(split_words(text))
                 values, place = anchors(hashes)
                 rolled = window_hashes(hashes, WINDOW).view("i8")
-                listed = batch.column(2)[row].values
+                listed = batch.column(3)[row].values
                 wanted = listed.field("anchor").to_numpy(zero_copy_only=False)
                 order = np.argsort(wanted)
                 wanted = wanted[order]
@@ -161,57 +178,57 @@ def _suspects(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str)
                 "anchor": np.array(found, "i8"),
                 "frequent": often,
                 "doc_id": batch.column(0).take(pa.array(owners)),
+                "tag": batch.column(1).take(pa.array(owners)),
                 "start": np.array(starts, "i4"),
                 "windows": pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(windows))),
             }
 
         return work
 
-    return map_batches(both, make, "anchor long, frequent boolean, doc_id long, start int, windows array<long>")
+    schema = "anchor long, frequent boolean, doc_id long, tag long, start int, windows array<long>"
+    return map_batches(both, make, schema)
 
 
 def _one_by_one(suspects: DataFrame) -> DataFrame:
-    return suspects.select("anchor", "doc_id", "start", F.posexplode("windows").alias("nth", "window")).select(
-        "anchor", "window", "doc_id", (F.col("start") + F.col("nth")).alias("start")
+    return suspects.select("anchor", *KEY, "start", F.posexplode("windows").alias("nth", "window")).select(
+        "anchor", "window", *KEY, (F.col("start") + F.col("nth")).alias("start")
     )
 
 
-def repeated_windows(
-    docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, starts): where each document's windows start that repeat an earlier one.
+def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): where each document's windows start that repeat an earlier one.
 
-    Documents in ``copies`` repeat a smaller id as a whole and are left out.
+    Documents in ``copies`` repeat an earlier one as a whole and are left out.
     """
-    repeated = _repeated_anchors(docs, copies, id_col, text_col)
-    released(docs.sparkSession)
-    suspects = written(_suspects(docs, repeated, id_col, text_col))
-    released(docs.sparkSession)
+    repeated = _repeated_anchors(rows, copies)
+    released(rows.sparkSession)
+    suspects = written(_suspects(rows, repeated))
+    released(rows.sparkSession)
     # The packed rows are dealt by anchor; their windows are then in place for (anchor, window).
-    same = Window.partitionBy("anchor", "window").orderBy("doc_id", "start")
+    same = Window.partitionBy("anchor", "window").orderBy(*KEY, "start")
     rare = _one_by_one(suspects.where("not frequent").repartition("anchor"))
     none = F.array().cast("array<int>")
     later = (
         rare.withColumn("nth", F.rank().over(same))
         .where("nth > 1")
-        .groupBy("doc_id")
+        .groupBy(*KEY)
         .agg(F.collect_list("start").alias("starts"))
-        .select("doc_id", "starts", none.alias("firsts"))
+        .select(*KEY, "starts", none.alias("firsts"))
     )
     # Of frequent anchors, every window repeats but the first of its words.
     frequent = suspects.where("frequent")
     all_starts = frequent.select(
-        "doc_id",
+        *KEY,
         F.sequence("start", F.col("start") + F.size("windows") - 1).alias("starts"),
         none.alias("firsts"),
     )
     first = (
         _one_by_one(frequent)
         .groupBy("anchor", "window")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"))
-        .select("first.doc_id", none.alias("starts"), F.array("first.start").alias("firsts"))
+        .agg(F.min(F.struct(*KEY, "start")).alias("first"))
+        .select("first.doc_id", "first.tag", none.alias("starts"), F.array("first.start").alias("firsts"))
     )
-    found = later.unionByName(all_starts).unionByName(first).groupBy("doc_id")
+    found = later.unionByName(all_starts).unionByName(first).groupBy(*KEY)
     repeats = found.agg(
         F.array_sort(
             F.array_except(F.flatten(F.collect_list("starts")), F.flatten(F.collect_list("firsts")))
@@ -240,21 +257,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``removed`` lists the intervals of removed words; kept words are joined by one space.
     """
-    known = written(_documents(docs, id_col, text_col))
-    same = known.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first_id"))
+    rows = _keyed(docs, id_col, text_col)
+    known = written(_documents(rows))
+    same = known.groupBy("content").agg(F.min(F.struct(*KEY)).alias("first"))
     copies = (
         known.join(same, "content")
-        .where("doc_id <> first_id")
-        .select("doc_id", "n_words")
+        .where("doc_id <> first.doc_id or tag <> first.tag")
+        .select(*KEY)
         .distinct()
     )
     copies = written(copies)
-    starts = repeated_windows(docs, copies, id_col, text_col)
+    starts = repeated_windows(rows, copies)
     released(docs.sparkSession)
-    whole = copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
-    marked = whole.unionByName(starts.select("doc_id", F.lit(False).alias("copy"), "starts"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = texts.join(marked, "doc_id", "left").select("doc_id", "text", "copy", "starts")
+    whole = copies.select(*KEY, F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    marked = whole.unionByName(starts.select(*KEY, F.lit(False).alias("copy"), "starts"))
+    both = rows.join(marked, KEY, "left").select("given", "text", "copy", "starts")
 
     def make():
         def work(batch: pa.RecordBatch):

@@ -55,6 +55,30 @@ def test_substring_repeated_rows_and_empty(spark, no_documents):
     assert substring_dedup.remove_repeats(no_documents).count() == 0
 
 
+def _words(name, n=30):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_substring_ids_with_several_texts_and_without_ids(spark):
+    """A text stays once, under its first document; unique text stays whatever its id."""
+    a, b, c, d = map(_words, "abcd")
+    given = [(1, a), (2, b), (2, a), (None, c), (None, d), (None, "x " + a), (None, d), (5, c), (None, None)]
+    rows = spark.createDataFrame(given, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(rows)
+    kept = sorted((r.doc_id if r.doc_id is not None else 99, r.kept_text) for r in found.collect())
+    expected = [(1, a), (2, b), (2, ""), (99, ""), (99, d), (99, "x"), (99, d), (5, c), (99, "")]
+    assert kept == sorted(expected)
+
+
+def test_substring_one_id_shared_by_different_texts(spark):
+    """A passage in two texts of one id stays in exactly one of them; what surrounds it stays in both."""
+    passage = _words("p", 25)
+    given = [(7, f"{_words('l', 22)} {passage}"), (7, f"{passage} {_words('r', 22)}"), (2**63 - 1, passage)]
+    rows = spark.createDataFrame([*given, (None, passage)], "doc_id long, text string")
+    found = substring_dedup.digests(substring_dedup.remove_repeats(rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in found) == [(0, 25), (7, 0), (7, 25), (2**63 - 1, 25)]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     words = [b"w%d" % x for x in rng.integers(0, 4, 500)]
