@@ -23,6 +23,8 @@ VALID_SHARE = 0.5
 # Steps that one task lists and interpolates at a time; longer series are cut into such slices.
 SLICE_STEPS = 50_000
 ALL = "_all"
+# Calendar slots of which a task orders the observed ones at a time, to find their gaps.
+GAP_SLOTS = 50_000
 GRAIN_SECONDS = {"day": 86_400, "hour": 3_600, "minute": 60}
 
 
@@ -90,39 +92,76 @@ def _slot_start(ts: Column, grain: str) -> Column:
     return day + F.make_dt_interval(F.lit(0), F.hour(ts), minute)
 
 
-def frequencies(slots: DataFrame, keys: Sequence[str], grain: str = "day") -> DataFrame:
-    """Per series: first slot, unit (slot or month), stride and number of steps.
+def _slice_facts(slots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Facts of the slices of each series, and rows that count its gaps (gap, month_gap, n).
 
-    Constant gaps give their own stride. Otherwise the median gap decides:
-    up to 1 day, up to 8 a week, up to 32 a month, above that a year.
+    A slice is ``GAP_SLOTS`` of the calendar. Gaps inside slices are counted
+    where they are found; those between slices come from one row per slice, of
+    which the calendar allows some 100,000 for a series of minutes.
     """
     by = [ref(k) for k in keys]
-    ordered = Window.partitionBy(*by).orderBy("slot")
-    month = F.year("ts") * 12 + F.month("ts")
-    gaps = slots.select(
+    rows = slots.select(
         *by,
         "slot",
         "ts",
         "rows",
-        month.alias("month"),
+        (F.year("ts") * 12 + F.month("ts")).alias("month"),
         F.dayofmonth("ts").alias("day"),
-        (F.col("slot") - F.lag("slot").over(ordered)).alias("gap"),
-        (month - F.lag(month).over(ordered)).alias("month_gap"),
+        F.floor(F.col("slot") / F.lit(GAP_SLOTS)).alias("cut"),
     )
-    facts = gaps.groupBy(*by).agg(
+    ordered = Window.partitionBy(*by, "cut").orderBy("slot")
+    inside = (
+        rows.select(
+            *by,
+            (F.col("slot") - F.lag("slot").over(ordered)).alias("gap"),
+            (F.col("month") - F.lag("month").over(ordered)).alias("month_gap"),
+        )
+        .where("gap is not null")
+        .groupBy(*by, "gap", "month_gap")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    slices = rows.groupBy(*by, "cut").agg(
         F.count(F.lit(1)).alias("observed"),
         F.sum("rows").alias("rows"),
         F.min("slot").alias("first_slot"),
         F.max("slot").alias("last_slot"),
         F.min("ts").alias("first_ts"),
-        F.max("month").alias("last_month"),
         F.min("month").alias("first_month"),
-        F.percentile("gap", F.lit(0.5)).alias("median_gap"),
+        F.max("month").alias("last_month"),
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+    )
+    in_turn = Window.partitionBy(*by).orderBy("cut")
+    between = slices.withColumns(
+        {
+            "gap": F.col("first_slot") - F.lag("last_slot").over(in_turn),
+            "month_gap": F.col("first_month") - F.lag("last_month").over(in_turn),
+            "n": F.lit(1).cast("long"),
+        }
+    )
+    return between.drop("cut").unionByName(inside, allowMissingColumns=True)
+
+
+def frequencies(slots: DataFrame, keys: Sequence[str], grain: str = "day") -> DataFrame:
+    """Per series: first slot, unit (slot or month), stride and number of steps.
+
+    Constant gaps give their own stride. Otherwise the median gap decides:
+    up to 1 day, up to 8 a week, up to 32 a month, above that a year.
+    """
+    facts = _slice_facts(slots, keys).groupBy(*[ref(k) for k in keys]).agg(
+        F.sum("observed").alias("observed"),
+        F.sum("rows").alias("rows"),
+        F.min("first_slot").alias("first_slot"),
+        F.max("last_slot").alias("last_slot"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_month").alias("last_month"),
+        F.min("first_month").alias("first_month"),
+        F.percentile("gap", F.lit(0.5), F.col("n")).alias("median_gap"),
         F.min("gap").alias("min_gap"),
         F.max("gap").alias("max_gap"),
         F.min("month_gap").alias("min_month_gap"),
         F.max("month_gap").alias("max_month_gap"),
-        (F.min("day") == F.max("day")).alias("same_day"),
+        (F.min("first_day") == F.max("last_day")).alias("same_day"),
     )
     monthly = (
         F.col("same_day")

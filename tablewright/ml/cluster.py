@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -17,15 +16,18 @@ from tablewright.durable import written
 from tablewright.functions.coerce import ref
 from tablewright.ml.density import dbscan
 from tablewright.ml.features import SEED, assemble, encode_features
+from tablewright.ml.kmeans import assign, fit_kmeans
 
 RESTARTS = 10
-PARALLEL_FITS = 4
 POINTS = 2000
 
 
 @dataclass(frozen=True)
 class Clustered:
-    """``assigned``: the input columns plus ``cluster``. ``points``: x, y, cluster."""
+    """``assigned``: the input columns plus ``cluster``. ``points``: x, y, cluster.
+
+    ``centres``: a row of standardised features for each cluster of k-means.
+    """
 
     algorithm: str
     clusters_found: int
@@ -33,6 +35,7 @@ class Clustered:
     sizes: DataFrame
     points: DataFrame
     assigned: DataFrame
+    centres: np.ndarray | None = None
 
 
 def standardise(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -86,21 +89,6 @@ def projection(df: DataFrame, names: Sequence[str], points: int = POINTS) -> Dat
     return placed.orderBy(draw).limit(points).select("x", "y", "cluster")
 
 
-def _best_kmeans(table: DataFrame, k: int, restarts: int):
-    """Lowest training cost of ``restarts`` seeds; a few seeds train side by side."""
-
-    def fit(seed: int):
-        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(table)
-
-    table.cache()
-    try:
-        with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-            fits = list(pool.map(fit, range(SEED, SEED + restarts)))
-    finally:
-        table.unpersist()
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
 def run_clustering(
     df: DataFrame,
     feature_columns: Sequence[str],
@@ -117,12 +105,14 @@ def run_clustering(
         raise ValueError("a feature is named twice")
     encoded, names = encode_features(df, feature_columns)
     table = written(assemble(standardise(encoded, names), names))
+    centres = None
     if algorithm == "dbscan":
         labelled = dbscan(table, names, eps, min_points)
     else:
         algorithm = "kmeans"
-        best = _best_kmeans(table, n_clusters, restarts)
-        labelled = best.transform(table)
+        points = table.select(*[ref(n).cast("double") for n in names])
+        centres = fit_kmeans(points, n_clusters, restarts, SEED).centres
+        labelled = assign(table, names, centres)
     labelled = written(labelled)
     sizes = cluster_sizes(labelled)
     found = sizes.where("cluster >= 0").count()
@@ -133,4 +123,5 @@ def run_clustering(
         sizes=sizes,
         points=projection(labelled, names),
         assigned=labelled.select(*[ref(c) for c in df.columns], "cluster"),
+        centres=centres,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.forecast.models import linear_trend
-from tablewright.forecast.prepare import prepare
+from tablewright.forecast.prepare import frequencies, prepare, slot_means
 from tablewright.forecast.smoothing import holt_winters
 from tablewright.forecast.report import evaluate, last_points, run_forecast
 from tablewright.ml import explain, features, metrics
@@ -71,6 +71,22 @@ def _(t: Tables):
     )
 
 
+@query(
+    "series_gaps_minutes",
+    """WITH slots AS (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM events
+               WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+         gaps AS (SELECT *, datediff('minute', lag(m) OVER (PARTITION BY event_type ORDER BY m), m) AS gap FROM slots)
+    SELECT event_type, count(*) AS observed, CAST(sum(n) AS BIGINT) AS rows, min(gap) AS min_gap, max(gap) AS max_gap,
+           CAST(quantile_cont(gap, 0.5) AS DOUBLE) AS median_gap, min(m) AS first_ts FROM gaps GROUP BY 1""",
+)
+def _(t: Tables):
+    """Gaps between observed minutes, from slices of each series."""
+    slots = slot_means(t.events, "ts", "value", ["event_type"], "minute")
+    return frequencies(slots, ["event_type"], "minute").select(
+        "event_type", "observed", "rows", "min_gap", "max_gap", "median_gap", "first_ts"
+    )
+
+
 @query(
     "series_monthly",
     f"""SELECT status, round(avg(price), 2) AS mean, count(*) AS steps
@@ -467,8 +483,8 @@ def _(t: Tables):
 def _(t: Tables):
     """Every row is at its nearest centre, and every centre is the mean of its rows."""
     names = ["p_size", "p_retailprice", "p_partkey"]
-    found = run_clustering(t.part, names).assigned
-    table = standardise(found.select(*[F.col(c).cast("double") for c in names], "cluster"), names)
+    found = run_clustering(t.part, names)
+    table = standardise(found.assigned.select(*[F.col(c).cast("double") for c in names], "cluster"), names)
     centres = table.groupBy("cluster").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).collect()
 
     def distance(row):
@@ -477,13 +493,17 @@ def _(t: Tables):
             total = total + (F.col(c) - F.lit(row[f"m{i}"])) ** 2
         return total
 
+    # The centres that the fit returned, against the means of the rows it gave them.
+    resting = sum(
+        all(abs(r[f"m{i}"] - found.centres[r["cluster"]][i]) <= 1e-2 for i in range(len(names))) for r in centres
+    )
     own = F.coalesce(*[F.when(F.col("cluster") == r["cluster"], distance(r)) for r in centres])
     nearest = F.least(*[distance(r) for r in centres])
     # The fit stops when centres move by less than its tolerance, so rows may lie that close to a border.
     return table.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.sqrt(own) - F.sqrt(nearest) > 1e-2).alias("misplaced"),
-        F.lit(4 - len(centres)).cast("long").alias("moved_centres"),
+        F.lit(4 - resting).cast("long").alias("moved_centres"),
     )
 
 

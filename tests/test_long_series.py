@@ -123,3 +123,45 @@ def test_slices_change_nothing(spark, monkeypatch, size):
     whole = sorted(map(str, prepare(table, "d", "v", ["k"]).series.collect()))
     monkeypatch.setattr(preparing, "SLICE_STEPS", size)
     assert sorted(map(str, prepare(table, "d", "v", ["k"]).series.collect())) == whole
+
+
+GAPS = ["observed", "rows", "first_slot", "last_slot", "first_month", "last_month", "min_gap", "max_gap"]
+
+
+@pytest.mark.parametrize("size", [1, 4, 50_000])
+def test_gaps_in_slices_equal_one_pass(spark, monkeypatch, size):
+    monkeypatch.setattr(preparing, "GAP_SLOTS", size)
+    rng = np.random.default_rng(6)
+    series = {k: np.sort(rng.choice(400, n, replace=False)) for k, n in {"a": 90, "b": 2, "c": 1, None: 37}.items()}
+    rows = [(k, DAY + dt.timedelta(days=int(i)), 1.0) for k, days in series.items() for i in days]
+    slots = preparing.slot_means(spark.createDataFrame(rows, KINDS), "d", "v", ["k"])
+    found = {r.k: r for r in preparing.frequencies(slots, ["k"]).collect()}
+    assert set(found) == set(series)
+    for k, days in series.items():
+        dates = [DAY + dt.timedelta(days=int(i)) for i in days]
+        slot = [(d - dt.datetime(1970, 1, 1)).days for d in dates]
+        months = [d.year * 12 + d.month for d in dates]
+        gaps, month_gaps = np.diff(slot), np.diff(months)
+        ends = (min(gaps), max(gaps)) if len(gaps) else (None, None)
+        expected = (len(days), len(days), slot[0], slot[-1], months[0], months[-1], *ends)
+        assert tuple(found[k][c] for c in GAPS) == expected
+        assert found[k].median_gap == (np.median(gaps) if len(gaps) else None)
+        assert found[k].max_month_gap == (max(month_gaps) if len(gaps) else None)
+        assert found[k].same_day == (len({d.day for d in dates}) == 1)
+
+
+def test_a_long_series_is_cut_for_its_gaps(spark):
+    """Ten million minutes of one series: no task orders more than a slice of them."""
+    slots = spark.range(0, 10_000_000, 1, 16).selectExpr(
+        "0 AS k",
+        "id * 2 AS slot",
+        "timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, id * 2) AS ts",
+        "1L AS rows",
+    )
+    row = preparing.frequencies(slots, ["k"], "minute").first()
+    assert (row.observed, row.min_gap, row.max_gap, row.median_gap, row.stride) == (10_000_000, 2, 2, 2.0, 2)
+    plan = slots._sc._jvm.PythonSQLUtils.explainString(
+        preparing.frequencies(slots, ["k"], "minute")._jdf.queryExecution(), "simple"
+    )
+    ordered = [line for line in plan.splitlines() if "Window [" in line and "lag(slot" in line]
+    assert ordered and all("cut" in line for line in ordered)
