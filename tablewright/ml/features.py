@@ -28,6 +28,8 @@ from tablewright.operators.quantiles import column_quantiles
 MAX_CATEGORIES = 50
 MIN_ROWS = 10
 UNKNOWN = "Unknown"
+# Bins of a feature of boosted trees, as many as Spark's tree learners make by default.
+MAX_BINS = 32
 SEED = 42
 # Above this an approximate count settles that a column has too many categories.
 _CLEARLY_TOO_MANY = 4 * MAX_CATEGORIES
@@ -181,6 +183,44 @@ def assemble(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
 
 
+def bin_borders(df: DataFrame, names: Sequence[str]) -> dict[str, list[float]]:
+    """Upper ends of each feature's bins but the last: at most ``MAX_BINS`` bins.
+
+    Up to ``MAX_BINS`` distinct values have a bin each; more are cut at exact
+    quantiles. All comes from the feature alone, over all rows.
+    """
+    sizes = df.agg(*[F.approx_count_distinct(ref(n)).alias(n) for n in names]).first()
+    borders, many = {}, []
+    for n in names:
+        values = []
+        if sizes[n] <= 2 * MAX_BINS:  # the count is approximate
+            values = [r[0] for r in df.select(ref(n)).distinct().limit(MAX_BINS + 1).collect()]
+        if 0 < len(values) <= MAX_BINS:
+            ends = sorted(values)
+            borders[n] = [a / 2 + b / 2 for a, b in zip(ends, ends[1:])]
+        else:
+            many.append(n)
+    if many:
+        shares = [i / MAX_BINS for i in range(1, MAX_BINS)]
+        borders.update({n: sorted(set(q or [])) for n, q in column_quantiles(df, many, shares).items()})
+    return borders
+
+
+def binned(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds ``bin_<name>`` for each feature, and the vector ``binned`` of them.
+
+    The borders come from the training rows.
+    """
+    borders = bin_borders(table.where(~F.col("is_test")), names)
+
+    def place(n: str) -> Column:
+        ends = F.array(*[F.lit(float(x)) for x in borders[n]]).cast("array<double>")
+        return F.size(F.filter(ends, lambda end: end < ref(n))).cast("double")
+
+    found = table.withColumns({f"bin_{n}": place(n) for n in names})
+    return VectorAssembler(inputCols=[f"bin_{n}" for n in names], outputCol="binned").transform(found)
+
+
 def with_split(
     df: DataFrame, folds: int, stratify_by: str | None = None, test_share: float = 0.2
 ) -> DataFrame:

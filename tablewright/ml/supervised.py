@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
@@ -23,6 +23,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.durable import written
 from tablewright.functions.coerce import number, text
 from tablewright.ml.explain import (
     GLOBAL_FEATURES,
@@ -37,6 +38,7 @@ from tablewright.ml.features import (
     SEED,
     UNKNOWN,
     assemble,
+    binned,
     check_training_input,
     class_counts,
     encode_features,
@@ -82,8 +84,9 @@ def classifiers(rows: int, classes: int) -> dict[str, Callable]:
     """Estimator factories; boosted trees run only when asked for."""
 
     def boosted():
-        trees = GBTClassifier(maxIter=100, seed=SEED, labelCol="label")
-        return trees if classes == 2 else OneVsRest(classifier=trees, labelCol="label")
+        columns = {"labelCol": "label", "featuresCol": "binned", "weightCol": "weight"}
+        trees = GBTClassifier(maxIter=100, seed=SEED, **columns)
+        return trees if classes == 2 else OneVsRest(classifier=trees, **columns)
 
     return {
         "logistic_regression": lambda: LogisticRegression(
@@ -117,13 +120,35 @@ def _chosen(available: dict[str, Callable], algorithm: str | None, optional: set
     return {name: make for name, make in available.items() if name not in optional}
 
 
+def weighted_points(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """label, ``binned`` and ``weight``: the rows of one class in the same bins are one point.
+
+    A tree learner sees nothing of a row but its bins, so trees of the weighted
+    points are those of the rows, and each of the many rounds reads points only.
+    """
+    label = rows.schema["label"]
+    bins = [f"bin_{n}" for n in names]
+    points = rows.groupBy("label", *bins).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    vectors = VectorAssembler(inputCols=bins, outputCol="binned").transform(points)
+    return written(
+        vectors.select(F.col("label").alias("label", metadata=label.metadata), "binned", "weight")
+    )
+
+
+def _fitted(make: Callable, rows: DataFrame, names: Sequence[str]):
+    estimator = make()
+    if estimator.getFeaturesCol() == "binned":
+        rows = weighted_points(rows, names)
+    return estimator.fit(rows)
+
+
 def _cross_validated(
-    table: DataFrame, make: Callable, folds: int, score: Callable[[], Column]
+    table: DataFrame, names: Sequence[str], make: Callable, folds: int, score: Callable[[], Column]
 ) -> list[float]:
     """Score of each fold by a model fitted on the others; folds train side by side."""
 
     def one(fold: int) -> float:
-        model = make().fit(table.where(F.col("fold") != fold))
+        model = _fitted(make, table.where(F.col("fold") != fold), names)
         scored = model.transform(table.where(F.col("fold") == fold))
         return scored.agg(score()).first()[0]
 
@@ -133,6 +158,7 @@ def _cross_validated(
 
 def _fit_all(
     table: DataFrame,
+    names: Sequence[str],
     makers: dict[str, Callable],
     folds: int,
     score_table: Callable[[DataFrame], DataFrame],
@@ -143,11 +169,11 @@ def _fit_all(
     train, test = table.where(~F.col("is_test")), table.where("is_test")
     models, scores = {}, {}
     for name, make in makers.items():
-        models[name] = make().fit(train)
+        models[name] = _fitted(make, train, names)
         scores[name] = score_table(models[name].transform(test)).first().asDict()
         scores[name].update({f"{cv_name}_mean": None, f"{cv_name}_std": None, "cv_folds": None})
         if folds >= 2:
-            values = _cross_validated(table, make, folds, fold_score)
+            values = _cross_validated(table, names, make, folds, fold_score)
             scores[name].update(
                 {
                     f"{cv_name}_mean": statistics.fmean(values),
@@ -208,8 +234,11 @@ def run_classification(
     )
 
     makers = _chosen(classifiers(rows, len(classes)), algorithm, {"boosted_trees"})
+    if "boosted_trees" in makers:
+        table = binned(table, names)
     models, scores = _fit_all(
         table,
+        names,
         makers,
         folds,
         lambda scored: classification_scores(confusion_counts(scored, "label", "prediction")),
@@ -277,6 +306,7 @@ def run_regression(
     makers = _chosen(regressors(), algorithm, set())
     models, scores = _fit_all(
         table,
+        names,
         makers,
         folds,
         lambda scored: regression_scores(scored, "label", "prediction"),
