@@ -24,7 +24,8 @@ _SCHEMA = "position int, type string, title string, detail string"
 
 def generate_insights(df: DataFrame, profiled: Profile | None = None) -> DataFrame:
     """position, type, title, detail; one "clean" row when no rule fires."""
-    found = profiled or profile(df)
+    # Types, gaps and copies alone are told here; they are exact without the distinct values.
+    found = profiled or profile(df, exact_distinct=None)
     numerical = found.numerical_columns
     rows: list[tuple[str, str, str]] = []
     if found.missing_pct > MISSING_PCT:

@@ -261,13 +261,17 @@ def inferred_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """
     require_columns(df, columns)
     facts = _column_facts(df, columns)
-    undecided = [
+    return _types(df, columns, facts, _unique_for_types(df, _undecided(df, columns), facts["rows"]))
+
+
+def _undecided(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns whose type depends on how many distinct values they have."""
+    return [
         c
         for c in columns
         if not isinstance(df.schema[c].dataType, (T.BooleanType, T.FractionalType))
         and not is_temporal(df.schema[c].dataType)
     ]
-    return _types(df, columns, facts, _unique_for_types(df, undecided, facts["rows"]))
 
 
 def _unique_for_types(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, int]:
@@ -294,13 +298,15 @@ def _near_threshold(df: DataFrame, column: str, about: int, rows: int) -> bool:
 
 
 def profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool | None = True
 ) -> Profile:
     """Counts and semantic type of every column; only scalars reach the driver.
 
     Exact distinct counts shuffle every distinct value. Without
     ``exact_distinct`` they are within about 2 % and need no shuffle, types
-    stay exact, and the samples are the smallest and the largest value.
+    stay exact, and the samples are the smallest and the largest value. With
+    None, they are counted only for columns whose type depends on them, and there
+    are no samples; types, gaps and duplicates are exact in any case.
     """
     names = list(columns or df.columns)
     require_columns(df, names)
@@ -311,8 +317,8 @@ def profile(
         unique = {r["column"]: r["unique_count"] for r in found}
         samples = {r["column"]: list(r["sample_values"]) for r in found}
     else:
-        unique = _unique_for_types(df, names, rows)
-        samples = _extremes(df, names)
+        unique = _unique_for_types(df, _undecided(df, names) if exact_distinct is None else names, rows)
+        samples = {} if exact_distinct is None else _extremes(df, names)
     types = _types(df, names, facts, unique)
     duplicates = duplicate_count(df.select(*[ref(c) for c in names])).first()
     return Profile(

@@ -7,7 +7,8 @@ and so on, six passes at most. As soon as a bin has no more than
 ``in_memory_rows`` rows, its distinct values are put in order by one last pass.
 Groups that small from the start go to ``percentile``, which keeps the distinct
 values of a group in one task. No sketch takes part and no rank can be missed:
-every step counts exactly.
+every step counts exactly. Whole columns narrow intervals of values in place of
+bits, which needs nothing but arithmetic on each row.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HOT_GROUPS = 10_000
 COLUMNS_PER_PASS = 16
 #: Bits that are left below each pass's histogram.
 SHIFTS = (52, 40, 28, 16, 4, 0)
+#: Whole columns: parts of an interval in each pass, and what makes sixteenths of an octave positive.
+PARTS, OCTAVE_ZERO = 4096, 20_000
 
 
 def ordered_bits(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -218,57 +221,67 @@ def column_quantiles(
 def _select_columns(
     values: DataFrame, columns: Sequence[str], probabilities: Sequence[float], in_memory_rows: int
 ) -> list[list[float] | None]:
-    """Radix selection of whole columns; the driver keeps the few prefixes, one job a pass."""
-    bits = [f"_bits{i}" for i in range(len(columns))]
-    work = values
-    for c, name in zip(columns, bits):
-        work = ordered_bits(work, c, name)
-
-    def counted(groups: list[tuple[int, int, int]], cell) -> DataFrame:
-        """Rows of each group (column, shift, prefix) by ``cell`` of its column."""
-        cells = []
-        for at, (i, shift, prefix) in enumerate(groups):
-            inside = ref(columns[i]).isNotNull()
-            if shift < 64:
-                inside = inside & (F.shiftright(bits[i], shift) == F.lit(prefix))
-            cells.append(
-                F.struct(F.when(inside, at).alias("_id"), cell(i).alias("_cell"), ref(bits[i]).alias("_all"))
-            )
-        # The condition stays above the generator; below it, the bits would be computed again and again.
-        listed = work.select(F.inline(F.array(*cells))).where("_id IS NOT NULL")
+    """Selection of whole columns by ever narrower intervals; the driver keeps the few of them, one job a pass.
+
+    The first pass bins by a sixteenth of an octave. Each later one cuts the
+    interval between the least and the largest value of a bin in 4,096 parts, so
+    five of them reach single values. Bins are plain arithmetic that never
+    decreases as the value grows, so every rank is found exactly.
+    """
+
+    def octave(i: int, low: float | None, high: float | None) -> Column:
+        value = ref(columns[i])
+        octaves = F.least(F.log2(F.abs(value)) * 16, F.lit(OCTAVE_ZERO - 1.0))  # infinity is above all others
+        size = (F.floor(octaves) + F.lit(OCTAVE_ZERO)).cast("long")
+        return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+
+    def part(i: int, low: float, high: float) -> Column:
+        # An infinite end is alone in its bin, so the width is finite and above zero.
+        share = (ref(columns[i]) - F.lit(low)) / F.lit(high - low)
+        return F.floor(share * PARTS).cast("long")
+
+    def counted(groups: list[tuple[int, float | None, float | None]], cell) -> DataFrame:
+        """Rows of each group (column, least, largest value) by ``cell`` of its column."""
+        cells, any_inside = [], F.lit(False)
+        for at, (i, low, high) in enumerate(groups):
+            value = ref(columns[i])
+            inside = value.isNotNull() if low is None else value.between(F.lit(low), F.lit(high))
+            any_inside = any_inside | F.coalesce(inside, F.lit(False))
+            held = F.when(inside, cell(i, low, high)).alias("_cell")
+            cells.append(F.struct(F.when(inside, at).alias("_id"), held, value.alias("_all")))
+        listed = values.where(any_inside).select(F.inline(F.array(*cells))).where("_id IS NOT NULL")
         return listed.groupBy("_id", "_cell")
 
-    # Where each wanted rank is: (column, rank) -> (shift, prefix, rows before it, rows in it).
-    at: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    groups, sizes = [(i, 64, 0) for i in range(len(columns))], {}
-    for shift in SHIFTS:
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
-        bins = counted(groups, lambda i: F.shiftright(bits[i], shift))
+    # Where each wanted rank is: (column, rank) -> (least and largest value, rows before them, rows among them).
+    at: dict[tuple[int, int], tuple[float | None, float | None, int, int]] = {}
+    groups, sizes, cell = [(i, None, None) for i in range(len(columns))], {}, octave
+    while groups:
+        found: dict[int, list[tuple[int, int, float, float]]] = {}
+        bins = counted(groups, cell)
         for r in bins.agg(F.count(F.lit(1)).alias("n"), F.min("_all").alias("a"), F.max("_all").alias("b")).collect():
             found.setdefault(r["_id"], []).append((r["_cell"], r["n"], r["a"], r["b"]))
-        if shift == SHIFTS[0]:
+        if cell is octave:
             sizes = {i: sum(n for _, n, *_ in cells) for i, cells in found.items()}
             for i, n in sizes.items():
                 for p in probabilities:
                     rank = (n - 1) * p
-                    at |= {(i, r): (64, 0, 0, n) for r in (math.floor(rank), math.ceil(rank))}
-        for (i, rank), (held, prefix, below, _) in at.items():
-            if (i, held, prefix) in groups:
-                for value, n, low, high in sorted(found[groups.index((i, held, prefix))]):
+                    at |= {(i, r): (None, None, 0, n) for r in (math.floor(rank), math.ceil(rank))}
+        for (i, rank), (least, largest, below, _) in at.items():
+            if (i, least, largest) in groups:
+                for _, n, low, high in sorted(found[groups.index((i, least, largest))]):
                     if rank < below + n:
-                        # One value, however often, needs no more bits.
-                        at[i, rank] = (0, low, below, n) if low == high else (shift, value, below, n)
+                        at[i, rank] = (low, high, below, n)
                         break
                     below += n
-        groups = sorted({(i, s, prefix) for (i, _), (s, prefix, _, n) in at.items() if n > in_memory_rows and s})
-        if not groups:
-            break
+        # One value, however often, needs no more parts.
+        groups = sorted({(i, low, high) for (i, _), (low, high, _, n) in at.items() if n > in_memory_rows and low < high})
+        cell = part
     if not at:
         return [None] * len(columns)
-    leaves = sorted({(i, s, prefix) for (i, _), (s, prefix, *_) in at.items()})
-    wanted = [(leaves.index((i, s, prefix)), i, rank, below) for (i, rank), (s, prefix, below, _) in at.items()]
+    leaves = sorted({(i, low, high) for (i, _), (low, high, *_) in at.items()})
+    wanted = [(leaves.index((i, low, high)), i, rank, below) for (i, rank), (low, high, below, _) in at.items()]
     targets = values.sparkSession.createDataFrame(wanted, "_id int, _column int, _rank long, _below long")
-    cells = counted(leaves, lambda i: ref(columns[i])).agg(F.count(F.lit(1)).alias("_rows"))
+    cells = counted(leaves, lambda i, *_: ref(columns[i])).agg(F.count(F.lit(1)).alias("_rows"))
     picked = _holds_rank(cells, targets, ["_id"], "_cell").collect()
     value = {(r["_column"], r["_rank"]): r["_cell"] for r in picked}
 

@@ -138,3 +138,15 @@ def test_insights(spark):
     )
     found = {r["type"] for r in insights.generate_insights(messy).collect()}
     assert found == {"data_quality", "distribution", "correlation", "outliers"}
+
+
+def test_insights_count_no_distinct_values_of_continuous_columns(spark, monkeypatch):
+    from tablewright.operators import profile
+
+    def refused(df, columns):
+        raise AssertionError(columns)
+
+    monkeypatch.setattr(profile, "distinct_counts", refused)
+    table = spark.range(1000).selectExpr("id", "id * id * 1.5D AS squares")
+    found = {(r["type"], r["title"]) for r in insights.generate_insights(table).collect()}
+    assert found == {("correlation", "'id' and 'squares' are strongly correlated")}

@@ -139,3 +139,33 @@ def test_forward_fill_matches_a_loop(spark):
         last[k] = v if v is not None else last.get(k)
         expected[i] = last[k]
     assert filled == expected
+
+
+def test_quantiles_of_whole_columns_with_hard_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    hard = [5e-324, 1e-323, -5e-324, -0.0, 0.0, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52]
+    wide = np.concatenate([rng.normal(size=800) * 10.0 ** rng.integers(-300, 300, 800), hard * 20])
+    near = np.concatenate([1.0 + rng.integers(0, 50, 1000) * 2.0**-52, np.full(20, -3.0)])
+    table = spark.createDataFrame([(float(a), float(b)) for a, b in zip(wide, near)], "wide double, near double")
+    shares = [i / 64 for i in range(65)]
+    ranks = [p * 1019 for p in shares]
+    found = quantiles.column_quantiles(table, ["wide", "near"], shares, in_memory_rows=4)
+    for name, values in (("wide", np.sort(wide)), ("near", np.sort(near))):
+        assert len(values) == 1020
+        for rank, got in zip(ranks, found[name]):
+            low, high = values[int(np.floor(rank))], values[int(np.ceil(rank))]
+            expected = low if low == high else low + (rank - np.floor(rank)) * (high - low)
+            assert got == expected or np.isnan(got) and np.isnan(expected)
+
+
+def test_passes_over_whole_columns_read_plain_values(spark, monkeypatch):
+    """No row of a whole column is turned into bits one by one."""
+
+    def refused(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(quantiles, "ordered_bits", refused)
+    table = spark.range(2000).selectExpr("CAST(id AS DOUBLE) AS x")
+    assert quantiles.column_quantiles(table, ["x"], [0.5], in_memory_rows=10) == {"x": [999.5]}
