@@ -6,7 +6,9 @@ Pre-tokens are cut at all such pairs, each fragment is encoded on its own, and
 the ids are concatenated. Two more cuts are certain and taken first: around the
 vocabulary's added tokens, and before a single space between two characters
 that are not white space, where every pre-token of this vocabulary begins.
-Fragments repeat, so their ids are kept in a bounded table per task.
+Fragments repeat, so their ids are kept in a bounded table per task. Short ones
+are merged by a compiled encoder if the vocabulary merges by ascending id, which
+is checked once on the driver. Ids of a batch are decoded by one Arrow lookup.
 
 Defined cases: NULL text counts as empty and has no ids; the added token's own
 string in a text is that token, as in the library; texts of any length are
@@ -21,6 +23,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from tablewright.llm.shared import map_batches
 
 #: Entries of the table of encoded chunks that one task keeps; it is emptied when full.
 CACHED_CHUNKS = 400_000
+#: Longer fragments are left to the library, whose time does not grow with their square.
+MERGED_BYTES = 100
 LITTLE = sys.byteorder == "little"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -49,6 +54,27 @@ def byte_alphabet() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@lru_cache
+def merges_by_id(path: str) -> bool:
+    """Whether merging the pair whose token has the smallest id is what this vocabulary does.
+
+    It is if ids ascend with the merges and every token is encoded as itself: a
+    stretch that ends as two tokens has then come the way of its own token.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    ids = described["model"]["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in described["model"]["merges"]]
+    made = [ids[a + b] for a, b in merges]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        return False
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    added = {x["content"] for x in described["added_tokens"]}
+    return all([t.id for t in tokenize(token)] == [i] for token, i in ids.items() if token not in added)
+
+
 class _UncertainCut(Exception):
     """White space next to a space: the quick cuts don't hold for this text."""
 
@@ -56,7 +82,7 @@ class _UncertainCut(Exception):
 class Codec:
     """Encodes and decodes with one vocabulary file; one for each task."""
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, by_id: bool = False):
         import regex
         from tokenizers import Tokenizer
 
@@ -83,6 +109,14 @@ class Codec:
                 self.inside.update(zip(raw, raw[1:]))
         for text, i in added.items():
             self.token_bytes[i] = text.encode()
+        #: Ids of a fragment: by a compiled merge of bytes where that is proven to be the same.
+        self.fragment_ids = self._merged if by_id else self._tokenized
+        if by_id:
+            import tiktoken
+
+            ranks = {raw: i for i, raw in enumerate(self.token_bytes) if raw and i not in added.values()}
+            self.merge = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.tokens = pa.array(self.token_bytes, pa.binary())
         #: Ids of pre-tokens, and of a space followed by a chunk.
         self.known = _Bounded(self.encode_piece, CACHED_CHUNKS // 4)
         self.chunks = _Bounded(self._after_space, CACHED_CHUNKS)
@@ -95,18 +129,22 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, fragment by fragment."""
-        letters, tokenize, raw = self.letters, self.tokenize, piece.encode()
-        whole = self.inside.issuperset(zip(raw, raw[1:]))  # most pre-tokens have no certain cut
-        ids = [
-            token.id
-            for fragment in ([raw] if whole else self.fragments(raw))
-            for token in tokenize(fragment.decode("latin-1").translate(letters))
-        ]
+        raw = piece.encode()
+        if self.inside.issuperset(zip(raw, raw[1:])):  # most pre-tokens have no certain cut
+            ids = self.fragment_ids(raw)
+        else:
+            ids = [i for fragment in self.fragments(raw) for i in self.fragment_ids(fragment)]
         packed = array("I", ids)
         if not LITTLE:
             packed.byteswap()
         return packed.tobytes()
 
+    def _tokenized(self, fragment: bytes) -> list[int]:
+        return [token.id for token in self.tokenize(fragment.decode("latin-1").translate(self.letters))]
+
+    def _merged(self, fragment: bytes) -> list[int]:
+        return self.merge(fragment) if 0 < len(fragment) <= MERGED_BYTES else self._tokenized(fragment)
+
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a stretch of text that begins and ends at certain cuts, as little-endian 32-bit numbers."""
         if chunk.isascii() or all(unicodedata.category(c) != "Cn" for c in chunk):
@@ -148,6 +186,16 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> list[str]:
+        """The text of each list of ids; none for NULL."""
+        flat = lists.flatten()
+        taken = self.tokens.take(flat)
+        ends = np.frombuffer(taken.buffers()[1], "<i4", len(flat) + 1, taken.offset * 4)
+        joined = memoryview(taken.buffers()[2] or b"")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = ends[np.cumsum([0, *sizes])].tolist()
+        return [str(joined[a:b], "utf-8", "replace") for a, b in zip(at, at[1:])]
+
 
 def _loose(chunk: str) -> bool:
     return not chunk or chunk[0].isspace() or chunk[-1].isspace()
@@ -174,8 +222,10 @@ def encode_texts(
 ) -> DataFrame:
     """(doc_id, ids array<int>) for each row of ``docs``."""
 
+    by_id = merges_by_id(path)
+
     def make():
-        codec = Codec(path)
+        codec = Codec(path, by_id=by_id)
 
         def work(batch: pa.RecordBatch):
             found = [codec.encode(text) for text in batch.column(1).to_pylist()]
@@ -197,8 +247,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
         def work(batch: pa.RecordBatch):
             doc_id, ids = batch.columns
-            texts = [codec.decode(x or []) for x in ids.to_pylist()]
-            return {"doc_id": doc_id, "ids": ids, "text": texts}
+            return {"doc_id": doc_id, "ids": ids, "text": codec.decode_lists(ids)}
 
         return work
 

@@ -119,3 +119,23 @@ def test_repeated_rows_and_nulls(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (None, "a b")], "doc_id long, text string")
     found = packing.pack_documents(rows, bpe.vocabulary_path())
     assert found.agg(F.count("*"), F.countDistinct("sequence_id"), F.sum("length")).first() == (3, 1, 5)
+
+
+def test_compiled_merges_and_batch_decoding_equal_the_library():
+    import random
+
+    import pyarrow as pa
+
+    path = bpe.vocabulary_path()
+    assert bpe.merges_by_id(path)
+    plain, quick = bpe.Codec(path), bpe.Codec(path, by_id=True)
+    rng = random.Random(11)
+    tokens = [t.decode("utf-8", "ignore") for t in plain.token_bytes]
+    pieces = ["".join(rng.choice(tokens) for _ in range(rng.randrange(1, 5))) for _ in range(5000)]
+    pieces += ["", "a" * 5000, "́e" * 60, "\U0001f600" * 40, *tokens[::50]]
+    assert [quick.encode_piece(p) for p in pieces] == [plain.encode_piece(p) for p in pieces]
+    lists = pa.array([[rng.randrange(50000) for _ in range(rng.randrange(6))] if i % 7 else None for i in range(500)], pa.list_(pa.int32()))
+    expected = [plain.decode(x or []) for x in lists.to_pylist()]
+    assert quick.decode_lists(lists) == expected
+    assert quick.decode_lists(lists.slice(21, 100)) == expected[21:121]
+    assert quick.decode_lists(lists.slice(0, 0)) == []
