@@ -230,7 +230,9 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
         return work
 
     counted = map_batches(docs.select(text_col), make, "pattern bigint, total bigint")
-    return counted.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.sum("total").alias("total"))
+    # Added up before the join, so that it meets each pattern once and not once a batch.
+    totals = counted.groupBy("pattern").agg(F.sum("total").alias("total"))
+    return totals.join(patterns, "pattern", "left_semi")
 
 
 def _by_pattern(rows: DataFrame, *columns: str) -> DataFrame:

@@ -160,3 +160,12 @@ def test_no_identifiers(spark):
 
 def test_the_query_is_registered():
     assert "op13_pii" in queries.QUERIES
+
+
+def test_patterns_meet_their_totals_and_not_batches(spark):
+    docs = spark.createDataFrame([(i, f"call me at {i}") for i in range(1000)], "doc_id long, text string").repartition(8)
+    wanted = int(pii.one_word(pii._hashes(["at"])).view("i8")[0])
+    found = pii.occurrences(docs, spark.createDataFrame([(wanted,)], "pattern long"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate")
+    assert [tuple(r) for r in found.collect()] == [(wanted, 1000)]
