@@ -230,9 +230,10 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
         return work
 
     counted = map_batches(docs.select(text_col), make, "pattern bigint, total bigint")
-    # Added up before the join, so that it meets each pattern once and not once a batch.
+    # Added up before the join, so that it meets each pattern once and not once a batch; Spark moves a
+    # semi join below the sum if ``patterns`` is small, but no inner join.
     totals = counted.groupBy("pattern").agg(F.sum("total").alias("total"))
-    return totals.join(patterns, "pattern", "left_semi")
+    return totals.join(patterns.select("pattern").distinct(), "pattern")
 
 
 def _by_pattern(rows: DataFrame, *columns: str) -> DataFrame:

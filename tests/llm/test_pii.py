@@ -162,10 +162,12 @@ def test_the_query_is_registered():
     assert "op13_pii" in queries.QUERIES
 
 
-def test_patterns_meet_their_totals_and_not_batches(spark):
+def test_patterns_meet_their_totals_and_not_batches(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"call me at {i}") for i in range(1000)], "doc_id long, text string").repartition(8)
     wanted = int(pii.one_word(pii._hashes(["at"])).view("i8")[0])
-    found = pii.occurrences(docs, spark.createDataFrame([(wanted,)], "pattern long"))
+    spark.createDataFrame([(wanted,), (wanted,)], "pattern long").write.parquet(f"{tmp_path}/patterns")
+    found = pii.occurrences(docs, spark.read.parquet(f"{tmp_path}/patterns"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Join LeftSemi") < plan.index("Aggregate")
+    join, scan = plan.index("Join"), plan.index("MapInArrow")
+    assert "Aggregate [pattern" in plan[join:scan]
     assert [tuple(r) for r in found.collect()] == [(wanted, 1000)]
