@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.durable import written
-from tablewright.llm.shared import map_batches
+from tablewright.llm.shared import bounded_batches, map_batches
 from tablewright.llm.words import mix, word_hashes
 
 BASE = ("email", "ip", "card", "phone")
@@ -56,6 +56,8 @@ WORTH, SURE = 0.5, 0.75
 ROUNDS = 3
 #: Bits of the filter that tasks get, as a power of two: 2 MB.
 FILTER_BITS = 24
+#: Patterns whose counts a task holds at once.
+HELD_COUNTS = 200_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -225,11 +227,28 @@ def occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") ->
             if not held:
                 return None
             found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return {"pattern": pa.array(found.view("i8")), "total": pa.array(counts)} if len(found) else None
+            return zip(found.view("i8").tolist(), counts.tolist())
 
         return work
 
-    counted = map_batches(docs.select(text_col), make, "pattern bigint, total bigint")
+    def run(batches):
+        """Counts of a task, not of a batch; given out early where they are many."""
+        work, sums = make(), {}
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["pattern", "total"])
+
+        for batch in batches:
+            for pattern, count in work(batch) or ():
+                sums[pattern] = sums.get(pattern, 0) + count
+            if len(sums) >= HELD_COUNTS:
+                yield rows()
+                sums.clear()
+        if sums:
+            yield rows()
+
+    bounded_batches(docs.sparkSession)
+    counted = docs.select(text_col).mapInArrow(run, "pattern bigint, total bigint")
     # Added up before the join, so that it meets each pattern once and not once a batch; Spark moves a
     # semi join below the sum if ``patterns`` is small, but no inner join.
     totals = counted.groupBy("pattern").agg(F.sum("total").alias("total"))
